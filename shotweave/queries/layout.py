@@ -201,7 +201,7 @@ def f9(spark, d):
     return ex.export_plan(it, s, t).select("timeline_id", "item_ix", "offset_packed", "offset_in_range")
 
 
-@query("f10_coalesce_ranges", with_sql(ITEMS_SQL) + """, p AS (SELECT l_suppkey % 10 AS timeline_id, source_id, item_ix, source_in AS src_in, dur AS frame_count,
+@query("f10_coalesce_ranges", with_sql(ITEMS_SQL) + """, p AS (SELECT timeline_id % 10 AS timeline_id, source_id % 50 AS source_id, source_in AS src_in, least(dur, 7) AS frame_count,
   timeline_id * 1000 + item_ix AS ord FROM items WHERE source_id IS NOT NULL),
 f AS (SELECT *, CASE WHEN src_in = lag(src_in + frame_count) OVER w THEN 0 ELSE 1 END AS nw FROM p
   WINDOW w AS (PARTITION BY timeline_id, source_id ORDER BY src_in, ord)),
@@ -210,8 +210,8 @@ SELECT timeline_id, source_id, min(src_in) AS src_in, sum(frame_count)::BIGINT A
  FROM i GROUP BY timeline_id, source_id, island""")
 def f10(spark, d):
     p = fx.items(spark, d).where("source_id is not null").selectExpr(
-        "l_suppkey % 10 as timeline_id", "source_id", "timeline_id * 1000 + item_ix as item_ix",
-        "source_in as src_in", "dur as frame_count")
+        "timeline_id % 10 as timeline_id", "source_id % 50 as source_id", "timeline_id * 1000 + item_ix as item_ix",
+        "source_in as src_in", "least(dur, 7L) as frame_count")
     return tl.coalesce_ranges(p)
 
 
