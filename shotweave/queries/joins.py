@@ -208,7 +208,7 @@ def d15s(spark, d):
  WHERE group_id IS NULL OR (group_id < 25 AND group_id % 2 = 0)""")
 def d16(spark, d):
     folders = fx.groups(spark, d).selectExpr("group_id", "case when group_id % 2 = 0 then concat('/out/', group_id) end as folder")
-    extra = folders.limit(0).unionByName(fx.table(spark, d, "region").where("r_regionkey = 0").selectExpr("cast(null as bigint) as group_id", "'/out/none' as folder"))
+    extra = (fx.table(spark, d, "region").where("r_regionkey = 0").selectExpr("cast(null as bigint) as group_id", "'/out/none' as folder"))
     return j.route_crops(fx.crops(spark, d), folders.unionByName(extra)).select("crop_id", "folder")
 
 
@@ -227,7 +227,7 @@ NOW_SQL = "(SELECT max(ts) FROM events)"
 
 
 def _now(spark, d):
-    # a fixed clock for reproducible results: the newest event, a single aggregated value
+    # a fixed clock for reproducible results: the newest event, as a scalar subquery
     return fx.table(spark, d, "events").agg(F.max(F.col("ts").cast("timestamp_ntz")).alias("now"))
 
 
@@ -237,8 +237,7 @@ b AS (SELECT *, CASE WHEN rk <= 50 THEN 'newest' WHEN ts >= now - INTERVAL 1 DAY
 k AS (SELECT *, row_number() OVER (PARTITION BY project_id, reason ORDER BY rk) AS br FROM b)
 SELECT project_id, filename, reason FROM k WHERE reason = 'newest' OR br = 1""")
 def f12(spark, d):
-    v = fx.versions(spark, d).crossJoin(F.broadcast(_now(spark, d)))
-    kept = vs.retain_versions(v, F.col("now"))
+    kept = vs.retain_versions(fx.versions(spark, d), _now(spark, d).scalar())
     return kept.select("project_id", "filename", "reason")
 
 
