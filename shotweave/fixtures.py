@@ -61,7 +61,7 @@ def items(spark, sf_dir) -> DataFrame:
         "cast(l_quantity as bigint) as dur", "l_returnflag", "l_linestatus")
     ordered = row_index(
         li, ["timeline_id"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"],
-        F.struct("l_linenumber", F.floor(F.col("l_partkey") / 65536.0).alias("part_block")), "ix0")
+        F.expr("shiftleft(cast(l_linenumber as bigint), 40) + shiftright(l_partkey, 16)"), "ix0")
     return ordered.selectExpr(
         "timeline_id", "ix0 + 1 as item_ix", "concat(timeline_id, '-', ix0 + 1) as clip_id",
         "case when l_returnflag <> 'R' then l_partkey end as source_id",

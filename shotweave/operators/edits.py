@@ -10,7 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shotweave.operators.ordered import asof_join, chunk_of, ordered_scan, row_index
+from shotweave.operators.ordered import chunk_of, ordered_scan, row_index
+from shotweave.session import materialize
 from shotweave.operators.timeline import TL, duration, is_gap, merge_gaps, place_items, renumber
 
 
@@ -40,7 +41,7 @@ def _flagged(items: DataFrame, ids: DataFrame, on: Sequence[str]) -> DataFrame:
 
 def _remove(items: DataFrame, ids: DataFrame, on: Sequence[str]) -> DataFrame:
     rows = _flagged(items, ids, on).where(~(F.col("__hit") & is_gap()))
-    return renumber(merge_gaps(_gap_version(rows, F.col("__hit")).select(*items.columns)))
+    return renumber(materialize(merge_gaps(_gap_version(rows, F.col("__hit")).select(*items.columns))))
 
 
 def remove_items(items: DataFrame, ids: DataFrame) -> DataFrame:
@@ -50,7 +51,8 @@ def remove_items(items: DataFrame, ids: DataFrame) -> DataFrame:
 
 def ripple_delete(items: DataFrame, ids: DataFrame) -> DataFrame:
     """Selected items vanish and later ones move up."""
-    return renumber(merge_gaps(items.join(ids.select(TL, "clip_id"), [TL, "clip_id"], "left_anti").select(*items.columns)))
+    left = items.join(ids.select(TL, "clip_id"), [TL, "clip_id"], "left_anti").select(*items.columns)
+    return renumber(materialize(merge_gaps(left)))
 
 
 def remove_source(items: DataFrame, removed: DataFrame) -> DataFrame:
@@ -60,33 +62,41 @@ def remove_source(items: DataFrame, removed: DataFrame) -> DataFrame:
 
 def ripple_source(items: DataFrame, removed: DataFrame) -> DataFrame:
     on = [c for c in (TL, "source_id") if c in removed.columns]
-    return renumber(merge_gaps(items.join(removed.select(*on), on, "left_anti").select(*items.columns)))
+    return renumber(materialize(merge_gaps(items.join(removed.select(*on), on, "left_anti").select(*items.columns))))
 
 
 # ---- cutting and inserting -----------------------------------------------------------
 
-def _cut_pieces(placed: DataFrame, cuts: DataFrame, fresh_left: bool) -> DataFrame:
-    """Pieces of all items after cutting at (timeline_id, cut) positions that lie strictly inside an item.
+def _locate_cuts(placed: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Item starts and cut marks of each timeline in one order; every cut row carries its item."""
+    cols = [c for c in placed.columns if c != TL]
+    item = placed.select(TL, F.col("tl_start").alias("piece_start"), F.lit(0).alias("__kind"), F.struct(*cols).alias("__item"))
+    empty = F.lit(None).cast(item.schema["__item"].dataType)
+    rest = [c for c in cuts.columns if c not in (TL, "cut")]
+    marks = cuts.select(TL, F.col("cut").cast("long").alias("piece_start"), F.lit(1).alias("__kind"), empty.alias("__item"), *rest)
+    return item.unionByName(marks, allowMissingColumns=True)
+
 
-    A piece starts at its item's start or at a cut, and ends before the next piece. The next start comes
-    from one ordered pass over starts, so an item with very many cuts is never gathered into a row.
+def _pieces(rows: DataFrame, item_cols: list[str], fresh_left: bool, fill: bool) -> DataFrame:
+    """Turn ordered starts and cuts into pieces: each ends before the next start.
+
+    The next start comes from one ordered pass, so an item with very many cuts is never gathered into a
+    row. Marks on an item's first frame or past the end yield empty or foreign pieces and drop out.
     """
-    cols = [c for c in placed.columns if c != TL]
-    inside = asof_join(cuts, placed, [TL], "cut", "tl_start", width=65536)
-    inside = inside.where((F.col("cut") > F.col("tl_start")) & (F.col("cut") <= F.col("tl_end")))
-    starts = placed.withColumn("piece_start", F.col("tl_start")).unionByName(
-        inside.withColumn("piece_start", F.col("cut")).select(TL, *cols, "piece_start"))
-    p = ordered_scan(starts, [TL], ["piece_start"], chunk_of("piece_start"), following={"__next": F.col("piece_start")})
-    p = p.withColumn("piece_end", F.coalesce(F.col("__next") - 1, F.col("tl_end")))
+    p = ordered_scan(rows, [TL], ["piece_start", "__kind"], chunk_of("piece_start"),
+                     following={"__next": F.col("piece_start")}, fills={"__at": F.col("__item")} if fill else None)
+    p = p.select(TL, "piece_start", "__next", F.col("__at" if fill else "__item").alias("__i")).where("__i is not null")
+    p = p.select(TL, "piece_start", "__next", *[F.col(f"__i.{c}").alias(c) for c in item_cols])
+    p = p.withColumn("piece_end", F.least(F.coalesce(F.col("__next") - 1, F.col("tl_end")), F.col("tl_end")))
+    p = p.where(F.col("piece_end") >= F.col("piece_start"))
     off = F.col("piece_start") - F.col("tl_start")
     length = F.col("piece_end") - F.col("piece_start") + 1
     whole = (off == 0) & (F.col("piece_end") == F.col("tl_end"))
     keep_id = whole if fresh_left else (off == 0)
-    new_in = F.when(is_gap(), 0).otherwise(F.col("source_in") + off)
     return p.withColumns({
         "clip_id": F.when(keep_id, F.col("clip_id")).otherwise(derived_id("clip_id", off)),
         "source_out": F.when(is_gap(), length - 1).otherwise(F.col("source_in") + off + length - 1),
-        "source_in": new_in.cast("long")}).drop("__next")
+        "source_in": F.when(is_gap(), 0).otherwise(F.col("source_in") + off).cast("long")}).drop("__next")
 
 
 def split_items(items: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -96,16 +106,17 @@ def split_items(items: DataFrame, cuts: DataFrame) -> DataFrame:
     the named one is ignored. Both halves get new ids and keep label, colour and tags.
     """
     placed = place_items(items)
-    spots = cuts.withColumnRenamed("tl_frame", "cut")
-    if "clip_id" in cuts.columns:
-        spots = spots.withColumnRenamed("clip_id", "__wanted")
-    spots = spots.distinct()
-    found = asof_join(spots, placed.select(TL, "clip_id", "source_id", "tl_start", "tl_end"), [TL], "cut", "tl_start", width=65536)
-    ok = ~is_gap() & (F.col("cut") > F.col("tl_start")) & (F.col("cut") < F.col("tl_end"))
+    cols = [c for c in placed.columns if c != TL]
+    marks = cuts.select(TL, F.col("tl_frame").alias("cut"),
+                        *([F.col("clip_id").alias("__wanted")] if "clip_id" in cuts.columns else []))
+    found = ordered_scan(_locate_cuts(placed, marks), [TL], ["piece_start", "__kind"], chunk_of("piece_start"),
+                         fills={"__at": F.col("__item")})
+    ok = (F.col("__at.source_id").isNotNull() & (F.col("piece_start") > F.col("__at.tl_start"))
+          & (F.col("piece_start") < F.col("__at.tl_end")))
     if "clip_id" in cuts.columns:
-        ok = ok & (F.col("__wanted") == F.col("clip_id"))
-    valid = found.where(ok).select(TL, "cut").distinct()
-    pieces = _cut_pieces(placed, valid, fresh_left=True)
+        ok = ok & (F.col("__wanted") == F.col("__at.clip_id"))
+    rows = found.where((F.col("__kind") == 0) | ok).select(TL, "piece_start", "__kind", F.col("__at").alias("__item"))
+    pieces = materialize(_pieces(materialize(rows), cols, fresh_left=True, fill=False))
     # piece starts are unique within a timeline and follow its order
     out = row_index(pieces, [TL], ["piece_start"], chunk_of("piece_start"), "__ix")
     return out.withColumn("item_ix", F.col("__ix") + 1).select(*items.columns)
@@ -117,25 +128,27 @@ def insert_items(items: DataFrame, inserts: DataFrame) -> DataFrame:
     At or past the end they are appended, at or before 0 prepended; inside an item (gaps too) the item is
     cut. ``ins_ix`` orders clips that share a position.
     """
-    placed = place_items(items)
-    total = placed.groupBy(TL).agg(F.max("tl_total").alias("__total"))
+    total = items.groupBy(TL).agg(F.sum(duration()).alias("__total"))
     ins = inserts.join(total, TL, "left").withColumn("__total", F.coalesce("__total", F.lit(0)))
     ins = ins.withColumn("__pos", F.least(F.greatest(F.col("tl_frame"), F.lit(0)), F.col("__total")).cast("long"))
-    ins = row_index(ins, [TL, "__pos"], ["ins_ix"], chunk_of("ins_ix"), "__sub")
+    ins = materialize(row_index(ins, [TL, "__pos"], ["ins_ix"], chunk_of("ins_ix"), "__sub"))
+    placed = place_items(items)
     cuts = ins.where((F.col("__pos") > 0) & (F.col("__pos") < F.col("__total"))).select(TL, F.col("__pos").alias("cut")).distinct()
-    pieces = _cut_pieces(placed, cuts, fresh_left=False)
+    pieces = _pieces(materialize(_locate_cuts(placed, cuts)), [c for c in placed.columns if c != TL], fresh_left=False, fill=True)
 
-    # one block per piece or insertion point; blocks are numbered by a running sum of their sizes
+    # one row per piece and per insertion point, numbered by a running sum of their sizes
     points = ins.groupBy(TL, "__pos").agg(F.count(F.lit(1)).alias("__n")).withColumn("__kind", F.lit(0))
-    blocks = points.unionByName(pieces.select(
-        TL, F.col("piece_start").alias("__pos"), F.lit(1).cast("long").alias("__n"), F.lit(1).alias("__kind")))
+    blocks = materialize(pieces.select("*", F.col("piece_start").alias("__pos"), F.lit(1).cast("long").alias("__n"), F.lit(1).alias("__kind"))
+                         .unionByName(points, allowMissingColumns=True))
     based = ordered_scan(blocks, [TL], ["__pos", "__kind"], chunk_of("__pos"), sums={"__base": F.col("__n")})
-    b0 = based.where("__kind = 0").select(TL, "__pos", "__base")
-    b1 = based.where("__kind = 1").select(TL, F.col("__pos").alias("piece_start"), "__base")
-    cols = [c for c in items.columns if c != "item_ix"]
-    new = ins.join(b0, [TL, "__pos"]).select(*cols, (F.col("__base") + F.col("__sub") + 1).alias("item_ix"))
-    old = pieces.drop("item_ix").join(b1, [TL, "piece_start"]).select(*cols, (F.col("__base") + 1).alias("item_ix"))
-    return old.unionByName(new).select(*items.columns)
+    # insertion points open up into their clips, pieces pass through
+    cols = [c for c in items.columns if c not in (TL, "item_ix")]
+    new = ins.select(TL, "__pos", F.lit(0).alias("__kind"), "__sub", F.struct(*cols).alias("__new"))
+    out = based.join(new, [TL, "__pos", "__kind"], "left")
+    made = F.col("__kind") == 0
+    values = {c: F.when(made, F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) for c in cols}
+    values["item_ix"] = (F.col("__base") + F.coalesce("__sub", F.lit(0)) + 1).alias("item_ix")
+    return out.select(*[values.get(c, F.col(c)) for c in items.columns])
 
 
 def replace_items(items: DataFrame, repl: DataFrame, assign: bool = True, color_start: int = 0) -> DataFrame:

@@ -33,70 +33,94 @@ def ordered_scan(
     following: dict[str, Column] | None = None,
     maxs: dict[str, Column] | None = None,
     totals: dict[str, Column] | None = None,
+    fills: dict[str, Column] | None = None,
     index: str | None = None,
     attach: DataFrame | None = None,
 ) -> DataFrame:
     """Add running values along ``order`` within ``keys``.
 
-    ``chunk`` must not decrease along ``order``. Running values exclude the current row.
+    ``chunk`` must not decrease along ``order``. Running values exclude the current row. The input is read
+    twice (summary and rows): pass a stored table or a cheap plan, or ``materialize`` it first.
 
     * ``sums`` / ``maxs``: sum (0 at the start) / max (null at the start) over the preceding rows
     * ``prev`` / ``following``: value on the neighbouring row
     * ``totals``: sum over the whole key
+    * ``fills``: last non-null value up to and including the current row
     * ``index``: 0-based position
     * ``attach``: table with one row per key whose columns ride along with the carry
     """
     sums, prev, following = sums or {}, prev or {}, following or {}
-    maxs, totals = maxs or {}, totals or {}
+    maxs, totals, fills = maxs or {}, totals or {}, fills or {}
     inputs = {}
-    for group, exprs in (("s", sums), ("p", prev), ("n", following), ("m", maxs), ("t", totals)):
+    for group, exprs in (("s", sums), ("p", prev), ("n", following), ("m", maxs), ("t", totals), ("f", fills)):
         for name, e in exprs.items():
             inputs[f"__{group}_{name}"] = e
     base_cols = df.columns
     local = df.select("*", chunk.alias(_CH), *[e.alias(n) for n, e in inputs.items()])
 
     ordering = F.col(order[0]) if len(order) == 1 else F.struct(*order)
-    aggs = [F.count(F.lit(1)).alias("__count")]
+    aggs = [F.count(F.lit(1)).alias("__one")]
     aggs += [F.sum(f"__s_{n}").alias(f"__s_{n}") for n in sums]
     aggs += [F.sum(f"__t_{n}").alias(f"__t_{n}") for n in totals]
     aggs += [F.max(f"__m_{n}").alias(f"__m_{n}") for n in maxs]
     aggs += [F.max_by(f"__p_{n}", ordering).alias(f"__p_{n}") for n in prev]
     aggs += [F.min_by(f"__n_{n}", ordering).alias(f"__n_{n}") for n in following]
+    aggs += [F.max_by(f"__f_{n}", F.when(F.col(f"__f_{n}").isNotNull(), ordering)).alias(f"__f_{n}") for n in fills]
     summary = local.groupBy(*keys, _CH).agg(*aggs)
 
+    # one carry row per chunk: what the earlier (or, for ``following``, the next) chunks contribute
     over = Window.partitionBy(*keys).orderBy(_CH)
     before = over.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    carry_cols = [F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__cs_{n}") for n in sums]
-    carry_cols += [F.sum(f"__t_{n}").over(whole).alias(n) for n in totals]
-    carry_cols += [F.max(f"__m_{n}").over(before).alias(f"__cm_{n}") for n in maxs]
-    carry_cols += [F.lag(f"__p_{n}").over(over).alias(f"__cp_{n}") for n in prev]
-    carry_cols += [F.lead(f"__n_{n}").over(over).alias(f"__cn_{n}") for n in following]
+    carried = [F.sum(f"__s_{n}").over(before).alias(f"__s_{n}") for n in sums]
+    carried += [F.max(f"__m_{n}").over(before).alias(f"__m_{n}") for n in maxs]
+    carried += [F.lag(f"__p_{n}").over(over).alias(f"__p_{n}") for n in prev]
+    carried += [F.last(f"__f_{n}", ignorenulls=True).over(before).alias(f"__f_{n}") for n in fills]
     if index:
-        carry_cols.append(F.coalesce(F.sum("__count").over(before), F.lit(0)).alias("__ci"))
-    carry = summary.select(*keys, _CH, *carry_cols)
+        carried.append(F.sum("__one").over(before).alias("__one"))
+    side = [F.lead(f"__n_{n}").over(over).alias(f"__x_{n}") for n in following]
+    side += [F.sum(f"__t_{n}").over(whole).alias(f"__x_{n}") for n in totals]
+    carry = summary.select(*keys, _CH, *carried, *side)
     attached: list[str] = []
     if attach is not None:
         attached = [c for c in attach.columns if c not in keys]
-        carry = carry.join(attach, keys, "left")
+        carry = carry.join(attach.select(*keys, *[F.col(c).alias(f"__x_{c}") for c in attached]), keys, "left")
+    side_names = [*following, *totals, *attached]
+    if side_names:
+        carry = carry.withColumn("__side", F.struct(*[F.col(f"__x_{n}").alias(n) for n in side_names])).drop(*[f"__x_{n}" for n in side_names])
 
-    w = Window.partitionBy(*keys, _CH).orderBy(*order)
+    # the carry row leads its chunk, so the window needs no join and only one sort
+    rows = local.withColumn("__k", F.lit(1))
+    if index:
+        rows = rows.withColumn("__one", F.lit(1).cast("long"))
+    both = rows.unionByName(carry.withColumn("__k", F.lit(0)), allowMissingColumns=True)
+    w = Window.partitionBy(*keys, _CH).orderBy("__k", *order)
     seen = w.rowsBetween(Window.unboundedPreceding, -1)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     out = [F.col(c) for c in base_cols]
     for n in sums:
-        out.append((F.coalesce(F.sum(f"__s_{n}").over(seen), F.lit(0)) + F.col(f"__cs_{n}")).alias(n))
+        out.append(F.coalesce(F.sum(f"__s_{n}").over(seen), F.lit(0)).alias(n))
     for n in maxs:
-        out.append(F.greatest(F.max(f"__m_{n}").over(seen), F.col(f"__cm_{n}")).alias(n))
+        out.append(F.max(f"__m_{n}").over(seen).alias(n))
     for n in prev:
-        out.append(F.when(F.row_number().over(w) == 1, F.col(f"__cp_{n}")).otherwise(F.lag(f"__p_{n}").over(w)).alias(n))
-    for n in following:
-        last = F.lead(F.lit(1)).over(w).isNull()
-        out.append(F.when(last, F.col(f"__cn_{n}")).otherwise(F.lead(f"__n_{n}").over(w)).alias(n))
+        out.append(F.lag(f"__p_{n}").over(w).alias(n))
+    for n in fills:
+        out.append(F.last(f"__f_{n}", ignorenulls=True).over(upto).alias(n))
     if index:
-        out.append((F.row_number().over(w) - 1 + F.col("__ci")).cast("long").alias(index))
-    out += [F.col(n) for n in totals]
-    out += [F.col(c) for c in attached]
-    return local.join(carry, [*keys, _CH]).select(*out)
+        out.append(F.coalesce(F.sum("__one").over(seen), F.lit(0)).cast("long").alias(index))
+    if side_names:
+        out.append(F.first("__side").over(upto).alias("__side"))
+    for n in following:
+        out.append(F.lead(f"__n_{n}").over(w).alias(f"__n_{n}"))
+    if following:
+        out.append(F.lead("__k").over(w).isNull().alias("__end"))
+    done = both.select(*out, "__k").where("__k = 1")
+    final = [F.col(c) for c in [*base_cols, *sums, *maxs, *prev]]
+    for n in following:
+        final.append(F.when(F.col("__end"), F.col(f"__side.{n}")).otherwise(F.col(f"__n_{n}")).alias(n))
+    final += [F.col(c) for c in [*fills, *([index] if index else [])]]
+    final += [F.col(f"__side.{n}").alias(n) for n in [*totals, *attached]]
+    return done.select(*final)
 
 
 def row_index(df: DataFrame, keys: list[str], order: list[str], chunk: Column, out: str) -> DataFrame:

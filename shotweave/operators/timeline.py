@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shotweave.functions import expr as X
 from shotweave.operators.ordered import chunk_of, explode_range, ordered_scan, overlap_join
+from shotweave.session import materialize
 
 TL = "timeline_id"
 
@@ -157,7 +158,7 @@ def coalesce_ranges(plan: DataFrame, width: int | None = None) -> DataFrame:
     chunk = chunk_of("src_in", width)
     flagged = ordered_scan(rows, keys, order, chunk, prev={"__pe": F.col("src_in") + F.col("frame_count")})
     flagged = flagged.withColumn("__new", F.when(F.col("src_in") == F.col("__pe"), 0).otherwise(1))
-    named = ordered_scan(flagged, keys, order, chunk, sums={"__before": F.col("__new")})
+    named = ordered_scan(materialize(flagged), keys, order, chunk, sums={"__before": F.col("__new")})
     named = named.withColumn("__island", F.col("__before") + F.col("__new"))
     return named.groupBy(*keys, "__island").agg(
         F.min("src_in").alias("src_in"), F.sum("frame_count").alias("frame_count"),

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,19 +27,26 @@ def build_session(app: str = "shotweave", master: str | None = None, **conf: str
     return b.getOrCreate()
 
 
+def _shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only on a single machine."""
+    named = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+             or spark.sparkContext.getCheckpointDir())
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+    made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint.
+    """Write an intermediate table to the shared folder and read it back.
 
-    The directory comes from ``spark.checkpoint.dir`` of the running session. Only when neither the
-    setting nor a directory on the context exists (tests on one machine) a local folder is made.
+    Used where a result that already cost shuffles feeds several consumers (an ordered scan reads its
+    input twice): the upstream plan runs once, consumers read only the columns they need, and a lost
+    executor costs a re-read instead of a recomputation.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-            shared = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
-        sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    path = f"{_shared_dir(df.sparkSession).rstrip('/')}/shotweave/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
