@@ -205,7 +205,7 @@ def ranges_to_cuts(ranges: DataFrame, keys: list[str], hard_only: bool = True) -
 def inspection_frames(cuts: DataFrame, totals: DataFrame, around: int = 2) -> DataFrame:
     """First and last frame and every cut ± 2, inside the source, each once."""
     near = cuts.join(totals, "source_id").select(
-        "source_id", "total_frames", (F.col("frame_ix") + F.explode(F.sequence(F.lit(-around), F.lit(around)))).alias("frame"))
+        "source_id", "total_frames", F.explode(F.sequence(F.col("frame_ix") - around, F.col("frame_ix") + around)).alias("frame"))
     near = near.where((F.col("frame") >= 0) & (F.col("frame") < F.col("total_frames"))).select("source_id", "frame")
     first = totals.select("source_id", F.lit(0).cast("long").alias("frame"))
     last = totals.where("total_frames > 0").select("source_id", (F.col("total_frames") - 1).alias("frame"))

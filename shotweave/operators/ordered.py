@@ -202,11 +202,11 @@ def asof_join(
 def explode_range(df: DataFrame, lo: Column, hi: Column, out: str, block: int = 4096) -> DataFrame:
     """One row per integer in [lo, hi]. Long ranges are first cut into blocks, so no row ever holds
     an array longer than ``max(block, length / block)``; the blocks can be spread over tasks."""
-    d = df.withColumn("__lo", lo.cast("long")).withColumn("__hi", hi.cast("long")).where("__lo <= __hi")
-    d = d.withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__hi") - F.col("__lo")) / F.lit(float(block))).cast("long"))))
-    start = F.col("__lo") + F.col("__k") * block
-    d = d.withColumn(out, F.explode(F.sequence(start, F.least(start + block - 1, F.col("__hi")))))
-    return d.drop("__lo", "__hi", "__k")
+    d = df.withColumn("__xlo", lo.cast("long")).withColumn("__xhi", hi.cast("long")).where("__xlo <= __xhi")
+    d = d.withColumn("__xblock", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__xhi") - F.col("__xlo")) / F.lit(float(block))).cast("long"))))
+    start = F.col("__xlo") + F.col("__xblock") * block
+    d = d.withColumn(out, F.explode(F.sequence(start, F.least(start + block - 1, F.col("__xhi")))))
+    return d.drop("__xlo", "__xhi", "__xblock")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[str, str],
