@@ -54,12 +54,12 @@ def bezier_value(p0x, p0y, p1x, p1y, p2x, p2y, p3x, p3y, t) -> Column:
     return F.element_at(F.transform(F.array(u), lambda v: cubic(v, p0y, p1y, p2y, p3y)), 1)
 
 
-def sample_tracks(keyframes: DataFrame, points: DataFrame, width: int = 65536) -> DataFrame:
-    """Track value at each (crop_id, frame), per axis that has keys.
+def track_pieces(keyframes: DataFrame, points: DataFrame, width: int = 65536) -> DataFrame:
+    """The piece of each axis' track that covers (crop_id, frame): key a, key b (null where the track is
+    clamped) and whether b is the last key. One backward as-of lookup per distinct point and axis; tracks
+    without keys give no row.
 
-    Clamped to the end keys outside the track; inside, the left key says step, either key says bezier,
-    else linear. A frame on an inner key belongs to the pair that ends there. Tracks without keys give
-    no row. One backward as-of lookup per frame finds its pair.
+    A frame on an inner key belongs to the pair that ends there.
     """
     pairs = key_pairs(keyframes)
     rows = pairs.select(*KEYS, F.col("source_frame").alias("a_pos"), F.struct("source_frame", *SHAPE).alias("a"),
@@ -67,22 +67,30 @@ def sample_tracks(keyframes: DataFrame, points: DataFrame, width: int = 65536) -
     none = F.lit(None).cast(rows.schema["b"].dataType)
     head = rows.where("key_ix = 0").select(*KEYS, F.lit(BEFORE_ALL).cast("long").alias("a_pos"), "a", none.alias("b"), F.lit(False).alias("b_last"))
     rows = rows.select(*KEYS, "a_pos", "a", "b", "b_last").unionByName(head)
-    # one row per track; no frame is expanded for axes that are not animated
+    # one row per track; no point is expanded for axes that are not animated
     tracks = keyframes.select(*KEYS).distinct()
     wanted = points.select("crop_id", "frame").distinct().join(tracks, "crop_id")
-    hit = asof_join(wanted, rows, KEYS, "frame", "a_pos", width=width, strict=True)
-    a, b, t = F.col("a"), F.col("b"), F.col("frame")
-    span = b["source_frame"] - a["source_frame"]
-    u = (t - a["source_frame"]) / span
+    return asof_join(wanted, rows, KEYS, "frame", "a_pos", width=width, strict=True).drop("a_pos")
+
+
+def piece_value(a: Column, b: Column, b_last: Column, t: Column) -> Column:
+    """Value of a piece at frame t: clamped without b; step if the left key says so; bezier if either key
+    does; else linear."""
+    u = (t - a["source_frame"]) / (b["source_frame"] - a["source_frame"])
     bez = bezier_value(
         a["source_frame"], a["value"], a["source_frame"] + a["out_dx"], a["value"] + a["out_dy"],
         b["source_frame"] + b["in_dx"], b["value"] + b["in_dy"], b["source_frame"], b["value"], t)
-    value = (F.when(b.isNull(), a["value"])
-             .when(F.col("b_last") & (t >= b["source_frame"]), b["value"])
-             .when(a["interp"] == "step", a["value"])
-             .when((a["interp"] == "bezier") | (b["interp"] == "bezier"), bez)
-             .otherwise(a["value"] + (b["value"] - a["value"]) * u))
-    return hit.select(*KEYS, "frame", value.alias("value"))
+    return (F.when(b.isNull(), a["value"])
+            .when(b_last & (t >= b["source_frame"]), b["value"])
+            .when(a["interp"] == "step", a["value"])
+            .when((a["interp"] == "bezier") | (b["interp"] == "bezier"), bez)
+            .otherwise(a["value"] + (b["value"] - a["value"]) * u))
+
+
+def sample_tracks(keyframes: DataFrame, points: DataFrame, width: int = 65536) -> DataFrame:
+    """Track value at each (crop_id, frame), per axis that has keys."""
+    hit = track_pieces(keyframes, points, width)
+    return hit.select(*KEYS, "frame", piece_value(F.col("a"), F.col("b"), F.col("b_last"), F.col("frame")).alias("value"))
 
 
 def locked_rect(x, y, w, h) -> list[Column]:

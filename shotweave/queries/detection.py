@@ -7,6 +7,7 @@ from shotweave.fixtures import FRAMES_SQL, ITEMS_SQL, SCORES_SQL, SOURCES_SQL, T
 from shotweave.operators import detect as dt
 from shotweave.plans import detection as pd_, thumbs as th
 from shotweave.queries import query
+from shotweave.session import materialize
 from shotweave.queries.layout import BASE, RANGED_SQL
 
 DIFF_SQL = FRAMES_SQL + """, diffs AS (SELECT source_id, frame_ix, abs(feature - lag(feature) OVER w) AS diff, lag(frame_ix) OVER w AS prev_ix FROM frames
@@ -134,8 +135,8 @@ SELECT timeline_id, row_number() OVER w AS item_ix, source_id, source_in, source
 
 def k5_items(spark, d):
     it = fx.items(spark, d)
-    return it.selectExpr("timeline_id", "item_ix", "clip_id", "source_id % 150 as source_id", "case when source_id is null then 0 else l_suppkey % 40 end as source_in",
-                         "case when source_id is null then 0 else l_suppkey % 40 end + dur - 1 as source_out", "label", "color_index", "group_ids")
+    return materialize(it.selectExpr("timeline_id", "item_ix", "clip_id", "source_id % 150 as source_id", "case when source_id is null then 0 else l_suppkey % 40 end as source_in",
+                         "case when source_id is null then 0 else l_suppkey % 40 end + dur - 1 as source_out", "label", "color_index", "group_ids"))
 
 
 @query("k5_detect_shots_diff", K5_SQL.format(frames=DIFF_SQL, cut="c.frame_ix", table="diffs", inside="prev_ix >= seg_in AND diff > 100"))

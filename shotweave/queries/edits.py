@@ -6,6 +6,7 @@ from shotweave import fixtures as fx
 from shotweave.fixtures import CROPS_SQL, ITEMS_SQL, SEGMENTS_SQL, SOURCES_SQL, TIMELINES_SQL, with_sql
 from shotweave.operators import edits as ed, source_tables as st
 from shotweave.queries import query
+from shotweave.session import materialize
 from shotweave.queries.layout import PLACED_SQL
 
 COLS = ["timeline_id", "item_ix", "source_id", "source_in", "source_out"]
@@ -19,6 +20,11 @@ SELECT timeline_id, row_number() OVER (PARTITION BY timeline_id ORDER BY ord) AS
 PICK = "(timeline_id + item_ix) % 3 = 0"
 
 
+def _items(spark, d):
+    # the derived timeline feeds several branches of an edit, so it is written once
+    return materialize(fx.items(spark, d))
+
+
 def picked(it):
     return it.where(PICK).select("timeline_id", "clip_id")
 
@@ -27,25 +33,25 @@ def picked(it):
  CASE WHEN {PICK} THEN 0 ELSE source_in END AS source_in, CASE WHEN {PICK} THEN dur - 1 ELSE source_out END AS source_out
  FROM items WHERE NOT ({PICK} AND source_id IS NULL))""" + MERGE_SQL)
 def i1(spark, d):
-    it = fx.items(spark, d)
+    it = _items(spark, d)
     return ed.remove_items(it, picked(it)).select(*COLS)
 
 
 @query("i2_ripple_delete", with_sql(ITEMS_SQL) + f", e AS (SELECT *, item_ix AS ord FROM items WHERE NOT {PICK})" + MERGE_SQL)
 def i2(spark, d):
-    it = fx.items(spark, d)
+    it = _items(spark, d)
     return ed.ripple_delete(it, picked(it)).select(*COLS)
 
 
 @query("i3_remove_source", with_sql(ITEMS_SQL) + """, e AS (SELECT timeline_id, item_ix AS ord, CASE WHEN source_id % 4 = 0 THEN NULL ELSE source_id END AS source_id,
  CASE WHEN source_id % 4 = 0 THEN 0 ELSE source_in END AS source_in, CASE WHEN source_id % 4 = 0 THEN dur - 1 ELSE source_out END AS source_out FROM items)""" + MERGE_SQL)
 def i3(spark, d):
-    return ed.remove_source(fx.items(spark, d), fx.sources(spark, d).where("source_id % 4 = 0")).select(*COLS)
+    return ed.remove_source(_items(spark, d), fx.sources(spark, d).where("source_id % 4 = 0")).select(*COLS)
 
 
 @query("i3_ripple_source", with_sql(ITEMS_SQL) + ", e AS (SELECT *, item_ix AS ord FROM items WHERE source_id IS NULL OR source_id % 4 <> 0)" + MERGE_SQL)
 def i3r(spark, d):
-    return ed.ripple_source(fx.items(spark, d), fx.sources(spark, d).where("source_id % 4 = 0")).select(*COLS)
+    return ed.ripple_source(_items(spark, d), fx.sources(spark, d).where("source_id % 4 = 0")).select(*COLS)
 
 
 # three clips per order: two at one inner frame, one at another frame
@@ -73,7 +79,7 @@ u AS (SELECT timeline_id, ps AS pos, 1 AS kind, 0 AS k, source_id, CASE WHEN sou
  UNION ALL SELECT timeline_id, pos, 0, k, src, 100 * k, 100 * k + 9 FROM ip)
 SELECT timeline_id, row_number() OVER (PARTITION BY timeline_id ORDER BY pos, kind, k) AS item_ix, source_id, source_in, source_out FROM u""")
 def i4(spark, d):
-    return ed.insert_items(fx.items(spark, d), inserts(spark, d)).select(*COLS)
+    return ed.insert_items(_items(spark, d), inserts(spark, d)).select(*COLS)
 
 
 @query("i5_split_items", with_sql(ITEMS_SQL, PLACED_SQL) + """, want AS (SELECT o_orderkey AS timeline_id, unnest([o_custkey % 120, 30, 31, 77]) AS cut FROM orders),
@@ -83,7 +89,7 @@ SELECT timeline_id, row_number() OVER (PARTITION BY timeline_id ORDER BY ps) AS
  CASE WHEN source_id IS NULL THEN pe - ps ELSE source_in + pe - tl_start END AS source_out FROM pc""")
 def i5(spark, d):
     cuts = fx.table(spark, d, "orders").selectExpr("o_orderkey as timeline_id", "explode(array(o_custkey % 120, 30L, 31L, 77L)) as tl_frame")
-    return ed.split_items(fx.items(spark, d), cuts).select(*COLS)
+    return ed.split_items(_items(spark, d), cuts).select(*COLS)
 
 
 SPLIT_SQL = "sp AS (SELECT crop_id, source_in + x % 8 AS f FROM crops WHERE x % 3 > 0)"
@@ -120,7 +126,7 @@ SELECT timeline_id, row_number() OVER w AS item_ix, source_id, source_in, source
  CASE WHEN new THEN (coalesce(sum(new::INT) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 2) % 8 ELSE 0 END::INTEGER AS color_index
  FROM u WINDOW w AS (PARTITION BY timeline_id ORDER BY item_ix, sub)""")
 def i7(spark, d):
-    it = fx.items(spark, d)
+    it = _items(spark, d)
     long = it.where("source_id is not null and dur > 20")
     repl = long.selectExpr(
         "timeline_id", "clip_id", "source_id",
@@ -135,21 +141,21 @@ SELECT i.timeline_id, i.item_ix, CASE WHEN t.item_ix IS NULL THEN coalesce(i.gro
  WHEN all_have THEN '' WHEN t.has THEN '2' ELSE concat_ws(',', i.group_id, 2) END AS tags
  FROM items i LEFT JOIN t ON t.timeline_id = i.timeline_id AND t.item_ix = i.item_ix LEFT JOIN v ON v.timeline_id = t.timeline_id""")
 def i8(spark, d):
-    it = fx.items(spark, d)
+    it = _items(spark, d)
     targets = it.where("item_ix <= 2").selectExpr("timeline_id", "clip_id", "2L as group_id")
     return ed.toggle_group(it, targets, fx.groups(spark, d)).select("timeline_id", "item_ix", F.array_join("group_ids", ",").alias("tags"))
 
 
 @query("i9_delete_groups", with_sql(ITEMS_SQL) + "SELECT timeline_id, item_ix, CASE WHEN group_id IN (1, 3) THEN '' ELSE coalesce(group_id::VARCHAR, '') END AS tags FROM items")
 def i9(spark, d):
-    it, g = fx.items(spark, d), fx.groups(spark, d)
+    it, g = _items(spark, d), fx.groups(spark, d)
     return ed.delete_groups(it, fx.crops(spark, d, it), g, g.where("group_id in (1, 3)"))[0].select(
         "timeline_id", "item_ix", F.array_join("group_ids", ",").alias("tags"))
 
 
 @query("i9_delete_groups_crops", with_sql(ITEMS_SQL, CROPS_SQL) + "SELECT crop_id, CASE WHEN group_id IN (1, 4) THEN NULL ELSE group_id END AS group_id FROM crops")
 def i9c(spark, d):
-    it, g = fx.items(spark, d), fx.groups(spark, d)
+    it, g = _items(spark, d), fx.groups(spark, d)
     return ed.delete_groups(it, fx.crops(spark, d, it), g, g.where("group_id in (1, 4)"))[1].select("crop_id", "group_id")
 
 
