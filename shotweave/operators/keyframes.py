@@ -220,7 +220,8 @@ def flatten_crops(clips: DataFrame) -> dict[str, DataFrame]:
         F.coalesce("c.custom_ratio_w", zero).alias("custom_ratio_w"), F.coalesce("c.custom_ratio_h", zero).alias("custom_ratio_h"),
         F.when(F.col("c.group_id") != "", F.col("c.group_id")).alias("group_id"),
         F.coalesce("c.active", F.lit(True)).alias("active"), F.coalesce("c.label", F.lit("")).alias("label"))
-    one = F.array(F.struct(F.lit(None).cast("string").alias("id"), F.coalesce("c.anchor_frame", zero).alias("anchor_frame"), F.lit(True).alias("active")))
+    has_old = "anchor_frame" in clips.schema["crop_regions"].dataType.elementType.names
+    one = F.array(F.struct(F.lit(None).cast("string").alias("id"), (F.coalesce("c.anchor_frame", zero) if has_old else zero).alias("anchor_frame"), F.lit(True).alias("active")))
     segs = F.when(F.coalesce(F.size("c.segments"), F.lit(0)) > 0, F.col("c.segments")).otherwise(one.cast("array<struct<id:string,anchor_frame:bigint,active:boolean>>"))
     s = c.select("crop_id", F.posexplode(segs).alias("segment_ix", "s"))
     segments = s.select(
