@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shotweave.operators.ordered import row_index
+from shotweave.session import materialize
 
 # ---- fixed values of the mapping ----------------------------------------------------
 FPS_BY_SIZE = ["24000.0/1001", "24.0", "25.0", "30000.0/1001", "30.0", "50.0", "60000.0/1001", "60.0"]
@@ -19,6 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(fn):
+    """Write a derived input table once per application and data set, then read it like any stored table."""
+    @functools.wraps(fn)
+    def wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, fn.__name__)
+        if key not in _STORED:
+            _STORED[key] = materialize(fn(spark, sf_dir))
+        return _STORED[key]
+    return wrapper
+
+
 def sources(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "part").selectExpr(
         "p_partkey as source_id",
@@ -55,6 +72,7 @@ SOURCES_SQL = f"""sources AS (SELECT p_partkey AS source_id,
  FROM part)"""
 
 
+@stored
 def items(spark, sf_dir) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey as timeline_id", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
@@ -106,6 +124,7 @@ GROUPS_SQL = """groups AS (SELECT n_nationkey::BIGINT AS group_id, n_name AS nam
  CASE WHEN n_nationkey < 10 THEN n_nationkey END AS digit, n_nationkey::BIGINT AS group_ix FROM nation)"""
 
 
+@stored
 def frames(spark, sf_dir) -> DataFrame:
     """Scalar frame features; minutes bound how many rows of one source meet in a chunk."""
     ev = table(spark, sf_dir, "events")
@@ -120,6 +139,7 @@ FRAMES_SQL = """frames AS (SELECT user_id AS source_id,
  value AS feature, props, event_type, ts, event_id FROM events)"""
 
 
+@stored
 def frame_vectors(spark, sf_dir) -> DataFrame:
     em = table(spark, sf_dir, "embeddings")
     return row_index(em, ["label"], ["vec_id"], F.floor(F.col("vec_id") / 65536.0).cast("long"), "frame_ix").selectExpr(
@@ -153,6 +173,7 @@ PACKETS_RAW_SQL = """packets0 AS (SELECT user_id AS source_id, epoch_us(ts) / 10
   WHEN user_id % 3 = 1 THEN 1001 ELSE 1000 + event_id % 2 END AS duration, event_id FROM events)"""
 
 
+@stored
 def packets(spark, sf_dir) -> DataFrame:
     from shotweave.sources.packets import index_packets
     return index_packets(packets_raw(spark, sf_dir), tie=["event_id"])
