@@ -11,6 +11,8 @@ from shotweave.functions import expr as X
 from shotweave.operators.crops import active_segments, native_dims, window_geometry
 from shotweave.operators.joins import route_crops
 from shotweave.operators.timeline import TL, filter_crops, is_gap
+from shotweave.session import materialize
+
 
 @dataclass(frozen=True)
 class CropOptions:
@@ -37,7 +39,9 @@ def _windows(crops, segments, items, sources, opts: CropOptions, default_fps: fl
     src = sources.select("source_id", "file_path", "fps", "audio_channels", F.lit(True).alias("__found"))
     c = c.join(src, "source_id", "left")
     c = c.withColumn("fps", F.coalesce("fps", F.lit(default_fps))) if default_fps else c.where("__found")
-    return c, active_segments(c, segments)
+    # both feed several branches of the geometry
+    c = materialize(c)
+    return c, materialize(active_segments(c, segments))
 
 
 def crop_jobs(crops: DataFrame, segments: DataFrame, keyframes: DataFrame, items: DataFrame, sources: DataFrame, groups: DataFrame,
