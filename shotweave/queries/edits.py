@@ -154,9 +154,9 @@ def i9c(spark, d):
 
 
 # a registry per region; edits claim digits that may be taken, or be claimed twice
-GRP_SQL = """g AS (SELECT n_regionkey AS timeline_id, n_nationkey AS group_id, n_name AS name, '#888888' AS color, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey % 10 END AS digit FROM nation),
+GRP_SQL = """g AS (SELECT n_regionkey::BIGINT AS timeline_id, n_nationkey::BIGINT AS group_id, n_name AS name, '#888888' AS color, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey % 10 END AS digit FROM nation),
 g2 AS (SELECT timeline_id, min(group_id) AS group_id, arg_min(name, group_id) AS name, digit FROM g WHERE digit IS NOT NULL GROUP BY timeline_id, digit),
-ed AS (SELECT s_nationkey % 5 AS timeline_id, s_suppkey AS edit_ix, s_suppkey AS group_id, s_name AS name, s_suppkey % 13 AS digit FROM supplier),
+ed AS (SELECT (s_nationkey % 5)::BIGINT AS timeline_id, s_suppkey AS edit_ix, s_suppkey AS group_id, s_name AS name, s_suppkey % 13 AS digit FROM supplier),
 cl AS (SELECT * FROM ed WHERE digit < 10), f AS (SELECT timeline_id, digit, min(edit_ix) AS fi, arg_min(name, edit_ix) AS fname FROM cl GROUP BY ALL)"""
 
 

@@ -9,7 +9,7 @@ from shotweave.functions import expr as X
 from shotweave.operators.ordered import chunk_of, ordered_scan, row_index
 from shotweave.operators.timeline import TL, is_gap
 from shotweave.session import materialize
-from shotweave.sources.documents import element_lines, number_lines, read_texts, write_lines
+from shotweave.sources.documents import element_lines, fixed_lines, number_lines, read_texts, write_lines
 
 
 def sequence_rates(plan: DataFrame) -> DataFrame:
@@ -17,11 +17,6 @@ def sequence_rates(plan: DataFrame) -> DataFrame:
     return plan.where(~is_gap()).groupBy(TL).agg(F.min_by("fps", "item_ix").alias("seq_fps"))
 
 
-def _frame_lines(timelines: DataFrame, lines: list[tuple[int, Column]]) -> DataFrame:
-    return timelines.select(TL, F.explode(F.array(*[F.struct(F.lit(s).alias("section"), t.alias("text")) for s, t in lines])).alias("r")).select(
-        TL, "r.section", F.lit(0).cast("long").alias("ix"), F.lit(0).alias("part"), "r.text", F.lit(False).alias("element"))
-
-
 def _title(title: Column | None) -> Column:
     return F.col(TL).cast("string") if title is None else title
 
@@ -64,7 +59,7 @@ def otio_lines(plan: DataFrame, sources: DataFrame, rates: DataFrame | None = No
         F.lit(', "global_start_time": null, "tracks": {"OTIO_SCHEMA": "Stack.1", "metadata": {}, "name": "tracks", "source_range": null, '
               '"effects": [], "markers": [], "enabled": true, "children": [{"OTIO_SCHEMA": "Track.1", "metadata": {}, "name": "Video", '
               '"source_range": null, "effects": [], "markers": [], "enabled": true, "kind": "Video", "children": ['))
-    return number_lines(materialize(kids.unionByName(_frame_lines(t, [(0, head), (2, F.lit("]}]}}"))]))))
+    return number_lines(materialize(kids.unionByName(fixed_lines(t, [(0, head), (2, F.lit("]}]}}"))]))))
 
 
 def write_otio(plan: DataFrame, sources: DataFrame, path: str, mode: str = "errorifexists", **kw) -> None:
@@ -114,7 +109,7 @@ def fcpxml_lines(plan: DataFrame, sources: DataFrame, seq_frames: DataFrame, inc
     heads = assets.where("use_ix = 0").join(seq_frames, TL)
     q = F.format_string
     t = xml_escape(_title(title))
-    fixed = _frame_lines(heads, [
+    fixed = fixed_lines(heads, [
         (0, F.lit('<?xml version="1.0" encoding="UTF-8"?>')), (1, F.lit("<!DOCTYPE fcpxml>")), (2, F.lit('<fcpxml version="1.9">')),
         (3, F.lit("  <resources>")),
         (4, q('    <format id="r1" name="FFVideoFormat%s" frameDuration="%d/%ds" width="%d" height="%d" colorSpace="1-1-1 (Rec. 709)"/>',
