@@ -11,9 +11,15 @@ from .common import table
 from .decontaminate import benchmark_hits
 from .quality_model import classify
 from .quality_rules import quality_rules
+from .secrets import oracle_sql as secrets_sql
+from .secrets import scan_secrets
 from .simhash import near_duplicates
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op4_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return hits.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -32,6 +38,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op2_secret_scan": (op2_secret_scan, secrets_sql()),
     "op4_winnowing_decontamination": (op4_winnowing_decontamination, None),
     "op8_quality_classifier": (op8_quality_classifier, None),
     "op9_simhash_near_dedup": (op9_simhash_near_dedup, None),
