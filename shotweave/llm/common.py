@@ -35,7 +35,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             yield batch.slice(first), values.slice(first).to_pylist()
 
 
-def map_texts(df: DataFrame, fn, keep: list[str], schema: str) -> DataFrame:
+def map_texts(df: DataFrame, fn, keep: list[str], schema: str, limit: int = SLICE_BYTES) -> DataFrame:
     """``keep`` columns and the columns of ``schema`` that ``fn(texts)`` returns as a dict of lists, in Arrow batches.
 
     ``fn`` is made once per task by calling the given factory, so that it may hold compressors or caches.
@@ -44,7 +44,7 @@ def map_texts(df: DataFrame, fn, keep: list[str], schema: str) -> DataFrame:
 
     def run(batches):
         work = fn()
-        for batch, texts in slices(batches):
+        for batch, texts in slices(batches, "text", limit):
             cols = [batch.column(k) for k in keep]
             made = work(texts)
             yield pa.RecordBatch.from_arrays(cols + [v if isinstance(v, pa.Array) else pa.array(v) for v in made.values()], keep + list(made))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import round_trip
 from .common import table
 from .decontaminate import benchmark_hits
 from .pii import find_personal_data
@@ -26,6 +27,10 @@ def op4_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return hits.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -45,6 +50,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op2_secret_scan": (op2_secret_scan, secrets_sql()),
     "op4_winnowing_decontamination": (op4_winnowing_decontamination, None),
+    "op6_bpe_round_trip": (op6_bpe_round_trip, None),
     "op7_personal_data": (op7_personal_data, None),
     "op8_quality_classifier": (op8_quality_classifier, None),
     "op9_simhash_near_dedup": (op9_simhash_near_dedup, None),
