@@ -27,7 +27,7 @@ def build_session(app: str = "shotweave", master: str | None = None, **conf: str
     return b.getOrCreate()
 
 
-def _shared_dir(spark: SparkSession) -> str:
+def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only on a single machine."""
     named = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
              or spark.sparkContext.getCheckpointDir())
@@ -47,6 +47,6 @@ def materialize(df: DataFrame) -> DataFrame:
     input twice): the upstream plan runs once, consumers read only the columns they need, and a lost
     executor costs a re-read instead of a recomputation.
     """
-    path = f"{_shared_dir(df.sparkSession).rstrip('/')}/shotweave/{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/shotweave/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
