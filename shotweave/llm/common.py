@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from ..session import shared_dir
 
 #: Text bytes that a task works on at once; a longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
@@ -16,8 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder's name below the folder that driver and executors share."""
+    return f"{shared_dir(spark).rstrip('/')}/shotweave/{kind}-{uuid.uuid4().hex}"
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import round_trip
-from .common import table
+from .common import scratch, table
 from .decontaminate import benchmark_hits
 from .pii import find_personal_data
 from .quality_model import classify
@@ -16,12 +16,19 @@ from .quality_rules import quality_rules
 from .secrets import oracle_sql as secrets_sql
 from .secrets import scan_secrets
 from .simhash import near_duplicates
+from .token_files import read_token_files, write_token_files
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = scratch(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), target)
+    return read_token_files(spark, target).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op4_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return hits.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -49,6 +56,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op2_secret_scan": (op2_secret_scan, secrets_sql()),
+    "op3_token_files": (op3_token_files, None),
     "op4_winnowing_decontamination": (op4_winnowing_decontamination, None),
     "op6_bpe_round_trip": (op6_bpe_round_trip, None),
     "op7_personal_data": (op7_personal_data, None),
