@@ -15,10 +15,16 @@ from .quality_model import classify
 from .quality_rules import quality_rules
 from .secrets import oracle_sql as secrets_sql
 from .secrets import scan_secrets
+from .sharding import assign_shards
 from .simhash import near_duplicates
 from .token_files import read_token_files, write_token_files
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -55,6 +61,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_sharding": (op1_sharding, None),
     "op2_secret_scan": (op2_secret_scan, secrets_sql()),
     "op3_token_files": (op3_token_files, None),
     "op4_winnowing_decontamination": (op4_winnowing_decontamination, None),
