@@ -18,6 +18,7 @@ from .secrets import scan_secrets
 from .sharding import assign_shards
 from .simhash import near_duplicates
 from .token_files import read_token_files, write_token_files
+from .warc import read_archives, write_archives
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +41,12 @@ def op4_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return hits.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = scratch(spark, "archives")
+    write_archives(table(spark, sf_dir, "pages"), target)
+    return read_archives(spark, target, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -65,6 +72,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op2_secret_scan": (op2_secret_scan, secrets_sql()),
     "op3_token_files": (op3_token_files, None),
     "op4_winnowing_decontamination": (op4_winnowing_decontamination, None),
+    "op5_warc": (op5_warc, None),
     "op6_bpe_round_trip": (op6_bpe_round_trip, None),
     "op7_personal_data": (op7_personal_data, None),
     "op8_quality_classifier": (op8_quality_classifier, None),
