@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from ..session import shared_dir
 
@@ -24,9 +25,14 @@ def scratch(spark: SparkSession, kind: str) -> str:
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Parts of the batches, each with its texts as UTF-8 bytes (None for null) and at most ``limit`` bytes of text or one row."""
+    """Parts of the batches, each with its texts as UTF-8 bytes (None for null) and at most ``limit`` bytes of text or one row.
+
+    ``column`` may name a field of a struct column, as ``row.text``.
+    """
+    name, _, field = column.partition(".")
     for batch in batches:
-        values = batch.column(column).cast(pa.binary())
+        values = batch.column(name).field(field) if field else batch.column(name)
+        values = values.cast(pa.binary())
         first, size = 0, 0
         for i in range(len(values)):
             n = len(values[i].as_buffer()) if values[i].is_valid else 0
@@ -38,18 +44,20 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             yield batch.slice(first), values.slice(first).to_pylist()
 
 
-def map_texts(df: DataFrame, fn, keep: list[str], schema: str, limit: int = SLICE_BYTES) -> DataFrame:
-    """``keep`` columns and the columns of ``schema`` that ``fn(texts)`` returns as a dict of lists, in Arrow batches.
+def map_texts(df: DataFrame, factory, keep: list[str], schema: str, limit: int = SLICE_BYTES, text: str = "text") -> DataFrame:
+    """``keep`` columns and the columns of ``schema``, made from the texts in Arrow batches without a shuffle.
 
-    ``fn`` is made once per task by calling the given factory, so that it may hold compressors or caches.
+    ``factory`` is called once per task, so that its result may hold compressors or caches; that is called with lists of texts and returns a dict
+    of lists or Arrow arrays. Rows that have to carry columns of any name go in a struct column, whose field ``text`` may name.
     """
-    kept = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep]
+    names = list(dict.fromkeys([*keep, text.partition(".")[0]]))
+    out = T.StructType([df.schema[k] for k in keep] + T.StructType.fromDDL(schema).fields)
 
     def run(batches):
-        work = fn()
-        for batch, texts in slices(batches, "text", limit):
-            cols = [batch.column(k) for k in keep]
+        work = factory()
+        for batch, texts in slices(batches, text, limit):
             made = work(texts)
-            yield pa.RecordBatch.from_arrays(cols + [v if isinstance(v, pa.Array) else pa.array(v) for v in made.values()], keep + list(made))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *(v if isinstance(v, pa.Array) else pa.array(v) for v in made.values())],
+                                             [*keep, *made])
 
-    return df.select(*keep, "text").mapInArrow(run, ", ".join([*kept, schema]))
+    return df.select(*names).mapInArrow(run, out)

@@ -169,7 +169,7 @@ def _extend(win: pd.Series, pos: pd.Series, ctx: pd.Series, other: pd.Series) ->
     return pd.DataFrame({"first": np.where(ok, first, 0).astype(np.int32), "past": np.where(ok, past, 0).astype(np.int32)})
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """Per document: ``n_words``, ``n_hit`` words inside a benchmark window, ``n_items`` that have such a window, ``items`` (their ids
     as strings, sorted), and ``contaminated``.
 
@@ -189,8 +189,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
     lengths = tuple(sorted(r["win"] for r in prints.select("win").distinct().collect() if r["win"] < WINDOW))
     bits, power = _known(prints.select("fp").distinct())
     sent = docs.sparkSession.sparkContext.broadcast(bits)
-    named = docs.select("doc_id", *keep, F.xxhash64("text").alias("tkey"), "text")
-    seen = materialize(map_texts(named, lambda: _factory(sent, lengths, power), ["doc_id", *keep, "tkey"], _FOUND))
+    named = docs.select("doc_id", *keep, F.xxhash64(text).alias("tkey"), *([] if "." in text else [text]))
+    seen = materialize(map_texts(named, lambda: _factory(sent, lengths, power), ["doc_id", *keep, "tkey"], _FOUND, text=text))
     found = seen.where(F.size("hits") > 0).select("doc_id", "tkey", F.explode("hits").alias("h")).select("doc_id", "tkey", "h.*")
     runs = (found.join(prints, ["win", "fp"]).select("doc_id", "tkey", "gid", _extend("win", "pos", "ctx", "other").alias("r"))
             .where("r.past > r.first").distinct())

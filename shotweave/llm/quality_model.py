@@ -48,8 +48,8 @@ def _factory():
     return lambda texts: dict(zip(FEATURES, map(list, zip(*(document_statistics(t, zstd) for t in texts), strict=True)), strict=True))
 
 
-def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
-    return map_texts(docs, _factory, keep, ", ".join(f"{f} double" for f in FEATURES))
+def statistics(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    return map_texts(docs, _factory, keep, ", ".join(f"{f} double" for f in FEATURES), text=text)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -106,16 +106,18 @@ def fit(stats: DataFrame, labels: DataFrame) -> tuple[float, Gaussian | None, Ga
     return prior, *made
 
 
-def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """Each document's ``held_out``, ``score`` (0 to 1, higher where label 1 is likelier) and ``predicted`` (score at least 0.5).
 
     ``docs`` needs ``doc_id`` and ``text``; ``keep`` names more of its columns to return. Labels train the model and nothing else;
     ids, language and source are no inputs. Empty, null, repeated and very long texts are scored like any other; an empty
-    table gives an empty result. Texts are read once and never shuffled: the statistics are written to the shared folder,
-    joined to the labels for training and scored in place.
+    table gives an empty result. Texts are never shuffled: the narrow statistics are written to the shared folder, joined to the labels for
+    training and scored there. With ``keep`` they are computed again next to the kept columns, so that no text is stored a second time.
     """
-    stats = materialize(statistics(docs, ["doc_id", *(keep or [])]))
+    stats = materialize(statistics(docs, ["doc_id"], text))
     prior, good, bad = fit(stats, labels)
+    if keep:
+        stats = statistics(docs, ["doc_id", *keep], text)
     if good is None:
         score = F.lit(prior)
     else:
