@@ -13,10 +13,10 @@ from .common import map_texts
 CHUNK = 4096
 LEVEL = 3
 #: Length-specific limits of the ratio of bytes to compressed bytes: (up to so many bytes, least, most). Invented or natural
-#: prose in one-letter scripts lies between 1.2 and 3 at these lengths; random characters stay near 1, loops go far above.
-BANDS = ((256, 0.0, 3.0), (1024, 1.02, 3.5), (4096, 1.15, 4.0), (32768, 1.25, 4.5), (1 << 62, 1.25, 5.5))
+#: prose in alphabetic scripts lies between 1.3 and 3 at these lengths; random printable characters stay near 1.25, loops go far above.
+BANDS = ((256, 0.0, 3.0), (1024, 1.05, 3.5), (4096, 1.35, 4.0), (32768, 1.45, 4.5), (1 << 62, 1.45, 5.5))
 #: Limits of a chunk's ratio, and the share of chunks outside them that rejects the text.
-CHUNK_BAND = (1.15, 4.0)
+CHUNK_BAND = (1.35, 4.0)
 CHUNK_SHARE = 0.5
 
 SCHEMA = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_bytes long, "
