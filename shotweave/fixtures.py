@@ -36,6 +36,19 @@ def stored(fn):
     return wrapper
 
 
+#: Number of event users, the sources that have frames, keys and packets; user ids run from 0.
+USERS_SQL = "(SELECT count(DISTINCT user_id) FROM events)"
+
+
+@functools.cache
+def _users(application: str, spark: SparkSession, sf_dir: str) -> int:
+    return table(spark, sf_dir, "events").agg(F.countDistinct("user_id")).first()[0]
+
+
+def users(spark: SparkSession, sf_dir: str) -> int:
+    return _users(spark.sparkContext.applicationId, spark, sf_dir)
+
+
 def sources(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "part").selectExpr(
         "p_partkey as source_id",

@@ -31,13 +31,13 @@ def f5(spark, d):
     return dt.detect_cuts_score(fx.frame_scores(spark, d)).withColumn("score", F.round("score", 6))
 
 
-# five overlapping segments per source, cut by the scalar feature
-SEGS_SQL = "segs AS (SELECT DISTINCT source_id % 7 AS timeline_id, source_id || '/' || k AS clip_id, source_id, 10 * k AS source_in, 10 * k + 19 + source_id % 9 AS source_out FROM frames, (SELECT unnest([0, 1, 2, 3, 4]) AS k))"
+# overlapping segments over the whole length of each source, cut by the scalar feature
+SEGS_SQL = "segs AS (SELECT source_id % 7 AS timeline_id, source_id || '/' || k AS clip_id, source_id, 20 * k AS source_in, 20 * k + 29 + source_id % 9 AS source_out FROM (SELECT source_id, unnest(range(0, max(frame_ix) // 20 + 1)) AS k FROM frames GROUP BY source_id))"
 
 
 def segs(frames):
-    return frames.select("source_id").distinct().selectExpr("source_id", "explode(array(0L, 1L, 2L, 3L, 4L)) as k").selectExpr(
-        "source_id % 7 as timeline_id", "concat(source_id, '/', k) as clip_id", "source_id", "10 * k as source_in", "10 * k + 19 + source_id % 9 as source_out")
+    return frames.groupBy("source_id").agg(F.max("frame_ix").alias("mx")).selectExpr("source_id", "explode(sequence(0L, mx div 20)) as k").selectExpr(
+        "source_id % 7 as timeline_id", "concat(source_id, '/', k) as clip_id", "source_id", "20 * k as source_in", "20 * k + 29 + source_id % 9 as source_out")
 
 
 SHOTS_SQL = """bounds AS (SELECT timeline_id, clip_id, source_id, source_in, source_out, source_in AS b FROM segs
@@ -64,7 +64,7 @@ def f4b(spark, d):
     return _shots(spark, d, "first")
 
 
-@query("f6_score_windows", with_sql(FRAMES_SQL, SEGS_SQL.replace("10 * k + 19 + source_id % 9", "10 * k + 70 + source_id % 300")) + """,
+@query("f6_score_windows", with_sql(FRAMES_SQL, SEGS_SQL.replace("20 * k + 29 + source_id % 9", "20 * k + 70 + source_id % 300")) + """,
 n AS (SELECT source_id, max(frame_ix) AS mx FROM frames GROUP BY source_id),
 s2 AS (SELECT timeline_id, clip_id, source_id, source_in, least(source_out, mx) AS source_out FROM segs JOIN n USING (source_id) WHERE source_in <= mx)
 SELECT s.timeline_id, s.clip_id, f.frame_ix, round(coalesce(abs(g.feature - f.feature), 0) / 255.0::DOUBLE, 6) AS score
@@ -72,9 +72,9 @@ SELECT s.timeline_id, s.clip_id, f.frame_ix, round(coalesce(abs(g.feature - f.fe
  LEFT JOIN frames g ON g.source_id = s.source_id AND g.frame_ix = least(f.frame_ix + 1, source_out)""")
 def f6(spark, d):
     f = fx.frames(spark, d)
-    s = f.groupBy("source_id").agg(F.max("frame_ix").alias("mx")).selectExpr("source_id", "mx", "explode(array(0L, 1L, 2L, 3L, 4L)) as k").selectExpr(
-        "source_id % 7 as timeline_id", "concat(source_id, '/', k) as clip_id", "source_id", "10 * k as source_in",
-        "least(10 * k + 70 + source_id % 300, mx) as source_out").where("source_in <= source_out")
+    s = f.groupBy("source_id").agg(F.max("frame_ix").alias("mx")).selectExpr("source_id", "mx", "explode(sequence(0L, mx div 20)) as k").selectExpr(
+        "source_id % 7 as timeline_id", "concat(source_id, '/', k) as clip_id", "source_id", "20 * k as source_in",
+        "least(20 * k + 70 + source_id % 300, mx) as source_out").where("source_in <= source_out")
     return dt.score_windows(f, s).select("timeline_id", "clip_id", "frame_ix", F.round("score", 6).alias("score"))
 
 
@@ -120,7 +120,7 @@ def e10(spark, d):
 
 
 # items whose sources are the event users, so that their frames exist
-K5_ITEMS = ITEMS_SQL.replace("THEN l_partkey END AS source_id", "THEN l_partkey % 150 END AS source_id").replace("THEN 7 * l_suppkey ELSE", "THEN l_suppkey % 40 ELSE")
+K5_ITEMS = ITEMS_SQL.replace("THEN l_partkey END AS source_id", "THEN l_partkey % (SELECT count(DISTINCT user_id) FROM events) END AS source_id").replace("THEN 7 * l_suppkey ELSE", "THEN l_suppkey % 40 ELSE")
 K5_SQL = with_sql(K5_ITEMS, TIMELINES_SQL, RANGED_SQL, "{frames}", SEGMENTS_K4) + """, hits AS (SELECT k4.timeline_id, k4.item_ix, seg_in, seg_out, {cut} + 1 AS b FROM k4 JOIN {table} c ON c.source_id = k4.source_id AND c.frame_ix <= seg_out AND {inside}),
 piece AS (SELECT timeline_id, item_ix, source_id, seg_in AS b, seg_out AS e FROM k4
  UNION SELECT timeline_id, item_ix, source_id, b, seg_out FROM hits JOIN (SELECT timeline_id, item_ix, source_id FROM k4) USING (timeline_id, item_ix) WHERE b > seg_in AND b <= seg_out),
@@ -135,7 +135,7 @@ SELECT timeline_id, row_number() OVER w AS item_ix, source_id, source_in, source
 
 def k5_items(spark, d):
     it = fx.items(spark, d)
-    return materialize(it.selectExpr("timeline_id", "item_ix", "clip_id", "source_id % 150 as source_id", "case when source_id is null then 0 else l_suppkey % 40 end as source_in",
+    return materialize(it.selectExpr("timeline_id", "item_ix", "clip_id", f"source_id % {fx.users(spark, d)} as source_id", "case when source_id is null then 0 else l_suppkey % 40 end as source_in",
                          "case when source_id is null then 0 else l_suppkey % 40 end + dur - 1 as source_out", "label", "color_index", "group_ids"))
 
 

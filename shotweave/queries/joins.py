@@ -60,12 +60,12 @@ def d4(spark, d):
     return j.segment_overlaps(seg)
 
 
-SEEKS_SQL = "seeks AS (SELECT o_custkey % 160 AS source_id, o_orderkey AS seek_id, (1704067200 + o_totalprice * 5)::DOUBLE AS seek, (o_custkey % 3)::DOUBLE AS start_time FROM orders)"
+SEEKS_SQL = "seeks AS (SELECT o_custkey % ((SELECT count(DISTINCT user_id) FROM events) + 10) AS source_id, o_orderkey AS seek_id, (1704067200 + o_totalprice * 5)::DOUBLE AS seek, (o_custkey % 3)::DOUBLE AS start_time FROM orders)"
 
 
 def seeks(spark, d):
     return fx.table(spark, d, "orders").selectExpr(
-        "o_custkey % 160 as source_id", "o_orderkey as seek_id", "1704067200D + o_totalprice * 5 as seek", "cast(o_custkey % 3 as double) as start_time")
+        f"o_custkey % {fx.users(spark, d) + 10} as source_id", "o_orderkey as seek_id", "1704067200D + o_totalprice * 5 as seek", "cast(o_custkey % 3 as double) as start_time")
 
 
 @query("d5_bracket_pts", with_sql(PACKETS_SQL, SEEKS_SQL) + """, have AS (SELECT DISTINCT source_id FROM packets)
@@ -76,12 +76,12 @@ def d5(spark, d):
     return j.bracket_pts(seeks(spark, d), fx.packets(spark, d), width=3600.0).select("seek_id", "source_id", "pts_k")
 
 
-KEYPOINTS_SQL = "kp AS (SELECT o_orderkey, o_custkey % 150 AS crop_id, CASE o_orderkey % 4 WHEN 0 THEN 'x' WHEN 1 THEN 'y' WHEN 2 THEN 'w' ELSE 'h' END AS axis, o_orderkey % 720 AS frame FROM orders)"
+KEYPOINTS_SQL = "kp AS (SELECT o_orderkey, o_custkey % (SELECT count(DISTINCT user_id) FROM events) AS crop_id, CASE o_orderkey % 4 WHEN 0 THEN 'x' WHEN 1 THEN 'y' WHEN 2 THEN 'w' ELSE 'h' END AS axis, o_orderkey % 720 AS frame FROM orders)"
 
 
 def keypoints(spark, d):
     return fx.table(spark, d, "orders").selectExpr(
-        "o_orderkey", "o_custkey % 150 as crop_id", "case o_orderkey % 4 when 0 then 'x' when 1 then 'y' when 2 then 'w' else 'h' end as axis",
+        "o_orderkey", f"o_custkey % {fx.users(spark, d)} as crop_id", "case o_orderkey % 4 when 0 then 'x' when 1 then 'y' when 2 then 'w' else 'h' end as axis",
         "o_orderkey % 720 as frame")
 
 
@@ -155,20 +155,20 @@ def d11(spark, d):
     return st.revive_orphans(s.selectExpr("file_path", "source_id + 500 as source_id"), orphans, live).select("file_path", "source_id", "revived")
 
 
-@query("d12_first_at_or_after", with_sql(FRAMES_SQL) + """, t AS (SELECT o_custkey % 150 AS source_id, o_orderkey, o_orderkey % 75 AS target FROM orders),
+@query("d12_first_at_or_after", with_sql(FRAMES_SQL) + """, t AS (SELECT o_custkey % (SELECT count(DISTINCT user_id) FROM events) AS source_id, o_orderkey, o_orderkey % 75 AS target FROM orders),
 f AS (SELECT source_id, frame_ix * 2 AS pts FROM frames WHERE frame_ix % 3 > 0)
 SELECT o_orderkey, t.source_id, min(pts) AS pts FROM t JOIN f ON f.source_id = t.source_id AND pts >= target GROUP BY ALL""")
 def d12(spark, d):
-    t = fx.table(spark, d, "orders").selectExpr("o_custkey % 150 as source_id", "o_orderkey", "o_orderkey % 75 as target")
+    t = fx.table(spark, d, "orders").selectExpr(f"o_custkey % {fx.users(spark, d)} as source_id", "o_orderkey", "o_orderkey % 75 as target")
     f = fx.frames(spark, d).where("frame_ix % 3 > 0").selectExpr("source_id", "frame_ix * 2 as pts")
     return j.first_frame_at_or_after(t, f, "target", "pts", 4096).select("o_orderkey", "source_id", "pts")
 
 
-@query("d13_nearest_frame", with_sql(FRAMES_SQL) + """, t AS (SELECT o_custkey % 150 AS source_id, o_orderkey, o_orderkey % 400 AS frame FROM orders),
+@query("d13_nearest_frame", with_sql(FRAMES_SQL) + """, t AS (SELECT o_custkey % (SELECT count(DISTINCT user_id) FROM events) AS source_id, o_orderkey, o_orderkey % 400 AS frame FROM orders),
 f AS (SELECT source_id, frame_ix * 5 AS c FROM frames)
 SELECT o_orderkey, t.source_id, arg_min(c, abs(c - frame) * 100000 + c) AS nearest FROM t JOIN f ON f.source_id = t.source_id AND abs(c - frame) <= 2 GROUP BY ALL""")
 def d13(spark, d):
-    t = fx.table(spark, d, "orders").selectExpr("o_custkey % 150 as source_id", "o_orderkey", "o_orderkey % 400 as frame")
+    t = fx.table(spark, d, "orders").selectExpr(f"o_custkey % {fx.users(spark, d)} as source_id", "o_orderkey", "o_orderkey % 400 as frame")
     f = fx.frames(spark, d).selectExpr("source_id", "frame_ix * 5 as frame_ix")
     return j.nearest_frame(t, f, tolerance=2).select("o_orderkey", "source_id", "nearest")
 

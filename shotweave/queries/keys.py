@@ -15,11 +15,11 @@ def plain(spark, d):
     return fx.keyframes(spark, d).withColumn("interp", F.when(F.col("interp") == "bezier", "linear").otherwise(F.col("interp")))
 
 
-POINTS_SQL = "pts AS (SELECT DISTINCT o_custkey % 160 AS crop_id, (o_orderkey * 7) % 800 - 20 AS frame FROM orders)"
+POINTS_SQL = "pts AS (SELECT DISTINCT o_custkey % ((SELECT count(DISTINCT user_id) FROM events) + 10) AS crop_id, (o_orderkey * 7) % 800 - 20 AS frame FROM orders)"
 
 
 def points(spark, d):
-    return fx.table(spark, d, "orders").selectExpr("o_custkey % 160 as crop_id", "(o_orderkey * 7) % 800 - 20 as frame").distinct()
+    return fx.table(spark, d, "orders").selectExpr(f"o_custkey % {fx.users(spark, d) + 10} as crop_id", "(o_orderkey * 7) % 800 - 20 as frame").distinct()
 
 
 SAMPLE_SQL = """kk AS (SELECT *, lead(source_frame) OVER w AS nf, lead(value) OVER w AS nv, lead(interp) OVER w AS ni FROM keyframes WINDOW w AS (PARTITION BY crop_id, axis ORDER BY source_frame)),
@@ -74,21 +74,21 @@ def j7(spark, d):
     return kf.is_animated(base(spark, d), some_keys(fx.keyframes(spark, d))).select("crop_id", "animated")
 
 
-@query("h5_keys_in_windows", with_sql(KEYFRAMES_SQL) + """, w AS (SELECT o_custkey % 160 AS crop_id, o_orderkey AS window_id, o_orderkey % 700 AS lo, o_orderkey % 700 + o_custkey % 40 AS hi FROM orders)
+@query("h5_keys_in_windows", with_sql(KEYFRAMES_SQL) + """, w AS (SELECT o_custkey % ((SELECT count(DISTINCT user_id) FROM events) + 10) AS crop_id, o_orderkey AS window_id, o_orderkey % 700 AS lo, o_orderkey % 700 + o_custkey % 40 AS hi FROM orders)
 SELECT DISTINCT w.crop_id, window_id, source_frame AS key_frame FROM w JOIN keyframes k ON k.crop_id = w.crop_id AND source_frame >= lo AND source_frame < hi""")
 def h5(spark, d):
-    w = fx.table(spark, d, "orders").selectExpr("o_custkey % 160 as crop_id", "o_orderkey as window_id", "o_orderkey % 700 as lo", "o_orderkey % 700 + o_custkey % 40 as hi")
+    w = fx.table(spark, d, "orders").selectExpr(f"o_custkey % {fx.users(spark, d) + 10} as crop_id", "o_orderkey as window_id", "o_orderkey % 700 as lo", "o_orderkey % 700 + o_custkey % 40 as hi")
     return kf.keys_in_windows(fx.keyframes(spark, d), w, width=64).select("crop_id", "window_id", "key_frame")
 
 
 # edits: several per slot, the highest order key wins
-SETS_SQL = """sets AS (SELECT o_custkey % 150 AS crop_id, CASE o_orderkey % 4 WHEN 0 THEN 'x' WHEN 1 THEN 'y' WHEN 2 THEN 'w' ELSE 'h' END AS axis, o_orderkey % 720 AS source_frame,
+SETS_SQL = """sets AS (SELECT o_custkey % (SELECT count(DISTINCT user_id) FROM events) AS crop_id, CASE o_orderkey % 4 WHEN 0 THEN 'x' WHEN 1 THEN 'y' WHEN 2 THEN 'w' ELSE 'h' END AS axis, o_orderkey % 720 AS source_frame,
  (o_custkey % 90)::DOUBLE AS nv, CASE WHEN o_custkey % 2 = 0 THEN 'linear' ELSE 'step' END AS ni, o_orderkey AS seq FROM orders)"""
 
 
 def sets(spark, d):
     return fx.table(spark, d, "orders").selectExpr(
-        "o_custkey % 150 as crop_id", "case o_orderkey % 4 when 0 then 'x' when 1 then 'y' when 2 then 'w' else 'h' end as axis", "o_orderkey % 720 as source_frame",
+        f"o_custkey % {fx.users(spark, d)} as crop_id", "case o_orderkey % 4 when 0 then 'x' when 1 then 'y' when 2 then 'w' else 'h' end as axis", "o_orderkey % 720 as source_frame",
         "cast(o_custkey % 90 as double) as value", "case when o_custkey % 2 = 0 then 'linear' else 'step' end as interp", "o_orderkey as edit_seq")
 
 
