@@ -1,7 +1,7 @@
 """Animated crop geometry: sampling of keyframe tracks, key edits, nested and flat forms.
 
-``keyframes``: crop_id, axis (x, y, w, h), source_frame (unique per crop and axis), value, interp, in_dx,
-in_dy, out_dx, out_dy.
+``keyframes``: timeline_id, crop_id, axis (x, y, w, h), source_frame (unique per crop and axis), value, interp, in_dx,
+in_dy, out_dx, out_dy. Crop ids are unique within a timeline; tables of a single project may leave ``timeline_id`` out.
 """
 
 from __future__ import annotations
@@ -9,9 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shotweave.functions import expr as X
-from shotweave.operators.ordered import asof_join, chunk_of, ordered_scan, overlap_join
+from shotweave.operators.ordered import asof_join, chunk_of, keyed, ordered_scan, overlap_join
 
-KEYS = ["crop_id", "axis"]
 SHAPE = ["value", "interp", "in_dx", "in_dy", "out_dx", "out_dy"]
 NEWTON_STEPS = 8
 # position before every key: the clamp row of a track sits here
@@ -20,10 +19,11 @@ BEFORE_ALL = -(1 << 50)
 
 # ---- sampling ---------------------------------------------------------------------------
 
-def key_pairs(keyframes: DataFrame) -> DataFrame:
+def key_pairs(keyframes: DataFrame, crop: list[str] | None = None) -> DataFrame:
     """Every key with the next key of its track (null on the last one) and its place in the track."""
     nxt = F.struct("source_frame", *SHAPE)
-    return ordered_scan(keyframes.select(*KEYS, "source_frame", *SHAPE), KEYS, ["source_frame"], chunk_of("source_frame"),
+    keys = [*(crop or keyed("crop_id", keyframes)), "axis"]
+    return ordered_scan(keyframes.select(*keys, "source_frame", *SHAPE), keys, ["source_frame"], chunk_of("source_frame"),
                         following={"next_key": nxt}, index="key_ix", totals={"n_keys": F.lit(1)})
 
 
@@ -61,16 +61,18 @@ def track_pieces(keyframes: DataFrame, points: DataFrame, width: int = 65536) ->
 
     A frame on an inner key belongs to the pair that ends there.
     """
-    pairs = key_pairs(keyframes)
-    rows = pairs.select(*KEYS, F.col("source_frame").alias("a_pos"), F.struct("source_frame", *SHAPE).alias("a"),
+    crop = keyed("crop_id", keyframes, points)
+    keys = [*crop, "axis"]
+    pairs = key_pairs(keyframes, crop)
+    rows = pairs.select(*keys, F.col("source_frame").alias("a_pos"), F.struct("source_frame", *SHAPE).alias("a"),
                         F.col("next_key").alias("b"), (F.col("key_ix") == F.col("n_keys") - 2).alias("b_last"), "key_ix")
     none = F.lit(None).cast(rows.schema["b"].dataType)
-    head = rows.where("key_ix = 0").select(*KEYS, F.lit(BEFORE_ALL).cast("long").alias("a_pos"), "a", none.alias("b"), F.lit(False).alias("b_last"))
-    rows = rows.select(*KEYS, "a_pos", "a", "b", "b_last").unionByName(head)
+    head = rows.where("key_ix = 0").select(*keys, F.lit(BEFORE_ALL).cast("long").alias("a_pos"), "a", none.alias("b"), F.lit(False).alias("b_last"))
+    rows = rows.select(*keys, "a_pos", "a", "b", "b_last").unionByName(head)
     # one row per track; no point is expanded for axes that are not animated
-    tracks = keyframes.select(*KEYS).distinct()
-    wanted = points.select("crop_id", "frame").distinct().join(tracks, "crop_id")
-    return asof_join(wanted, rows, KEYS, "frame", "a_pos", width=width, strict=True).drop("a_pos")
+    tracks = keyframes.select(*keys).distinct()
+    wanted = points.select(*crop, "frame").distinct().join(tracks, crop)
+    return asof_join(wanted, rows, keys, "frame", "a_pos", width=width, strict=True).drop("a_pos")
 
 
 def piece_value(a: Column, b: Column, b_last: Column, t: Column) -> Column:
@@ -90,7 +92,7 @@ def piece_value(a: Column, b: Column, b_last: Column, t: Column) -> Column:
 def sample_tracks(keyframes: DataFrame, points: DataFrame, width: int = 65536) -> DataFrame:
     """Track value at each (crop_id, frame), per axis that has keys."""
     hit = track_pieces(keyframes, points, width)
-    return hit.select(*KEYS, "frame", piece_value(F.col("a"), F.col("b"), F.col("b_last"), F.col("frame")).alias("value"))
+    return hit.select(*keyed("crop_id", hit), "axis", "frame", piece_value(F.col("a"), F.col("b"), F.col("b_last"), F.col("frame")).alias("value"))
 
 
 def locked_rect(x, y, w, h) -> list[Column]:
@@ -102,31 +104,35 @@ def locked_rect(x, y, w, h) -> list[Column]:
 
 def sample_crops(crops: DataFrame, keyframes: DataFrame, points: DataFrame) -> DataFrame:
     """Crop rectangle at each (crop_id, frame): animated axes from their tracks, the others from the base."""
-    pts = points.select("crop_id", "frame").distinct()
+    crop = keyed("crop_id", crops, keyframes, points)
+    pts = points.select(*crop, "frame").distinct()
     per_axis = sample_tracks(keyframes, pts)
-    wide = per_axis.groupBy("crop_id", "frame").agg(*[
+    wide = per_axis.groupBy(*crop, "frame").agg(*[
         F.max(F.when(F.col("axis") == ax, F.col("value"))).alias(f"__{ax}") for ax in ("x", "y", "w", "h")])
-    base = crops.select("crop_id", "x", "y", "w", "h", "aspect_ratio", "custom_ratio_w", "custom_ratio_h")
-    rows = pts.join(base, "crop_id").join(wide, ["crop_id", "frame"], "left")
+    base = crops.select(*crop, "x", "y", "w", "h", "aspect_ratio", "custom_ratio_w", "custom_ratio_h")
+    rows = pts.join(base, crop).join(wide, [*crop, "frame"], "left")
     v = {ax: F.coalesce(F.col(f"__{ax}"), F.col(ax).cast("double")) for ax in ("x", "y", "w", "h")}
-    return rows.select("crop_id", "frame", *locked_rect(v["x"], v["y"], v["w"], v["h"]))
+    return rows.select(*crop, "frame", *locked_rect(v["x"], v["y"], v["w"], v["h"]))
 
 
 def is_animated(crops: DataFrame, keyframes: DataFrame) -> DataFrame:
-    moving = keyframes.select("crop_id").distinct().withColumn("__m", F.lit(True))
-    return crops.join(moving, "crop_id", "left").withColumn("animated", F.coalesce("__m", F.lit(False))).drop("__m")
+    crop = keyed("crop_id", crops, keyframes)
+    moving = keyframes.select(*crop).distinct().withColumn("__m", F.lit(True))
+    return crops.join(moving, crop, "left").withColumn("animated", F.coalesce("__m", F.lit(False))).drop("__m")
 
 
 def keys_in_windows(keyframes: DataFrame, windows: DataFrame, width: int = 4096) -> DataFrame:
     """Distinct key frames of any axis inside [lo, hi) of each window (crop_id, window columns, lo, hi)."""
-    k = keyframes.select("crop_id", F.col("source_frame").alias("key_frame")).distinct().withColumn("__k", F.col("key_frame"))
+    crop = keyed("crop_id", keyframes, windows)
+    k = keyframes.select(*crop, F.col("source_frame").alias("key_frame")).distinct().withColumn("__k", F.col("key_frame"))
     w = windows.where("hi > lo").withColumn("__last", F.col("hi") - 1)
-    return overlap_join(k, w, ["crop_id"], ("key_frame", "__k"), ("lo", "__last"), width=width).drop("__k", "__last")
+    return overlap_join(k, w, crop, ("key_frame", "__k"), ("lo", "__last"), width=width).drop("__k", "__last")
 
 
 # ---- key edits ------------------------------------------------------------------------------
 
-SLOT = [*KEYS, "source_frame"]
+def _slot(keyframes: DataFrame, edits: DataFrame) -> list[str]:
+    return [*keyed("crop_id", keyframes, edits), "axis", "source_frame"]
 
 
 def _latest(edits: DataFrame, slot: list[str]) -> DataFrame:
@@ -137,34 +143,37 @@ def _latest(edits: DataFrame, slot: list[str]) -> DataFrame:
 def upsert_keys(keyframes: DataFrame, edits: DataFrame) -> DataFrame:
     """Set keys (crop_id, axis, source_frame, value, interp, edit_seq). An existing key keeps its handles
     unless its interpolation changes at any of the edits; a new key has none."""
-    changes = edits.groupBy(*SLOT).agg(
+    slot = _slot(keyframes, edits)
+    changes = edits.groupBy(*slot).agg(
         F.max_by(F.struct("value", "interp"), "edit_seq").alias("e"), F.min("interp").alias("__lo"), F.max("interp").alias("__hi"))
-    k = keyframes.select(*SLOT, F.struct(*SHAPE).alias("k"))
-    both = k.join(changes, SLOT, "full_outer")
+    k = keyframes.select(*slot, F.struct(*SHAPE).alias("k"))
+    both = k.join(changes, slot, "full_outer")
     same = F.col("e").isNull() | ((F.col("__lo") == F.col("k.interp")) & (F.col("__hi") == F.col("k.interp")))
 
     def handle(c):
         return F.when(F.coalesce(same, F.lit(False)), F.col(f"k.{c}")).otherwise(F.lit(0.0)).alias(c)
 
-    return both.select(*SLOT, F.coalesce(F.col("e.value"), F.col("k.value")).alias("value"),
+    return both.select(*slot, F.coalesce(F.col("e.value"), F.col("k.value")).alias("value"),
                        F.coalesce(F.col("e.interp"), F.col("k.interp")).alias("interp"),
                        *[handle(c) for c in ("in_dx", "in_dy", "out_dx", "out_dy")])
 
 
 def delete_keys(keyframes: DataFrame, edits: DataFrame) -> DataFrame:
-    return keyframes.join(edits.select(*SLOT), SLOT, "left_anti").select(*SLOT, *SHAPE)
+    slot = _slot(keyframes, edits)
+    return keyframes.join(edits.select(*slot), slot, "left_anti").select(*slot, *SHAPE)
 
 
 def move_keys(keyframes: DataFrame, edits: DataFrame) -> DataFrame:
     """Move keys (crop_id, axis, old_frame, new_frame, new_value, edit_seq); a key at the destination is
     replaced, interpolation and handles travel. All moves see the keys as they were before the call."""
-    e = _latest(edits.withColumnRenamed("old_frame", "source_frame"), SLOT)
-    hit = keyframes.join(e, SLOT, "left")
+    slot = [*keyed("crop_id", keyframes, edits), "axis", "source_frame"]
+    e = _latest(edits.withColumnRenamed("old_frame", "source_frame"), slot)
+    hit = keyframes.join(e, slot, "left")
     moved = hit.where("e is not null").select(
-        *KEYS, F.col("e.new_frame").alias("source_frame"), F.col("e.new_value").alias("value"),
+        *slot[:-1], F.col("e.new_frame").alias("source_frame"), F.col("e.new_value").alias("value"),
         "interp", "in_dx", "in_dy", "out_dx", "out_dy", F.col("e.edit_seq").alias("edit_seq"))
-    landed = _latest(moved, SLOT).select(*SLOT, *[F.col(f"e.{c}").alias(c) for c in SHAPE])
-    stay = hit.where("e is null").select(*SLOT, *SHAPE).join(landed.select(*SLOT), SLOT, "left_anti")
+    landed = _latest(moved, slot).select(*slot, *[F.col(f"e.{c}").alias(c) for c in SHAPE])
+    stay = hit.where("e is null").select(*slot, *SHAPE).join(landed.select(*slot), slot, "left_anti")
     return stay.unionByName(landed)
 
 
@@ -174,9 +183,10 @@ def shape_keys(keyframes: DataFrame, edits: DataFrame) -> DataFrame:
     Edits of missing keys are ignored."""
     handles = ["in_dx", "in_dy", "out_dx", "out_dy"]
     full = F.col("interp").isNotNull()
-    e = edits.select(*SLOT, "edit_seq", "interp", *[F.when(full, F.coalesce(c, F.lit(0.0))).otherwise(F.col(c)).alias(c) for c in handles])
-    e = e.groupBy(*SLOT).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("edit_seq"))).alias(f"__{c}") for c in ["interp", *handles]])
-    return keyframes.join(e, SLOT, "left").select(*SLOT, "value", *[F.coalesce(f"__{c}", c).alias(c) for c in ["interp", *handles]])
+    slot = _slot(keyframes, edits)
+    e = edits.select(*slot, "edit_seq", "interp", *[F.when(full, F.coalesce(c, F.lit(0.0))).otherwise(F.col(c)).alias(c) for c in handles])
+    e = e.groupBy(*slot).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("edit_seq"))).alias(f"__{c}") for c in ["interp", *handles]])
+    return keyframes.join(e, slot, "left").select(*slot, "value", *[F.coalesce(f"__{c}", c).alias(c) for c in ["interp", *handles]])
 
 
 def pair_interp(keyframes: DataFrame, edits: DataFrame) -> DataFrame:
@@ -184,15 +194,16 @@ def pair_interp(keyframes: DataFrame, edits: DataFrame) -> DataFrame:
     "size", source_frame, interp, edit_seq). Handles stay."""
     axes = (F.when(F.col("pair") == "position", F.array(F.lit("x"), F.lit("y")))
             .when(F.col("pair") == "size", F.array(F.lit("w"), F.lit("h"))))
-    both = edits.select("crop_id", F.explode(axes).alias("axis"), "source_frame", "interp", "edit_seq")
-    e = _latest(both, SLOT).select(*SLOT, F.col("e.interp").alias("__i"))
-    return keyframes.join(e, SLOT, "left").select(
-        *SLOT, "value", F.coalesce("__i", "interp").alias("interp"), "in_dx", "in_dy", "out_dx", "out_dy")
+    slot = [*keyed("crop_id", keyframes, edits), "axis", "source_frame"]
+    both = edits.select(*slot[:-2], F.explode(axes).alias("axis"), "source_frame", "interp", "edit_seq")
+    e = _latest(both, slot).select(*slot, F.col("e.interp").alias("__i"))
+    return keyframes.join(e, slot, "left").select(
+        *slot, "value", F.coalesce("__i", "interp").alias("interp"), "in_dx", "in_dy", "out_dx", "out_dy")
 
 
 def apply_key_edits(keyframes: DataFrame, moves=None, deletes=None, sets=None, shapes=None, pairs=None) -> DataFrame:
     """A batch of key edits, by kind and in this order: moves, deletes, sets, shapes, axis pairs."""
-    out = keyframes.select(*SLOT, *SHAPE)
+    out = keyframes.select(*keyed("crop_id", keyframes), "axis", "source_frame", *SHAPE)
     for fn, edits in ((move_keys, moves), (delete_keys, deletes), (upsert_keys, sets), (shape_keys, shapes), (pair_interp, pairs)):
         if edits is not None:
             out = fn(out, edits)
@@ -211,7 +222,7 @@ def flatten_crops(clips: DataFrame) -> dict[str, DataFrame]:
     c = c.withColumns({
         "crop_ix": F.col("crop_ix").cast("long"),
         "crop_id": F.coalesce(F.when(F.col("c.id") != "", F.col("c.id")),
-                              F.left(F.sha2(F.concat_ws(":", F.col("timeline_id").cast("string"), "clip_id", F.col("crop_ix").cast("string")), 256), F.lit(12)))})
+                              F.left(F.sha2(F.concat_ws(":", F.col("timeline_id").cast("string"), "clip_id", F.col("crop_ix").cast("string")), 256), F.lit(32)))})
     zero = F.lit(0).cast("long")
     crops = c.select(
         "timeline_id", "clip_id", "crop_ix", "crop_id",
@@ -223,19 +234,19 @@ def flatten_crops(clips: DataFrame) -> dict[str, DataFrame]:
     has_old = "anchor_frame" in clips.schema["crop_regions"].dataType.elementType.names
     one = F.array(F.struct(F.lit(None).cast("string").alias("id"), (F.coalesce("c.anchor_frame", zero) if has_old else zero).alias("anchor_frame"), F.lit(True).alias("active")))
     segs = F.when(F.coalesce(F.size("c.segments"), F.lit(0)) > 0, F.col("c.segments")).otherwise(one.cast("array<struct<id:string,anchor_frame:bigint,active:boolean>>"))
-    s = c.select("crop_id", F.posexplode(segs).alias("segment_ix", "s"))
+    s = c.select("timeline_id", "crop_id", F.posexplode(segs).alias("segment_ix", "s"))
     segments = s.select(
-        "crop_id", F.col("segment_ix").cast("long").alias("segment_ix"),
-        F.coalesce(F.when(F.col("s.id") != "", F.col("s.id")), F.left(F.sha2(F.concat_ws(":", "crop_id", F.col("segment_ix").cast("string")), 256), F.lit(12))).alias("segment_id"),
+        "timeline_id", "crop_id", F.col("segment_ix").cast("long").alias("segment_ix"),
+        F.coalesce(F.when(F.col("s.id") != "", F.col("s.id")), F.left(F.sha2(F.concat_ws(":", F.col("timeline_id").cast("string"), "crop_id", F.col("segment_ix").cast("string")), 256), F.lit(32))).alias("segment_id"),
         F.coalesce("s.anchor_frame", zero).alias("anchor_frame"), F.coalesce("s.active", F.lit(True)).alias("active"))
     tracks = F.array(*[F.struct(F.lit(ax).alias("axis"), F.col(f"c.{ax}_track.keys").alias("keys")) for ax in ("x", "y", "w", "h")])
-    k = c.select("crop_id", F.explode(tracks).alias("t")).select("crop_id", "t.axis", F.explode("t.keys").alias("k"))
+    k = c.select("timeline_id", "crop_id", F.explode(tracks).alias("t")).select("timeline_id", "crop_id", "t.axis", F.explode("t.keys").alias("k"))
 
     def part(h, i):
         return F.coalesce(F.get(F.col(f"k.{h}"), F.lit(i)), F.lit(0.0))
 
     keys = k.select(
-        "crop_id", "axis", F.coalesce("k.source_frame", zero).alias("source_frame"), F.coalesce("k.value", F.lit(0.0)).alias("value"),
+        "timeline_id", "crop_id", "axis", F.coalesce("k.source_frame", zero).alias("source_frame"), F.coalesce("k.value", F.lit(0.0)).alias("value"),
         F.when(F.col("k.interp").isin(*X.INTERPS), F.col("k.interp")).otherwise(F.lit("linear")).alias("interp"),
         part("in_handle", 0).alias("in_dx"), part("in_handle", 1).alias("in_dy"), part("out_handle", 0).alias("out_dx"), part("out_handle", 1).alias("out_dy"))
     return {"crops": crops, "segments": segments, "keyframes": keys}
@@ -244,13 +255,14 @@ def flatten_crops(clips: DataFrame) -> dict[str, DataFrame]:
 def nest_crops(crops: DataFrame, segments: DataFrame, keyframes: DataFrame) -> DataFrame:
     """One nested document struct per crop (timeline_id, clip_id, crop_ix, crop). Tracks without keys are
     null, so they vanish from the text. The nested form is one row per crop by definition."""
-    seg = segments.groupBy("crop_id").agg(F.array_sort(F.collect_list(F.struct(
+    with_segments, with_keys = keyed("crop_id", crops, segments), keyed("crop_id", crops, keyframes)
+    seg = segments.groupBy(*with_segments).agg(F.array_sort(F.collect_list(F.struct(
         "segment_ix", F.struct(F.col("segment_id").alias("id"), "anchor_frame", "active").alias("s")))).alias("__s"))
     key = F.struct("source_frame", "value", "interp", F.array("in_dx", "in_dy").alias("in_handle"), F.array("out_dx", "out_dy").alias("out_handle"))
-    keyed = keyframes.withColumn("__key", key)
-    tracks = keyed.groupBy("crop_id").agg(*[
+    marked = keyframes.withColumn("__key", key)
+    tracks = marked.groupBy(*with_keys).agg(*[
         F.array_sort(F.collect_list(F.when(F.col("axis") == ax, F.col("__key")))).alias(f"__{ax}") for ax in ("x", "y", "w", "h")])
-    rows = crops.join(seg, "crop_id", "left").join(tracks, "crop_id", "left")
+    rows = crops.join(seg, with_segments, "left").join(tracks, with_keys, "left")
 
     def track(ax):
         return F.when(F.size(f"__{ax}") > 0, F.struct(F.col(f"__{ax}").alias("keys"))).alias(f"{ax}_track")

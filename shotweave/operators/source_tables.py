@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from shotweave.functions import expr as X
+from shotweave.operators.ordered import keyed
 from shotweave.operators.timeline import TL, duration, is_gap
 
 # ---- fixed values ---------------------------------------------------------------------
@@ -120,14 +121,17 @@ def apply_relink(sources: DataFrame, items: DataFrame, resolved: DataFrame, skip
     ``touched`` flag). ``skip_negative`` leaves items alone when the new file has no frames.
     """
     meta = [c for c in resolved.columns if c != "source_id" and c in sources.columns]
-    new = resolved.select("source_id", *[F.col(c).alias(f"__new_{c}") for c in meta], F.lit(True).alias("__hit"))
-    joined = sources.join(new, "source_id", "left")
+    source = keyed("source_id", sources, resolved)
+    new = resolved.select(*source, *[F.col(c).alias(f"__new_{c}") for c in meta if c not in source], F.lit(True).alias("__hit"))
+    meta = [c for c in meta if c not in source]
+    joined = sources.join(new, source, "left")
     out_sources = joined.select(*[
         F.when(F.col("__hit"), F.col(f"__new_{c}")).otherwise(F.col(c)).alias(c) if c in meta else F.col(c)
         for c in sources.columns])
     shrunk = joined.where(F.col("__hit") & (F.col("__new_total_frames") < F.col("total_frames")))
-    limits = shrunk.select("source_id", (F.col("__new_total_frames") - 1).alias("__max"))
-    rows = items.join(limits, "source_id", "left")
+    used = keyed("source_id", sources, items)
+    limits = shrunk.select(*used, (F.col("__new_total_frames") - 1).alias("__max"))
+    rows = items.join(limits, used, "left")
     usable = F.col("__max").isNotNull() & ((F.col("__max") >= 0) if skip_negative else F.lit(True))
     over_in = usable & (F.col("source_in") > F.col("__max"))
     over_out = usable & (F.col("source_out") > F.col("__max"))
@@ -139,14 +143,25 @@ def apply_relink(sources: DataFrame, items: DataFrame, resolved: DataFrame, skip
 
 
 def revive_orphans(imports: DataFrame, orphans: DataFrame, live: DataFrame) -> DataFrame:
-    """Imported files take the id an earlier removal left behind for their path, unless it is live."""
+    """Imported files take the id an earlier removal left behind for their path, unless it is live.
+
+    An id is given once: of several imports of a path the one with the least own id takes it. ``remaining_orphans`` gives what is left.
+    """
     free = orphans.select("file_path", F.col("source_id").alias("__old")).join(
         live.select(F.col("source_id").alias("__old")).distinct(), "__old", "left_anti")
-    return imports.join(free, "file_path", "left").withColumn(
+    first = imports.where("file_path is not null").groupBy("file_path").agg(F.min("source_id").alias("source_id"))
+    given = free.join(first, "file_path")
+    return imports.join(given, ["file_path", "source_id"], "left").withColumn(
         "revived", F.col("__old").isNotNull()).withColumn(
         "source_id", F.coalesce("__old", "source_id")).drop("__old")
 
 
+def remaining_orphans(orphans: DataFrame, revived: DataFrame) -> DataFrame:
+    """Orphan entries whose id no import has taken."""
+    taken = revived.where("revived").select("file_path", "source_id")
+    return orphans.join(taken, ["file_path", "source_id"], "left_anti").select(*orphans.columns)
+
+
 def remove_sources(sources: DataFrame, items: DataFrame, orphans: DataFrame, removed: DataFrame, keep_clips: bool):
     """Drop sources; their items become gaps, or stay while path → id goes to the orphan table."""
     from shotweave.operators.edits import remove_source

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shotweave.functions import expr as X
-from shotweave.operators.ordered import chunk_of, explode_range, ordered_scan, overlap_join
+from shotweave.operators.ordered import chunk_of, explode_range, ordered_scan, overlap_join, keyed
 from shotweave.session import materialize
 
 TL = "timeline_id"
@@ -175,7 +175,8 @@ def assign_colors(items: DataFrame, start: int = 0) -> DataFrame:
 
 def contiguous_flags(items: DataFrame, sources: DataFrame) -> DataFrame:
     """Does an item continue the previous one: same file, next frame?"""
-    with_path = items.join(sources.select("source_id", "file_path"), "source_id", "left")
+    source = keyed("source_id", sources, items)
+    with_path = items.join(sources.select(*source, "file_path"), source, "left")
     out = ordered_scan(with_path, [TL], ["item_ix"], chunk_of("item_ix"),
                        prev={"__pp": F.col("file_path"), "__po": F.when(~is_gap(), F.col("source_out"))})
     same = (F.col("file_path") == F.col("__pp")) & (F.col("source_in") == F.col("__po") + 1)
@@ -191,22 +192,24 @@ def timeline_stats(items: DataFrame, fps: float = 24.0) -> DataFrame:
 
 
 def counts_by_source(items: DataFrame, sources: DataFrame) -> DataFrame:
-    n = items.where(~is_gap()).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
-    return sources.select("source_id").join(n, "source_id", "left").select("source_id", F.coalesce("n", F.lit(0)).alias("n_items"))
+    source = keyed("source_id", sources, items)
+    n = items.where(~is_gap()).groupBy(*source).agg(F.count(F.lit(1)).alias("n"))
+    return sources.select(*source).join(n, source, "left").select(*source, F.coalesce("n", F.lit(0)).alias("n_items"))
 
 
 def counts_by_group(items: DataFrame, groups: DataFrame) -> DataFrame:
     """Items per registered tag; an item counts once per tag, gaps never."""
-    tags = items.where(~is_gap()).select(F.explode(F.array_distinct("group_ids")).alias("group_id"))
-    n = tags.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
-    return groups.select("group_id", "name").join(n, "group_id", "left").select(
-        "group_id", "name", F.coalesce("n", F.lit(0)).alias("n_items"))
+    group = keyed("group_id", groups, items)
+    tags = items.where(~is_gap()).select(*group[:-1], F.explode(F.array_distinct("group_ids")).alias("group_id"))
+    n = tags.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    return groups.select(*group, "name").join(n, group, "left").select(
+        *group, "name", F.coalesce("n", F.lit(0)).alias("n_items"))
 
 
 def item_groups(items: DataFrame, groups: DataFrame) -> DataFrame:
     """One row per (item, registered tag), in toggle order; unknown tags drop out."""
     tags = items.select(TL, "item_ix", "clip_id", F.posexplode("group_ids").alias("tag_ix", "group_id"))
-    return tags.join(groups, "group_id")
+    return tags.join(groups, keyed("group_id", groups, items))
 
 
 def crop_count(items: DataFrame, crops: DataFrame) -> DataFrame:
@@ -224,12 +227,13 @@ def frame_map(items: DataFrame) -> DataFrame:
 
 # ---- referential repair -----------------------------------------------------------------------
 
-def heal_references(items: DataFrame, crops: DataFrame, groups: DataFrame, keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+def heal_references(items: DataFrame, crops: DataFrame, groups: DataFrame, keys: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Drop tag ids missing from the registry and null crop tags that are missing from it.
 
-    ``keys`` are further key columns of the registry (for per-timeline registries). Tag lists are short
+    ``keys`` are further key columns of the registry; the timeline by default, if the registry has it. Tag lists are short
     per item, so they are exploded, checked by an equi-join and folded back in toggle order.
     """
+    keys = keyed("group_id", groups, items, crops)[:-1] if keys is None else keys
     known = groups.select(*keys, "group_id").distinct().withColumn("__known", F.lit(True))
     tags = items.where(F.size("group_ids") > 0).select(
         TL, "item_ix", F.posexplode("group_ids").alias("__pos", "group_id"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from shotweave.functions import expr as X
 from shotweave.operators.crops import active_segments, native_dims, window_geometry
 from shotweave.operators.joins import route_crops
+from shotweave.operators.ordered import keyed
 from shotweave.operators.timeline import TL, filter_crops, is_gap
 from shotweave.session import materialize
 
@@ -36,8 +37,9 @@ def _label(col_label: str = "label", col_id: str = "crop_id"):
 
 def _windows(crops, segments, items, sources, opts: CropOptions, default_fps: float | None):
     c = filter_crops(_with_clip_source(crops, items), opts.group_ids, opts.include_untagged)
-    src = sources.select("source_id", "file_path", "fps", "audio_channels", F.lit(True).alias("__found"))
-    c = c.join(src, "source_id", "left")
+    source = keyed("source_id", sources, c)
+    src = sources.select(*source, "file_path", "fps", "audio_channels", F.lit(True).alias("__found"))
+    c = c.join(src, source, "left")
     c = c.withColumn("fps", F.coalesce("fps", F.lit(default_fps))) if default_fps else c.where("__found")
     # both feed several branches of the geometry
     c = materialize(c)
@@ -55,15 +57,16 @@ def crop_jobs(crops: DataFrame, segments: DataFrame, keyframes: DataFrame, items
     if folders is not None:
         c = route_crops(c, folders)
     else:
-        g = groups.select("group_id", F.col("name").alias("__gname"))
-        c = c.join(g, "group_id", "left").withColumn(
+        group = keyed("group_id", groups, c)
+        g = groups.select(*group, F.col("name").alias("__gname"))
+        c = c.join(g, group, "left").withColumn(
             "folder", F.concat(F.lit(opts.root_dir.rstrip("/") + "/"), X.folder_slug("__gname")))
         if not opts.root_dir:
             c = c.where(F.lit(False))
-    windows = windows.join(c.select("crop_id", "folder"), "crop_id")
+    windows = windows.join(c.select(TL, "crop_id", "folder"), [TL, "crop_id"])
     geo = native_dims(window_geometry(windows, c, keyframes))
-    j = windows.join(geo.select("crop_id", "segment_id", "animated", "anchor_w", "anchor_h", "base_w", "base_h", "native_w", "native_h",
-                                "aspect_constant"), ["crop_id", "segment_id"])
+    j = windows.join(geo.select(TL, "crop_id", "segment_id", "animated", "anchor_w", "anchor_h", "base_w", "base_h", "native_w", "native_h",
+                                "aspect_constant"), [TL, "crop_id", "segment_id"])
     if opts.out_mode == "native":
         dims = F.struct(F.col("native_w").alias("out_w"), F.col("native_h").alias("out_h"))
     else:
@@ -83,7 +86,7 @@ def crop_jobs(crops: DataFrame, segments: DataFrame, keyframes: DataFrame, items
 def crop_summary(crops, segments, keyframes, items, sources, opts: CropOptions = CropOptions()) -> DataFrame:
     """Per timeline: exportable windows and crops with a blocked window. A missing source counts as 24 fps here."""
     c, windows = _windows(crops, segments, items, sources, opts, 24.0)
-    geo = window_geometry(windows, c, keyframes).join(c.select("crop_id", TL), "crop_id")
+    geo = window_geometry(windows, c, keyframes)
     per_crop = geo.groupBy(TL, "crop_id").agg(
         F.count_if("aspect_constant").alias("n"), F.bool_or(~F.col("aspect_constant")).alias("blocked"))
     return per_crop.groupBy(TL).agg(F.sum("n").alias("n_exportable"), F.count_if("blocked").alias("n_blocked"))
@@ -91,5 +94,5 @@ def crop_summary(crops, segments, keyframes, items, sources, opts: CropOptions =
 
 def blocked_labels(crops, segments, keyframes, items, sources, opts: CropOptions = CropOptions()) -> DataFrame:
     c, windows = _windows(crops, segments, items, sources, opts, 24.0)
-    geo = window_geometry(windows, c, keyframes).where(~F.col("aspect_constant")).select("crop_id").distinct()
-    return c.join(geo, "crop_id", "left_semi").select(TL, _label().alias("label")).distinct()
+    geo = window_geometry(windows, c, keyframes).where(~F.col("aspect_constant")).select(TL, "crop_id").distinct()
+    return c.join(geo, [TL, "crop_id"], "left_semi").select(TL, _label().alias("label")).distinct()

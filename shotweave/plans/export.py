@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from shotweave.functions import expr as X
-from shotweave.operators.ordered import chunk_of, ordered_scan
+from shotweave.operators.ordered import chunk_of, keyed, ordered_scan
 from shotweave.operators.timeline import TL, groups_match, is_gap, place_in_range
 
 
@@ -36,8 +36,11 @@ def export_plan(items: DataFrame, sources: DataFrame, timelines: DataFrame,
     ``offset_in_range`` is the distance from the start of the range.
     """
     rows = _in_scope(items, timelines, opts)
-    src = sources.select("source_id", "file_path", F.col("fps").alias("__fps"), F.lit(True).alias("__found"))
-    rows = rows.join(src, "source_id", "left").where(is_gap() | F.col("__found"))
+    source = keyed("source_id", sources, items)
+    src = sources.select(*source, "file_path", F.col("fps").alias("__fps"), F.lit(True).alias("__found"), F.lit(0).cast("long").alias("__spread"))
+    # gaps have no source: their null ids are spread instead of meeting in one partition
+    rows = rows.withColumn("__spread", F.when(is_gap(), F.pmod("item_ix", F.lit(1024)) + 1).otherwise(F.lit(0)).cast("long"))
+    rows = rows.join(src, [*source, "__spread"], "left").where(is_gap() | F.col("__found"))
     plan = rows.select(
         TL, "item_ix", "clip_id", "source_id", "file_path", "label", "color_index", "src_in", "frame_count",
         F.when(is_gap(), F.lit(opts.gap_fps)).otherwise(F.col("__fps")).alias("fps"),
@@ -71,9 +74,10 @@ def audio_summary(items, timelines, sources, opts: ExportOptions = ExportOptions
     of descriptions is ever collected.
     """
     rows = _in_scope(items, timelines, opts).where(~is_gap()).select(TL, "source_id")
-    desc = sources.select("source_id", X.audio_text("audio_codec", "audio_channels", "audio_sample_rate").alias("d"))
+    source = keyed("source_id", sources, items)
+    desc = sources.select(*source, X.audio_text("audio_codec", "audio_channels", "audio_sample_rate").alias("d"))
     loud = F.when(F.col("d") != "none", F.col("d"))
-    agg = rows.join(desc, "source_id").groupBy(TL).agg(
+    agg = rows.join(desc, source).groupBy(TL).agg(
         F.min(loud).alias("lo"), F.max(loud).alias("hi"), F.max(F.col("d") == "none").alias("silent"))
     text = (F.when(F.col("lo").isNull(), "none")
             .when(F.col("lo") != F.col("hi"), "mixed")

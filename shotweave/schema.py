@@ -25,9 +25,9 @@ CROPS = _struct(
     timeline_id=_S, clip_id=_S, crop_ix=_L, crop_id=_S, x=_L, y=_L, w=_L, h=_L, aspect_ratio=_S,
     custom_ratio_w=_L, custom_ratio_h=_L, group_id=_S, active=_B, label=_S,
 )
-SEGMENTS = _struct(crop_id=_S, segment_ix=_L, segment_id=_S, anchor_frame=_L, active=_B)
+SEGMENTS = _struct(timeline_id=_S, crop_id=_S, segment_ix=_L, segment_id=_S, anchor_frame=_L, active=_B)
 KEYFRAMES = _struct(
-    crop_id=_S, axis=_S, source_frame=_L, value=_D, interp=_S, in_dx=_D, in_dy=_D, out_dx=_D, out_dy=_D,
+    timeline_id=_S, crop_id=_S, axis=_S, source_frame=_L, value=_D, interp=_S, in_dx=_D, in_dy=_D, out_dx=_D, out_dy=_D,
 )
 ORPHANS = _struct(timeline_id=_S, file_path=_S, source_id=_S)
 VERSIONS = _struct(

@@ -39,7 +39,7 @@ def _rows(t, name, *order):
 def _snapshot(t):
     return {n: _rows(t, n, *o) for n, o in {
         "sources": ["timeline_id", "source_ix"], "timelines": ["timeline_id"], "items": ["timeline_id", "item_ix"], "groups": ["timeline_id", "group_ix"],
-        "crops": ["crop_id"], "segments": ["crop_id", "segment_ix"], "keyframes": ["crop_id", "axis", "source_frame"], "orphans": ["file_path"]}.items()}
+        "crops": ["timeline_id", "crop_id"], "segments": ["timeline_id", "crop_id", "segment_ix"], "keyframes": ["timeline_id", "crop_id", "axis", "source_frame"], "orphans": ["timeline_id", "file_path"]}.items()}
 
 
 def test_project_read_defaults_and_round_trip(spark, tiny_chunks, monkeypatch):
@@ -53,19 +53,19 @@ def test_project_read_defaults_and_round_trip(spark, tiny_chunks, monkeypatch):
     assert [i.clip_id for i in items] == ["c1", "c2", "c3"] and items[0].group_ids == ["g2", "g1"] and items[1].source_id is None
     crops = {c.crop_id: c for c in one["crops"].collect()}
     assert crops["k1"].group_id is None and crops["k2"].group_id == "g1" and crops["k1"].aspect_ratio == "free"
-    assert [(s.anchor_frame, s.active) for s in one["segments"].where("crop_id = 'k1'").collect()] == [(7, True), (7, True)]
+    assert [(s.anchor_frame, s.active) for s in one["segments"].where("crop_id = 'k1'").collect()] == [(7, True)]
     keys = one["keyframes"].orderBy("source_frame").distinct().orderBy("source_frame").collect()
     assert [(k.source_frame, k.interp, k.out_dx) for k in keys] == [(3, "bezier", 1.5), (9, "linear", 0.0)]
     assert one["groups"].where("group_id = 'g2'").first().color == "#888888"
 
-    # crop ids repeat between the two copies, so the round trip takes one project
-    src1, out = folder(), os.path.join(folder(), "out")
-    with open(os.path.join(src1, "p1.json"), "w") as f:
-        json.dump(DOC, f)
-    t1 = pj.read_projects(spark, src1)
+    # both copies share all their ids
+    out = os.path.join(folder(), "out")
     monkeypatch.setattr(documents, "BLOCK_LINES", 4)  # several blocks per document
-    pj.write_projects(t1, out)
-    assert _snapshot(pj.read_projects(spark, out)) == _snapshot(t1)
+    pj.write_projects(t, out)
+    assert _snapshot(pj.read_projects(spark, out)) == _snapshot(t)
+    assert one["segments"].count() * 2 == t["segments"].count() and one["keyframes"].count() * 2 == t["keyframes"].count()
+    plan = ex.export_plan(t["items"], t["sources"], t["timelines"].select("timeline_id", "in_point", "out_point"))
+    assert plan.count() == 2 * plan.where("timeline_id = 'p1'").count() > 0
     counts = pj.peek_counts(spark, out).first()
     assert (counts.clip_count, counts.source_count) == (3, 1)
 
