@@ -40,7 +40,24 @@ def j1(spark, d):
     return kf.sample_tracks(plain(spark, d), points(spark, d)).withColumn("value", F.round("value", 6))
 
 
-@query("j2_sample_bezier")
+def _cubic(a: str, b: str, c: str, d: str) -> str:
+    return f"((1 - u) * (1 - u) * (1 - u) * {a} + 3.0::DOUBLE * (1 - u) * (1 - u) * u * {b} + 3.0::DOUBLE * (1 - u) * u * u * {c} + u * u * u * {d})"
+
+
+# eight chained Newton steps, as common table expressions
+BEZIER_SQL = SAMPLE_SQL[:SAMPLE_SQL.index("samp AS")] + """s0 AS (SELECT *, (t - ax) / greatest(1e-9::DOUBLE, dx - ax) AS u, false AS flat FROM (
+ SELECT p.crop_id, e.axis, p.frame, CASE WHEN p.frame <= f0 THEN v0 WHEN p.frame >= f1 THEN v1 WHEN k.interp = 'step' THEN k.value
+   WHEN k.interp <> 'bezier' AND k.ni <> 'bezier' THEN k.value + (k.nv - k.value) * ((p.frame - k.source_frame)::DOUBLE / (k.nf - k.source_frame)) END AS plain,
+  k.source_frame::DOUBLE AS ax, k.source_frame::DOUBLE + 0.6::DOUBLE AS bx, k.nf::DOUBLE + -0.4::DOUBLE AS cx, k.nf::DOUBLE AS dx,
+  k.value AS ay, k.value + -5.0::DOUBLE AS by_, k.nv + 3.0::DOUBLE AS cy, k.nv AS dy, p.frame::DOUBLE AS t
+ FROM pts p JOIN ext e ON e.crop_id = p.crop_id LEFT JOIN kk k ON k.crop_id = e.crop_id AND k.axis = e.axis AND k.source_frame < p.frame AND p.frame <= k.nf))""" + "".join(f""",
+s{k} AS (SELECT * EXCLUDE (u, flat, slope), CASE WHEN flat OR abs(slope) < 1e-6 THEN u ELSE least(greatest(u - ({_cubic("ax", "bx", "cx", "dx")} - t) / slope, 0), 1) END AS u,
+  flat OR abs(slope) < 1e-6 AS flat
+ FROM (SELECT *, 3.0::DOUBLE * (1 - u) * (1 - u) * (bx - ax) + 6.0::DOUBLE * (1 - u) * u * (cx - bx) + 3.0::DOUBLE * u * u * (dx - cx) AS slope FROM s{k - 1}))""" for k in range(1, kf.NEWTON_STEPS + 1))
+
+
+@query("j2_sample_bezier", with_sql(KEYFRAMES_SQL, POINTS_SQL, BEZIER_SQL) + f"""SELECT crop_id, axis, frame, round(coalesce(plain, {_cubic("ay", "by_", "cy", "dy")}), 6) AS value
+ FROM (SELECT * REPLACE (CASE WHEN t <= ax THEN 0 WHEN t >= dx THEN 1 ELSE u END AS u) FROM s{kf.NEWTON_STEPS})""")
 def j2(spark, d):
     k = fx.keyframes(spark, d).withColumns({"in_dx": F.lit(-0.4), "in_dy": F.lit(3.0), "out_dx": F.lit(0.6), "out_dy": F.lit(-5.0)})
     return kf.sample_tracks(k, points(spark, d)).withColumn("value", F.round("value", 6))
