@@ -61,6 +61,7 @@ PROJECT_DOC = _struct(
     selection_follows_playhead=_B, in_point=_L, out_point=_L,
     sources=T.ArrayType(SOURCE_DOC), clips=T.ArrayType(CLIP_DOC), groups=T.ArrayType(GROUP_DOC),
     orphan_paths=T.MapType(_S, _S),
+    broken=_S,  # the whole text of a document that does not parse
 )
 
 # ---- probe output -------------------------------------------------------------

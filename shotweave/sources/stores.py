@@ -43,13 +43,17 @@ def write_frame_store(frames: DataFrame, path: str, mode: str = "errorifexists")
 
 
 def read_versions(spark: SparkSession, path: str, extension: str = "project") -> DataFrame:
-    """Versions of a snapshot folder: the manifest reconciled with the files, newest time as ``ts``."""
+    """Versions of a snapshot folder, or of many (a path pattern): the manifest reconciled with the files, newest time as ``ts``.
+
+    A folder without a manifest, or without snapshots, is read like any other.
+    """
     files = (spark.read.format("binaryFile").option("pathGlobFilter", f"*.{extension}").load(path)
              .select(F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), F.col("length").alias("size_bytes")))
-    counts = peek_counts(spark, f"{path.rstrip('/')}/*.{extension}").withColumn(
+    counts = peek_counts(spark, path, f"*.{extension}").withColumn(
         "filename", F.concat("doc_id", F.lit(f".{extension}"))).drop("doc_id")
     doc = "versions array<struct<filename:string,timestamp:string,trigger:string,label:string,clip_count:bigint,source_count:bigint,size_bytes:bigint>>"
-    m = spark.read.text(f"{path.rstrip('/')}/index.json", wholetext=True).select(F.explode(F.from_json("value", doc)["versions"]).alias("v"))
+    # by name pattern, so that a folder without a manifest reads as one without entries
+    m = spark.read.option("pathGlobFilter", "index.json").text(path, wholetext=True).select(F.explode(F.from_json("value", doc)["versions"]).alias("v"))
     zero = F.lit(0).cast("long")
     manifest = m.where("v.filename is not null and v.timestamp is not null").select(
         "v.filename", "v.timestamp", F.coalesce("v.trigger", F.lit("manual")).alias("trigger"), "v.label",

@@ -141,6 +141,24 @@ def test_versions_folder(spark):
     assert rows[names[0]].clip_count == 9 and not rows[names[0]].derived
     o = rows[names[1]]
     assert (o.derived, o.trigger, o.clip_count, o.source_count, o.timestamp) == (True, "pre_detect_cuts", 2, 1, "2026-05-11T10:00:00")
+    os.remove(os.path.join(d, "index.json"))
+    rows = stores.read_versions(spark, d).collect()
+    assert {r.filename for r in rows} == set(names[:2]) and all(r.derived for r in rows)
+    empty = folder()
+    with open(os.path.join(empty, "readme.txt"), "w") as f:
+        f.write("x")
+    assert stores.read_versions(spark, empty).collect() == []
+
+
+def test_broken_projects_are_rejected(spark):
+    src = folder()
+    for name, text in (("good", json.dumps(DOC)), ("cut", json.dumps(DOC)[:90]), ("empty", "")):
+        with open(os.path.join(src, name + ".json"), "w") as f:
+            f.write(text)
+    t = pj.read_projects(spark, src)
+    assert {r.timeline_id for r in t["timelines"].collect()} == {"good"}
+    assert "cut" in {r.timeline_id for r in t["rejects"].collect()}
+    assert {r.timeline_id for r in t["items"].collect()} == {"good"}
 
 
 def test_crop_manifest(spark):
