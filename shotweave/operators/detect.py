@@ -31,12 +31,19 @@ def vector_diff(a: Column, b: Column) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def pixel_diff(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Mean absolute difference of two raw 8-bit images; null when one is missing or sizes differ."""
-    def one(x, y):
-        if x is None or y is None or len(x) != len(y):
-            return None
-        return float(np.abs(np.frombuffer(x, np.uint8).astype(np.int16) - np.frombuffer(y, np.uint8)).mean())
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+    """Mean absolute difference of two raw 8-bit images; null when one is missing or sizes differ. Images of one size are one matrix."""
+    sizes = np.array([len(x) if x is not None and y is not None and len(x) == len(y) else 0 for x, y in zip(a, b)], np.int64)
+    out = np.full(len(sizes), np.nan)
+    for size in np.unique(sizes[sizes > 0]):
+        rows = np.nonzero(sizes == size)[0]
+        x, y = (_matrix(v.iloc[rows]).astype(np.int16) for v in (a, b))
+        out[rows] = np.abs(x - y).mean(axis=1)
+    return pd.Series(out)
+
+
+def _matrix(images: pd.Series) -> np.ndarray:
+    """Raw images of one size, a row each."""
+    return np.frombuffer(b"".join(images), np.uint8).reshape(len(images), -1)
 
 
 def consecutive_diffs(frames: DataFrame, kind: str = "scalar", feature: str = "feature", chunk: int | None = None) -> DataFrame:
@@ -126,7 +133,7 @@ def change_scorer(frames: np.ndarray) -> np.ndarray:
 def _as_array(values: pd.Series) -> np.ndarray:
     first = values.iloc[0]
     if isinstance(first, (bytes, bytearray, memoryview)):
-        return np.stack([np.frombuffer(v, np.uint8) for v in values])
+        return _matrix(values)
     return np.stack([np.atleast_1d(np.asarray(v)) for v in values])
 
 
@@ -225,7 +232,12 @@ def hsv_features(width: int, height: int):
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def convert(pixels: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in pixels:
-            yield pd.Series([None if p is None or len(p) != size else _rgb_to_hsv(np.frombuffer(p, np.uint8)) for p in batch])
+            good = np.nonzero([p is not None and len(p) == size for p in batch])[0]
+            out: list = [None] * len(batch)
+            if len(good):
+                for k, row in zip(good, _rgb_to_hsv(_matrix(batch.iloc[good]).reshape(-1)).reshape(len(good), -1)):
+                    out[k] = row
+            yield pd.Series(out)
     return convert
 
 
