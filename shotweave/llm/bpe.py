@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from .common import map_texts
 
 #: Text bytes whose new words are merged together, and words whose ids a task remembers at most before it starts afresh.
-PART_BYTES = 12 << 20
-REMEMBERED = 400_000
+PART_BYTES = 8 << 20
+REMEMBERED = 300_000
 
 #: How the vocabulary's own file splits text, for text of ASCII letters in lower case and for any.
 _ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")

@@ -15,6 +15,17 @@ from ..session import shared_dir
 SLICE_BYTES = 4 << 20
 
 
+#: Bytes of the Arrow batches between the JVM and Python; Spark's own bound would let a task hold several buffers of 64 MiB.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound of Arrow batches to ``BATCH_BYTES``, as texts may be long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) != str(BATCH_BYTES):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,6 +61,7 @@ def map_texts(df: DataFrame, factory, keep: list[str], schema: str, limit: int =
     ``factory`` is called once per task, so that its result may hold compressors or caches; that is called with lists of texts and returns a dict
     of lists or Arrow arrays. Rows that have to carry columns of any name go in a struct column, whose field ``text`` may name.
     """
+    small_batches(df.sparkSession)
     names = list(dict.fromkeys([*keep, text.partition(".")[0]]))
     out = T.StructType([df.schema[k] for k in keep] + T.StructType.fromDDL(schema).fields)
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import default_vocabulary
-from .common import slices
+from .common import slices, small_batches
 
 #: Fixed value: the id that ends each document.
 END_ID = 2
@@ -101,6 +101,7 @@ def write_token_files(docs: DataFrame, target: str, path: str | None = None, end
     """
     path = path or default_vocabulary()
     spark = docs.sparkSession
+    small_batches(spark)
     raw = train_dictionary(docs, path)
     digest = hashlib.sha256(raw).hexdigest()
     spark.createDataFrame([(digest, bytearray(raw), path.rsplit("/", 1)[-1], end_id)], "dict_hash string, dictionary binary, vocabulary string, end_id int").coalesce(1).write.parquet(f"{target}/dictionary")
@@ -153,6 +154,7 @@ def read_token_files(spark: SparkSession, target: str, doc_ids: tuple[int, ...]
     With ``doc_ids``, only blocks whose range holds one of them are read and only those frames are decompressed. A block written with another
     dictionary, or a frame of another length than its index says, raises an error.
     """
+    small_batches(spark)
     digest, raw = _dictionary(spark, target)
     blocks = spark.read.parquet(f"{target}/blocks")
     # a row per range of ids, as many as there were tasks

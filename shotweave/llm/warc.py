@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .common import small_batches
 
 #: Fixed values of the formats: frame starts, and a skippable frame of no content, which Spark's text writer puts after each record.
 FRAME, DICTIONARY, SKIPPABLE = 0xFD2FB528, 0x184D2A5D, range(0x184D2A50, 0x184D2A60)
@@ -83,6 +84,7 @@ def write_archives(pages: DataFrame, target: str, least_bytes: int = 0, date: st
     skippable frame. Spark's text writer streams the frames to the file, so no archive is held in memory. Payloads are
     shuffled once, by id and digest, so equal payloads spread over all archives.
     """
+    small_batches(pages.sparkSession)
     pages = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     decided = materialize(revisits(pages, least_bytes))
     count, size = decided.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
@@ -206,6 +208,7 @@ def read_archives(spark: SparkSession, target: str, payloads: bool = True) -> Da
     A record that breaks the format is a row with its ``error`` and no other value; if frames can no longer be told apart, the rest of that archive
     is one such row. A task holds one archive's compressed bytes and one decoded record at a time.
     """
+    small_batches(spark)
     schema = _OUT if payloads else _OUT.remove(len(_OUT) - 1)
     ddl = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, error string" + ", payload binary" * payloads
 
