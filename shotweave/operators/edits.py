@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shotweave.operators.ordered import chunk_of, ordered_scan, row_index
+from shotweave.operators.ordered import asof_join, chunk_of, keyed, ordered_scan, row_index
 from shotweave.session import materialize
 from shotweave.operators.timeline import TL, duration, is_gap, merge_gaps, place_items, renumber
 
@@ -93,17 +93,18 @@ def _pieces(rows: DataFrame, item_cols: list[str], fresh_left: bool, fill: bool)
     length = F.col("piece_end") - F.col("piece_start") + 1
     whole = (off == 0) & (F.col("piece_end") == F.col("tl_end"))
     keep_id = whole if fresh_left else (off == 0)
-    return p.withColumns({
+    return p.withColumn("parent_id", F.col("clip_id")).withColumns({
         "clip_id": F.when(keep_id, F.col("clip_id")).otherwise(derived_id("clip_id", off)),
         "source_out": F.when(is_gap(), length - 1).otherwise(F.col("source_in") + off + length - 1),
         "source_in": F.when(is_gap(), 0).otherwise(F.col("source_in") + off).cast("long")}).drop("__next")
 
 
-def split_items(items: DataFrame, cuts: DataFrame) -> DataFrame:
+def split_items(items: DataFrame, cuts: DataFrame, parents: bool = False) -> DataFrame:
     """Split real items at timeline frames (timeline_id, tl_frame[, clip_id]).
 
     A cut on the first frame of an item, on or after its last frame, on a gap, or under another item than
-    the named one is ignored. Both halves get new ids and keep label, colour and tags.
+    the named one is ignored. Both halves get new ids and keep label, colour and tags. With ``parents``, the column ``parent_id``
+    names the clip that a piece comes from, itself if it was not cut: ``partition_by_pieces`` takes it to hand on the crops.
     """
     placed = place_items(items)
     cols = [c for c in placed.columns if c != TL]
@@ -119,7 +120,7 @@ def split_items(items: DataFrame, cuts: DataFrame) -> DataFrame:
     pieces = materialize(_pieces(materialize(rows), cols, fresh_left=True, fill=False))
     # piece starts are unique within a timeline and follow its order
     out = row_index(pieces, [TL], ["piece_start"], chunk_of("piece_start"), "__ix")
-    return out.withColumn("item_ix", F.col("__ix") + 1).select(*items.columns)
+    return out.withColumn("item_ix", F.col("__ix") + 1).select(*items.columns, *(["parent_id"] if parents else []))
 
 
 def insert_items(items: DataFrame, inserts: DataFrame) -> DataFrame:
@@ -203,6 +204,39 @@ def partition_crops(crops: DataFrame, segments: DataFrame, splits: DataFrame):
 
 # ---- tags --------------------------------------------------------------------------------
 
+def partition_by_pieces(crops: DataFrame, segments: DataFrame, keyframes: DataFrame, pieces: DataFrame):
+    """Hand the crops of cut clips on to any number of pieces: ``pieces`` is the result of ``split_items`` with ``parents``.
+
+    A segment follows its anchor (before the clip it goes to the first piece, after it to the last); a crop appears on every piece
+    that has one of its segments, with a copy of its keys; a crop without segments goes to the first piece. Ids of what is handed on
+    come from the old id and the piece, so they are unique however many cuts there are. Returns (crops, segments, keyframes).
+    """
+    clip = [TL, "clip_id"]
+    cut = pieces.where(F.col("parent_id") != F.col("clip_id")).select(TL, F.col("parent_id").alias("clip_id"), F.col("clip_id").alias("piece"), F.col("source_in").alias("from"))
+    first = cut.groupBy(*clip).agg(F.min("from").alias("first"), F.min_by("piece", "from").alias("first_piece"))
+    moving = crops.join(first, clip).select(*clip, "crop_id", "first", "first_piece")
+    on_crop = keyed("crop_id", segments, crops)
+    with_clip = segments.join(moving.select(TL, "crop_id", "clip_id", "first"), on_crop)
+    # an as-of lookup, so that a clip of very many pieces and segments never forms all pairs
+    at = with_clip.withColumn("at", F.greatest("anchor_frame", "first"))
+    found = asof_join(at, cut, clip, "at", "from", width=4096)
+    new_segments = found.withColumns({"segment_id": derived_id("segment_id", F.col("piece")), "crop_id": derived_id("crop_id", F.col("piece"))}).select(*segments.columns)
+    placed = found.select(TL, "crop_id", "piece").distinct()
+    bare = moving.join(placed.select(TL, "crop_id").distinct(), [TL, "crop_id"], "left_anti").select(TL, "crop_id", F.col("first_piece").alias("piece"))
+    where = materialize(placed.unionByName(bare))
+
+    def handed(rows):
+        key = keyed("crop_id", rows, where)
+        moved = rows.join(where, key).withColumn("crop_id", derived_id("crop_id", F.col("piece")))
+        if "clip_id" in rows.columns:
+            moved = moved.withColumn("clip_id", F.col("piece"))
+        stays = rows.join(where.select(*key).distinct(), key, "left_anti")
+        return stays.select(*rows.columns).unionByName(moved.select(*rows.columns))
+
+    key = keyed("crop_id", segments, where)
+    return handed(crops), segments.join(where.select(*key).distinct(), key, "left_anti").select(*segments.columns).unionByName(new_segments), handed(keyframes)
+
+
 def toggle_group(items: DataFrame, targets: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """Toggle tags on item sets (timeline_id, clip_id, group_id).
 

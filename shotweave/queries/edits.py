@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from shotweave import fixtures as fx
 from shotweave.fixtures import CROPS_SQL, ITEMS_SQL, SEGMENTS_SQL, SOURCES_SQL, TIMELINES_SQL, with_sql
 from shotweave.operators import edits as ed, source_tables as st
+from shotweave.operators import timeline as tl
 from shotweave.queries import query
 from shotweave.queries.layout import PLACED_SQL
 
@@ -113,6 +114,41 @@ def i6s(spark, d):
     return _split_inputs(spark, d)[1].select("anchor_frame", "segment_id", "crop_id")
 
 
+# every long clip is cut twice; each crop has a segment in the first and one in the middle piece, and one key
+THIRDS_SQL = """th AS (SELECT timeline_id, clip_id, dur, source_in, left(sha256(clip_id || ':' || 0), 32) AS p0, left(sha256(clip_id || ':' || dur // 3), 32) AS p1 FROM items WHERE source_id IS NOT NULL AND dur > 20),
+cp AS (SELECT c.timeline_id, c.clip_id, c.crop_id, c.source_in, h.p0, h.p1, i.dur FROM crops c JOIN items i USING (timeline_id, clip_id) LEFT JOIN th h USING (timeline_id, clip_id)),
+two AS (SELECT *, 0 AS k, p0 AS p FROM cp UNION ALL SELECT *, 1, p1 FROM cp)"""
+
+
+def _thirds(spark, d):
+    it = fx.items(spark, d)
+    c = fx.crops(spark, d, it)
+    segs = c.join(it.select("timeline_id", "clip_id", "dur"), ["timeline_id", "clip_id"]).selectExpr(
+        "timeline_id", "crop_id", "inline(array(struct(0L as segment_ix, concat('s0', crop_id) as segment_id, source_in as anchor_frame, true as active),"
+        " struct(1L as segment_ix, concat('s1', crop_id) as segment_id, source_in + dur div 2 as anchor_frame, true as active)))")
+    keys = c.selectExpr("timeline_id", "crop_id", "'x' as axis", "source_in as source_frame", "cast(x as double) as value", "'step' as interp", "0D as in_dx", "0D as in_dy", "0D as out_dx", "0D as out_dy")
+    cuts = tl.place_items(it).where("source_id is not null and dur > 20").selectExpr("timeline_id", "clip_id", "explode(array(tl_start + dur div 3, tl_start + 2 * dur div 3)) as tl_frame")
+    return ed.partition_by_pieces(c, segs, keys, ed.split_items(it, cuts, parents=True))
+
+
+@query("i5_split_with_crops", with_sql(ITEMS_SQL, CROPS_SQL, THIRDS_SQL) + """SELECT DISTINCT timeline_id, CASE WHEN p IS NULL THEN clip_id ELSE p END AS clip_id,
+ CASE WHEN p IS NULL THEN crop_id ELSE left(sha256(crop_id || ':' || p), 32) END AS crop_id FROM two""")
+def i5_crops(spark, d):
+    return _thirds(spark, d)[0].select("timeline_id", "clip_id", "crop_id")
+
+
+@query("i6_partition_many", with_sql(ITEMS_SQL, CROPS_SQL, THIRDS_SQL) + """SELECT timeline_id, CASE WHEN p IS NULL THEN crop_id ELSE left(sha256(crop_id || ':' || p), 32) END AS crop_id,
+ CASE WHEN p IS NULL THEN 's' || k || crop_id ELSE left(sha256('s' || k || crop_id || ':' || p), 32) END AS segment_id, source_in + CASE k WHEN 0 THEN 0 ELSE dur // 2 END AS anchor_frame FROM two""")
+def i6_many(spark, d):
+    return _thirds(spark, d)[1].select("timeline_id", "crop_id", "segment_id", "anchor_frame")
+
+
+@query("i6_partition_keyframes", with_sql(ITEMS_SQL, CROPS_SQL, THIRDS_SQL) + """SELECT DISTINCT timeline_id, CASE WHEN p IS NULL THEN crop_id ELSE left(sha256(crop_id || ':' || p), 32) END AS crop_id,
+ 'x' AS axis, source_in AS source_frame FROM two""")
+def i6_keys(spark, d):
+    return _thirds(spark, d)[2].select("timeline_id", "crop_id", "axis", "source_frame")
+
+
 @query("i7_replace_items", with_sql(ITEMS_SQL) + """, r AS (SELECT timeline_id, item_ix, source_id, source_in, source_in + dur // 2 - 1 AS source_out, 0 AS sub FROM items WHERE source_id IS NOT NULL AND dur > 20
  UNION ALL SELECT timeline_id, item_ix, source_id, source_in + dur // 2, source_out, 1 FROM items WHERE source_id IS NOT NULL AND dur > 20),
 u AS (SELECT timeline_id, item_ix, source_id, source_in, source_out, 0 AS sub, false AS new FROM items WHERE source_id IS NULL OR dur <= 20 UNION ALL SELECT *, true FROM r)
