@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import array
+import functools
 import hashlib
 import json
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ from .common import slices, small_batches
 END_ID = 2
 #: Bounds of the dictionary, of the documents that it is trained on (a sample by hash) and of the ids taken from each.
 DICT_BYTES, DICT_DOCS, DICT_IDS = 64 << 10, 1000, 4096
-#: Compressed bytes after which a block of documents is closed, and words whose ids a task remembers.
+#: Compressed bytes after which a block of documents is closed, and words, and parts of words, whose ids a process remembers.
 BLOCK_BYTES, REMEMBERED = 2 << 20, 400_000
 LEVEL = 3
 
@@ -29,11 +31,15 @@ BLOCKS = ("part int, block int, dict_hash string, first_id long, last_id long, n
           "index array<struct<doc_id: long, start: long, n_tokens: long, at: int, size: int>>, body binary")
 
 
+#: Inside a word, a token never spans the step from an ASCII letter or digit to ASCII punctuation.
+_STEP = re.compile(rb"(?<=[A-Za-z0-9])(?=[!-/:-@\[-`{-~])")
+
+
 class TextEncoder:
     """Texts to little-endian 32-bit ids by the tokenizers library.
 
-    Where the file's own splitter drops white space between words, a word's ids do not depend on its neighbours; then the library
-    sees each word once and its ids are remembered. Other files get whole texts.
+    Where the file's own splitter drops white space between words, a word's ids do not depend on its neighbours. Then the library sees each
+    word, without the punctuation behind it and in lower case if the file lowers it anyway, once; ids are remembered. Other files get whole texts.
     """
 
     def __init__(self, path: str):
@@ -47,27 +53,50 @@ class TextEncoder:
             spec = json.load(f)
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         # a pattern of letters, numbers and non-white-space keeps every match inside a word
-        self.by_word = bool(steps) and steps[0].get("behavior") == "Removed" and steps[0].get("invert") is True and r"[^\s\p{L}\p{N}]+" in str(steps[0])
-        self.known: dict[bytes, bytes] = {}
+        pattern = steps[0].get("pattern", {}).get("Regex", "") if steps else ""
+        self.by_word = r"[^\s\p{L}\p{N}]+" in pattern and steps[0].get("behavior") == "Removed" and steps[0].get("invert") is True
+        self.lowers = any(x.get("type") == "Lowercase" for x in (spec.get("normalizer") or {}).get("normalizers", []))
+        # special tokens hold punctuation, more than one character of it
+        self.special = re.compile(b"|".join(re.escape(t["content"].encode()) for t in spec["added_tokens"]) or b"(?!)")
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
 
     def _ids(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)
         return [array.array("I", e.ids).tobytes() for e in found]
 
+    def _split(self, word: bytes) -> list[bytes]:
+        if word.isalnum():
+            return [word.lower() if self.lowers else word]
+        if word[:-1].isalnum() and word[-1] < 128:  # the common case of the general one below
+            return [word[:-1].lower() if self.lowers else word[:-1], word[-1:]]
+        if self.special.search(word):
+            return [word]
+        return _STEP.split(word.lower() if self.lowers and word.isascii() else word)
+
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         if not self.by_word:
             return self._ids([t or b"" for t in texts])
         words = [(t or b"").split() for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        fresh = [w for w in set().union(*words) if w not in self.known]
-        for k in range(0, len(fresh), 20_000):
-            part = fresh[k:k + 20_000]
-            self.known.update(zip(part, self._ids(part), strict=True))
-        known = self.known
+        for known in (self.words, self.parts):
+            if len(known) > REMEMBERED:
+                known.clear()
+        fresh = {w: self._split(w) for w in set().union(*words) if w not in self.words}
+        new = [p for p in set().union(*fresh.values()) if p not in self.parts]
+        for k in range(0, len(new), 20_000):
+            self.parts.update(zip(new[k:k + 20_000], self._ids(new[k:k + 20_000]), strict=True))
+        parts = self.parts
+        self.words.update((w, b"".join([parts[p] for p in x])) for w, x in fresh.items())
+        known = self.words
         return [b"".join([known[w] for w in x]) for x in words]
 
 
+@functools.lru_cache(1)
+def encoder_of(path: str) -> TextEncoder:
+    """The encoder of a vocabulary file, kept by the worker process from task to task."""
+    return TextEncoder(path)
+
+
 def train_dictionary(docs: DataFrame, path: str) -> bytes:
     """A dictionary trained on the first ids of at most ``DICT_DOCS`` documents; empty if there are too few ids to train on."""
     n = docs.count()
@@ -75,7 +104,7 @@ def train_dictionary(docs: DataFrame, path: str) -> bytes:
     sample = docs.select("doc_id", "text").where(key == 0).limit(DICT_DOCS)
 
     def run(batches):
-        encoder = TextEncoder(path)
+        encoder = encoder_of(path)
         for _, texts in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([x[:4 * DICT_IDS] for x in encoder.encode(texts)], pa.binary())], ["ids"])
 
@@ -108,7 +137,7 @@ def write_token_files(docs: DataFrame, target: str, path: str | None = None, end
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encoder, zstd = TextEncoder(path), _compressor(raw)
+        encoder, zstd = encoder_of(path), _compressor(raw)
         part, block, start = TaskContext.get().partitionId(), 0, 0
         index: list[dict] = []
         frames: list[bytes] = []
