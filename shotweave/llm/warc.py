@@ -107,10 +107,12 @@ def write_archives(pages: DataFrame, target: str, least_bytes: int = 0, date: st
             if frames:
                 yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["frame"])
 
-    keys = ["_page", "digest"]
-    dealt = pages.withColumn("digest", payload_digest(F.col("html"))).withColumn("_page", F.coalesce("page_id", F.lit(-1))).repartition(n, *keys)
-    plan = decided.select(F.coalesce("page_id", F.lit(-1)).alias("_page"), F.col("page_id").isNull().alias("no_id"), "digest", "refers_to").repartition(n, *keys)
-    rows = dealt.withColumn("no_id", F.col("page_id").isNull()).join(plan, [*keys, "no_id"])
+    # both sides are dealt by all keys of the join, so that it needs no exchange of its own
+    keys = ["_page", "no_id", "digest"]
+    named = (F.coalesce("page_id", F.lit(-1)).alias("_page"), F.col("page_id").isNull().alias("no_id"))
+    dealt = pages.select("page_id", "url", "html", *named, payload_digest(F.col("html")).alias("digest")).repartition(n, *keys)
+    plan = decided.select(*named, "digest", "refers_to").repartition(n, *keys)
+    rows = dealt.join(plan, keys)
     rows = rows.select("page_id", "url", "html", "digest", "refers_to", F.col("refers_to").isNotNull().alias("revisit")).sortWithinPartitions("page_id")
     rows.mapInArrow(run, "frame binary").select(F.col("frame").cast("string")).write.option("lineSep", EMPTY_FRAME).text(target)
 
