@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 import re
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import map_texts
 
 #: Text bytes whose new words are merged together, and words whose ids a task remembers at most before it starts afresh.
-PART_BYTES = 8 << 20
-REMEMBERED = 300_000
+PART_BYTES = 2 << 20
+REMEMBERED = 200_000
 
 #: How the vocabulary's own file splits text, for text of ASCII letters in lower case and for any.
 _ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
@@ -81,6 +82,12 @@ class Vocabulary:
         return out
 
 
+@functools.lru_cache(1)
+def load(path: str) -> Vocabulary:
+    """A vocabulary file, read once per worker process."""
+    return Vocabulary(path)
+
+
 def merge_pieces(vocab: Vocabulary, pieces: list[bytes | int]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all pieces in a row, and how many each has.
 
@@ -217,7 +224,7 @@ def encode_documents(docs: DataFrame, keep: list[str], path: str | None = None,
     path = path or default_vocabulary()
 
     def factory():
-        vocab = Vocabulary(path)
+        vocab = load(path)
         encoder, decoder = Encoder(vocab), Decoder(vocab)
 
         def work(texts):
@@ -240,7 +247,7 @@ def decode_documents(encoded: DataFrame, keep: list[str], path: str | None = Non
     kept = [f"`{k}` {encoded.schema[k].dataType.simpleString()}" for k in keep]
 
     def run(batches):
-        decoder = Decoder(Vocabulary(path))
+        decoder = Decoder(load(path))
         for batch in batches:
             texts = [None if x is None else decoder.decode(x) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(texts, pa.string())], [*keep, "text"])

@@ -12,11 +12,11 @@ from pyspark.sql import types as T
 from ..session import shared_dir
 
 #: Text bytes that a task works on at once; a longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 #: Bytes of the Arrow batches between the JVM and Python; Spark's own bound would let a task hold several buffers of 64 MiB.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -71,5 +71,6 @@ def map_texts(df: DataFrame, factory, keep: list[str], schema: str, limit: int =
             made = work(texts)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *(v if isinstance(v, pa.Array) else pa.array(v) for v in made.values())],
                                              [*keep, *made])
+            pa.default_memory_pool().release_unused()
 
     return df.select(*names).mapInArrow(run, out)
