@@ -63,5 +63,9 @@ def close_shots(cuts: DataFrame, convention: str = "last") -> DataFrame:
 
 def detect_cuts_stream(frames: DataFrame, threshold: float = DIFF_THRESHOLD, delay: str = "10 minutes", kind: str = "scalar",
                        convention: str = "last") -> DataFrame:
-    """Closed shots of a frame stream; equals batch difference detection on the same frames."""
+    """Closed shots of a frame stream.
+
+    Equals batch difference detection only where frame numbers have no holes, times rise with them and a frame's predecessor is at
+    most ``delay`` older: a frame meets only the frame numbered one lower, so a cut across a missing frame is lost. Late drops are not counted.
+    """
     return close_shots(stream_cuts(frames, threshold, delay, kind), convention)
