@@ -55,20 +55,20 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             yield batch.slice(first), values.slice(first).to_pylist()
 
 
-def map_texts(df: DataFrame, factory, keep: list[str], schema: str, limit: int = SLICE_BYTES, text: str = "text") -> DataFrame:
+def map_texts(df: DataFrame, factory, keep: list[str], schema: str, limit: int = SLICE_BYTES, text: str = "text", with_keys: str | None = None) -> DataFrame:
     """``keep`` columns and the columns of ``schema``, made from the texts in Arrow batches without a shuffle.
 
     ``factory`` is called once per task, so that its result may hold compressors or caches; that is called with lists of texts and returns a dict
-    of lists or Arrow arrays. Rows that have to carry columns of any name go in a struct column, whose field ``text`` may name.
+    of lists or Arrow arrays. ``with_keys`` names a column whose values are handed on as a second list. Rows that have to carry columns of any name go in a struct column, whose field ``text`` may name.
     """
     small_batches(df.sparkSession)
-    names = list(dict.fromkeys([*keep, text.partition(".")[0]]))
+    names = list(dict.fromkeys([*keep, text.partition(".")[0], *([with_keys] if with_keys else [])]))
     out = T.StructType([df.schema[k] for k in keep] + T.StructType.fromDDL(schema).fields)
 
     def run(batches):
         work = factory()
         for batch, texts in slices(batches, text, limit):
-            made = work(texts)
+            made = work(texts, batch.column(with_keys).to_pylist()) if with_keys else work(texts)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *(v if isinstance(v, pa.Array) else pa.array(v) for v in made.values())],
                                              [*keep, *made])
             pa.default_memory_pool().release_unused()

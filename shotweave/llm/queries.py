@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from .bpe import round_trip
 from .common import scratch, table
 from .decontaminate import benchmark_hits
+from .fim import fill_in_middle
+from .fim import oracle_sql as fim_sql
 from .pii import find_personal_data
 from .quality_model import classify
 from .quality_rules import quality_rules
+from .repeats import periodic_runs
 from .secrets import oracle_sql as secrets_sql
 from .secrets import scan_secrets
 from .sharding import assign_shards
@@ -67,6 +70,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), collapsed=False)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle(table(spark, sf_dir, "documents"), texts=False)
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_sharding": (op1_sharding, None),
     "op2_secret_scan": (op2_secret_scan, secrets_sql()),
@@ -78,4 +89,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_quality_classifier": (op8_quality_classifier, None),
     "op9_simhash_near_dedup": (op9_simhash_near_dedup, None),
     "op10_quality_rules": (op10_quality_rules, None),
+    "op12_periodic_runs": (op12_periodic_runs, None),
+    "op13_fill_in_middle": (op13_fill_in_middle, fim_sql()),
 }
