@@ -12,6 +12,8 @@ from .common import scratch, table
 from .decontaminate import benchmark_hits
 from .fim import fill_in_middle
 from .fim import oracle_sql as fim_sql
+from .neighbours import nearest
+from .neighbours import oracle_sql as nearest_sql
 from .pii import find_personal_data
 from .quality_model import classify
 from .quality_rules import quality_rules
@@ -70,6 +72,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"), collapsed=False)
 
@@ -89,6 +95,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_quality_classifier": (op8_quality_classifier, None),
     "op9_simhash_near_dedup": (op9_simhash_near_dedup, None),
     "op10_quality_rules": (op10_quality_rules, None),
+    "op11_nearest_neighbours": (op11_nearest_neighbours, nearest_sql()),
     "op12_periodic_runs": (op12_periodic_runs, None),
     "op13_fill_in_middle": (op13_fill_in_middle, fim_sql()),
 }
