@@ -169,18 +169,18 @@ def _extend(win: pd.Series, pos: pd.Series, ctx: pd.Series, other: pd.Series) ->
     return pd.DataFrame({"first": np.where(ok, first, 0).astype(np.int32), "past": np.where(ok, past, 0).astype(np.int32)})
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, text: str = "text") -> DataFrame:
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, text: str = "text", short_items: bool = True) -> DataFrame:
     """Per document: ``n_words``, ``n_hit`` words inside a benchmark window, ``n_items`` that have such a window, ``items`` (their ids
     as strings, sorted), and ``contaminated``.
 
     ``docs`` needs ``doc_id`` and ``text``, ``benchmark`` ``item_id`` and ``text``; ``keep`` names more document columns to return. Null and
     empty texts have no words. Benchmark items of equal words are looked up once; an item without an id marks words, but is not
-    listed. Repeated rows get equal results; an empty benchmark marks nothing. Word equality is that of 64-bit hashes of all
+    listed. With ``short_items`` off, only full windows count, and an item of fewer words than a window marks nothing. Repeated rows get equal results; an empty benchmark marks nothing. Word equality is that of 64-bit hashes of all
     the words of a run. Texts are read once and not shuffled: only fingerprints that the bounded filter passes reach the join, with
     the hashes of the words around them, so that hits are extended without going back to a text.
     """
     keep = keep or []
-    short = tuple(range(1, WINDOW))
+    short = tuple(range(1, WINDOW)) if short_items else ()
     items = materialize(map_texts(benchmark.select("item_id", "text", F.xxhash64("text").alias("same")), lambda: _factory(lengths=short),
                                   ["item_id", "same"], _FOUND))
     listed = items.select(F.xxhash64("same", "n_words", F.col("hits.fp")).alias("gid"), "item_id", "hits")

@@ -18,7 +18,7 @@ PROSE = " ".join(random.Random(3).choice("alpha beta gamma delta epsilon zeta et
 ROWS = [(1, ""), (2, None), (None, PROSE), (3, PROSE + " tail"), (3, PROSE + " tail"), (4, PROSE * 300), (5, "naïve ÉTÉ ß 漢字 \U0001F600 <|endoftext|> x"),
         (6, PROSE + " tail"), (7, " \t\n"), (8, "x" * 70_000), (9, "1" * 5000), (10, "a@" * 3000), (None, None)]
 #: Names that the operators use for columns of their own.
-EXTRA = ["fp", "row", "score", "shard", "hits", "tkey", "base", "spans", "n_words", "key", "ids", "group", "size", "kind"]
+EXTRA = ["hash", "node", "first_key", "bad_id", "_text", "text_crc32", "fp", "row", "score", "shard", "hits", "tkey", "base", "spans", "n_words", "key", "ids", "group", "size", "kind"]
 
 
 @pytest.fixture(scope="module")
@@ -95,6 +95,9 @@ def test_pipeline_stages_on_edges(spark, edge, tmp_path):
             assert out.columns == docs.columns
     kept = corpus_pipeline.near_dedup(spark, docs, sf).collect()
     assert len([r for r in kept if r["doc_id"] == 3]) == 1 and not any(r["doc_id"] == 6 for r in kept)
+    short = spark.createDataFrame([(1, "tail", "en", "s", 4), (2, PROSE + " tail", "en", "s", 4)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, "tail")], "item_id long, text string").write.mode("overwrite").parquet(f"{sf}/benchmark.parquet")
+    assert len(corpus_pipeline.decontaminate(spark, short, sf).collect()) == 2
     clean = {r["doc_id"]: r["text"] for r in corpus_pipeline.personal_data(spark, docs.where("doc_id is not null"), sf).collect()}
     assert clean[4] == PROSE * 300 and clean[2] is None
 
