@@ -8,12 +8,13 @@ import hashlib
 import json
 import os
 import re
+import string
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import default_vocabulary
@@ -23,23 +24,25 @@ from .common import slices, small_batches
 END_ID = 2
 #: Bounds of the dictionary, of the documents that it is trained on (a sample by hash) and of the ids taken from each.
 DICT_BYTES, DICT_DOCS, DICT_IDS = 64 << 10, 1000, 4096
-#: Compressed bytes after which a block of documents is closed, and words, and parts of words, whose ids a process remembers.
-BLOCK_BYTES, REMEMBERED = 2 << 20, 400_000
+#: Compressed bytes after which a block of documents is closed, and parts of words whose ids a process remembers.
+BLOCK_BYTES, REMEMBERED = 2 << 20, 1_000_000
 LEVEL = 3
 
 BLOCKS = ("part int, block int, dict_hash string, first_id long, last_id long, n_ids long, "
           "index array<struct<doc_id: long, start: long, n_tokens: long, at: int, size: int>>, body binary")
 
 
-#: Inside a word, a token never spans the step from an ASCII letter or digit to ASCII punctuation.
-_STEP = re.compile(rb"(?<=[A-Za-z0-9])(?=[!-/:-@\[-`{-~])")
+#: By byte: white space as ``bytes.split`` sees it, ASCII letters and digits, ASCII punctuation, capitals.
+_SPACE, _ALNUM, _MARK, _UPPER = (np.array([bytes([b]) in (bytes([x]) for x in kept) for b in range(256)]) for kept in (
+    string.whitespace.encode(), (string.ascii_letters + string.digits).encode(), string.punctuation.encode(), string.ascii_uppercase.encode()))
 
 
 class TextEncoder:
     """Texts to little-endian 32-bit ids by the tokenizers library.
 
-    Where the file's own splitter drops white space between words, a word's ids do not depend on its neighbours. Then the library sees each
-    word, without the punctuation behind it and in lower case if the file lowers it anyway, once; ids are remembered. Other files get whole texts.
+    Where the file's own splitter drops white space between words, a word's ids do not depend on its neighbours, and no token spans the step
+    from an ASCII letter or digit to ASCII punctuation. Then the library sees each such part of a word once, in lower case if the file lowers it
+    anyway, and ids are remembered. Other files get whole texts.
     """
 
     def __init__(self, path: str):
@@ -58,37 +61,45 @@ class TextEncoder:
         self.lowers = any(x.get("type") == "Lowercase" for x in (spec.get("normalizer") or {}).get("normalizers", []))
         # special tokens hold punctuation, more than one character of it
         self.special = re.compile(b"|".join(re.escape(t["content"].encode()) for t in spec["added_tokens"]) or b"(?!)")
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
 
     def _ids(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([t.decode("utf-8") for t in texts], add_special_tokens=False)
         return [array.array("I", e.ids).tobytes() for e in found]
 
-    def _split(self, word: bytes) -> list[bytes]:
-        if word.isalnum():
-            return [word.lower() if self.lowers else word]
-        if word[:-1].isalnum() and word[-1] < 128:  # the common case of the general one below
-            return [word[:-1].lower() if self.lowers else word[:-1], word[-1:]]
-        if self.special.search(word):
-            return [word]
-        return _STEP.split(word.lower() if self.lowers and word.isascii() else word)
+    def _parts(self, texts: list[bytes]) -> list[list[bytes]]:
+        """The parts of each text's words. All texts are cut in one pass over their bytes.
+
+        A word with other than ASCII characters keeps its case, as composing comes before lowering in the library; one with a special token stays whole.
+        """
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        joined = b"\n".join([*texts, b""])
+        b = np.frombuffer(joined, np.uint8)
+        word = np.cumsum(_SPACE[b], dtype=np.int32)
+        whole = np.zeros(int(word[-1]) + 1, bool)
+        whole[word[[m.start() for m in self.special.finditer(joined)]]] = True
+        step = _ALNUM[b[:-1]] & _MARK[b[1:]] & ~whole[word[1:]]
+        if self.lowers:
+            whole[word[b >= 128]] = True
+            b = b + ((_UPPER[b] & ~whole[word]) << 5).astype(np.uint8)
+        at = np.flatnonzero(step) + 1
+        cut = np.insert(b, at, 32).tobytes()
+        ends += np.searchsorted(at, ends)
+        return [cut[i:j].split() for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        if not self.by_word:
-            return self._ids([t or b"" for t in texts])
-        words = [(t or b"").split() for t in texts]
-        for known in (self.words, self.parts):
-            if len(known) > REMEMBERED:
-                known.clear()
-        fresh = {w: self._split(w) for w in set().union(*words) if w not in self.words}
-        new = [p for p in set().union(*fresh.values()) if p not in self.parts]
+        texts = [t or b"" for t in texts]
+        if not self.by_word or not texts:
+            return self._ids(texts)
+        parts = self._parts(texts)
+        used = set().union(*parts)
+        known = self.known
+        if len(known) > REMEMBERED:  # what this slice uses stays
+            known = self.known = {p: known[p] for p in used if p in known}
+        new = [p for p in used if p not in known]
         for k in range(0, len(new), 20_000):
-            self.parts.update(zip(new[k:k + 20_000], self._ids(new[k:k + 20_000]), strict=True))
-        parts = self.parts
-        self.words.update((w, b"".join([parts[p] for p in x])) for w, x in fresh.items())
-        known = self.words
-        return [b"".join([known[w] for w in x]) for x in words]
+            known.update(zip(new[k:k + 20_000], self._ids(new[k:k + 20_000]), strict=True))
+        return [b"".join([known[p] for p in x]) for x in parts]
 
 
 @functools.lru_cache(1)
@@ -139,29 +150,32 @@ def write_token_files(docs: DataFrame, target: str, path: str | None = None, end
     def run(batches):
         encoder, zstd = encoder_of(path), _compressor(raw)
         part, block, start = TaskContext.get().partitionId(), 0, 0
-        index: list[dict] = []
-        frames: list[bytes] = []
-        size = 0
-
-        def close():
-            n = index[-1]["start"] + index[-1]["n_tokens"] - index[0]["start"]
-            ids = [x["doc_id"] for x in index if x["doc_id"] is not None]
-            row = {"part": part, "block": block, "dict_hash": digest, "first_id": min(ids, default=None), "last_id": max(ids, default=None), "n_ids": n, "index": index, "body": b"".join(frames)}
-            return pa.RecordBatch.from_pylist([row], schema=schema)
-
-        schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("dict_hash", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("n_ids", pa.int64()),
-                            ("index", pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("at", pa.int32()), ("size", pa.int32())]))), ("body", pa.binary())])
+        ids: list[int | None] = []
+        counts: list[int] = []
+        sizes: list[int] = []
+        body = bytearray()
+
+        def close() -> pa.RecordBatch:
+            nonlocal start, block, ids, counts, sizes, body
+            n, size = np.array(counts, np.int64), np.array(sizes, np.int64)
+            known = [i for i in ids if i is not None]
+            index = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(start + np.cumsum(n) - n), pa.array(n), pa.array((np.cumsum(size) - size).astype(np.int32)), pa.array(size.astype(np.int32))],
+                                               names=["doc_id", "start", "n_tokens", "at", "size"])
+            values = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([digest]), pa.array([min(known, default=None)], pa.int64()), pa.array([max(known, default=None)], pa.int64()),
+                      pa.array([int(n.sum())]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), index), pa.array([bytes(body)], pa.binary())]
+            start, block, ids, counts, sizes, body = start + int(n.sum()), block + 1, [], [], [], bytearray()
+            return pa.RecordBatch.from_arrays(values, ["part", "block", "dict_hash", "first_id", "last_id", "n_ids", "index", "body"])
+
         for batch, texts in slices(batches):
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
-                ids += end
-                frame = zstd.compress(ids)
-                index.append({"doc_id": doc_id, "start": start, "n_tokens": len(ids) // 4, "at": size, "size": len(frame)})
-                frames.append(frame)
-                start, size = start + len(ids) // 4, size + len(frame)
-                if size >= BLOCK_BYTES:
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
+                frame = zstd.compress(found + end)
+                ids.append(doc_id)
+                counts.append(len(found) // 4 + 1)
+                sizes.append(len(frame))
+                body += frame
+                if len(body) >= BLOCK_BYTES:
                     yield close()
-                    index, frames, size, block = [], [], 0, block + 1
-        if index:
+        if ids:
             yield close()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
@@ -186,9 +200,9 @@ def read_token_files(spark: SparkSession, target: str, doc_ids: tuple[int, ...]
     small_batches(spark)
     digest, raw = _dictionary(spark, target)
     blocks = spark.read.parquet(f"{target}/blocks")
-    # a row per range of ids, as many as there were tasks
-    parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("part_start"))
+    # one number per written part, as many as the writing had tasks: small enough to go with the reading function
+    sums = sorted((r["part"], r["n"]) for r in blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
+    before = dict(zip([p for p, _ in sums], np.cumsum([0, *(n for _, n in sums)]).tolist(), strict=False))
     wanted = set(doc_ids) if doc_ids is not None else None
     if wanted is not None:
         hit = F.lit(False)
@@ -199,17 +213,21 @@ def read_token_files(spark: SparkSession, target: str, doc_ids: tuple[int, ...]
     def run(batches):
         zstd = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw)) if raw else zstandard.ZstdDecompressor()
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["dict_hash"] != digest:
-                    raise ValueError(f"block {row['part']}/{row['block']} needs dictionary {row['dict_hash']}")
-                out = []
-                for x in row["index"]:
-                    if wanted is not None and x["doc_id"] not in wanted:
-                        continue
-                    ids = zstd.decompress(row["body"][x["at"]:x["at"] + x["size"]])
-                    if len(ids) != 4 * x["n_tokens"]:
-                        raise ValueError(f"document {x['doc_id']} has {len(ids) // 4} ids, its index says {x['n_tokens']}")
-                    out.append((x["doc_id"], row["part_start"] + x["start"], x["n_tokens"], ids))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "start", "n_tokens", "ids"])
-
-    return blocks.join(before, "part").select("part", "block", "dict_hash", "index", "body", "part_start").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+            for row in range(len(batch)):
+                part, block, given = (batch.column(c)[row].as_py() for c in ("part", "block", "dict_hash"))
+                if given != digest:
+                    raise ValueError(f"block {part}/{block} needs dictionary {given}")
+                index, body = batch.column("index")[row].values, memoryview(batch.column("body")[row].as_buffer())
+                if wanted is not None:
+                    index = index.filter(pa.array([i in wanted for i in index.field("doc_id").to_pylist()], pa.bool_()))
+                n = index.field("n_tokens").to_numpy()
+                places = zip(index.field("at").to_pylist(), index.field("size").to_pylist(), strict=True)
+                ids = [zstd.decompress(body[at:at + size]) for at, size in places]
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+                if (sizes != 4 * n).any():
+                    k = int(np.flatnonzero(sizes != 4 * n)[0])
+                    raise ValueError(f"document {index.field('doc_id')[k]} has {sizes[k] // 4} ids, its index says {n[k]}")
+                yield pa.RecordBatch.from_arrays([index.field("doc_id"), pa.array(before[part] + index.field("start").to_numpy()), index.field("n_tokens"), pa.array(ids, pa.binary())],
+                                                 ["doc_id", "start", "n_tokens", "ids"])
+
+    return blocks.select("part", "block", "dict_hash", "index", "body").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
