@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names; and each method's own parts."""
 
 import random
+import re
 import string
 
 import numpy as np
@@ -167,12 +168,55 @@ def test_components_of_paths_and_hubs(spark):
 
 def test_entropy_spans(spark):
     rnd = random.Random(9)
-    mixed = "".join(rnd.choice(string.ascii_letters + string.digits) for _ in range(40))
+    draw = lambda alphabet, n: "".join(rnd.choice(alphabet) for _ in range(n))
+    mixed, hexes = draw(string.ascii_letters + string.digits, 40), "0123456789ABCDEF"
     uuid = "123e4567-e89b-12d3-a456-426614174000"
-    rows = [(1, f"key {mixed} end"), (2, "zzzzzzzzzz1zzzzzzzzzzwwwwwwwwwwww"), (3, f"id {uuid}"), (4, "sample" + mixed), (5, "password = hunter22 and secret=token: abcdef123")]
+    rows = [(1, f"key {mixed} end"), (2, "zzzzzzzzzz1zzzzzzzzzzwwwwwwwwwwww"), (3, f"id {uuid}"), (4, "sample" + mixed), (5, "password = hunter22 and secret=token: abcdef123"),
+            (6, "K " + draw(hexes, 40)), (7, "K " + draw(hexes + "abcdef", 40)), (8, "K " + draw(string.ascii_uppercase + "234567", 32)), (9, "example" * 8 + "1"), (10, hexes * 2),
+            (11, "see_the_long_identifier_of_a_function_name_2"), (12, "sha " + draw("0123456789abcdef", 40)), (13, None), (14, ""), (15, (mixed + " ") * 3000)]
     got = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1].startswith("entropy_base64:4:") and got[2] == got[3] == got[4] == ""
+    assert got[1] == "entropy_base64:4:44" and got[4] == "entropy_base64:6:46"  # the rest of a candidate next to an allowed word
+    assert all(got[k] == "" for k in (2, 3, 9, 10, 11, 13, 14))
     assert got[5] == brute.joined(brute.secrets(rows[4][1])) == "assign:0:19"
+    assert got[6] == got[7] == "entropy_hex:2:42" and "entropy_base32:2:34" in got[8].split(",") and got[12] == "hex:4:44"
+    assert len(got[15].split(",")) == 3000
+
+
+def test_packed_counts_against_plain_windows(spark):
+    """The span of each candidate, by counting every window anew."""
+    from collections import Counter
+    from math import log2
+
+    rnd = random.Random(19)
+    rows = [(k, "".join(rnd.choice(rnd.choice(["AB12", "0123456789ABCDEF", string.ascii_uppercase + "234567", string.ascii_letters + string.digits])) for _ in range(rnd.randint(20, 60)))) for k in range(150)]
+    got = {r["doc_id"]: set(filter(None, r["spans"].split(","))) for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = 0
+    for k, text in rows:
+        base, want = brute.secrets(text), set()
+        for c in secrets.CLASSES:
+            for m in re.finditer(c.pattern, text):
+                if not re.search("[0-9]", m[0]) or not re.search("[A-Za-z]", m[0]):
+                    continue
+                shown = m[0].lower() if c.folded else m[0]
+                ok = [i for i in range(len(shown) - c.window + 1) if log2(c.window) - sum(n * log2(n) for n in Counter(shown[i:i + c.window]).values()) / c.window >= c.least_bits]
+                if ok and not any(a <= m.start() + ok[0] and b >= m.start() + ok[-1] + c.window for _, a, b in base):
+                    want.add(f"{c.name}:{m.start() + ok[0]}:{m.start() + ok[-1] + c.window}")
+        assert got[k] - {f"{n}:{a}:{b}" for n, a, b in base} == want, text
+        found += len(want)
+    assert found > 50
+
+
+def test_added_personal_data(spark):
+    """What only the generators propose: spelt addresses, numbers without a plus behind a cue, cards of 15 digits; and what looks like it."""
+    yes = {"Write to ann (at) example (dot) com now": "email_spelt:9:35", "my phone: 555-123-4567 thanks": "phone_parts:10:22", "pay with card 378282246310005 ok": "card_run:14:29",
+           "number 378282246310005 stands here": "card_run:7:22", "tel 030 555-1234": "phone_parts:4:16", "j.doe[at]mail.example[dot]org": "email_spelt:0:29", "4111 1111 1111 1111": "card:0:19"}
+    no = ["on 2024-01-15 10:20:30 order 555-123-4567 came", "version 1.2.3 and 2024-01-15", "it weighs 100 200 300 400 kg", "invoice 371449635398431 paid", "see 555-123-4567 there",
+          "isbn 9780306406157", "3 4 5 6", "card 378282246310006", "12-30-2019 555-1234", ""]
+    rows = [(k, t) for k, t in enumerate([*yes, *no])] + [(99, None), (100, "ann@example.com +1 (555) 123-4567 10.0.0.7 x 4111 1111 1111 1111 x " * 3000)]
+    got = {r["doc_id"]: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k]["spans"] for k in range(len(yes))] == list(yes.values())
+    assert [got[len(yes) + k]["spans"] for k in range(len(no))] == [""] * len(no)
+    assert got[99]["spans"] == "" and [got[100][f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [3000] * 4
 
 
 def test_token_files_round_trip_and_lookup(spark, edge):
