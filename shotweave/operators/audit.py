@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from shotweave.functions import expr as X
 from shotweave.operators.joins import bracket_pts
+from shotweave.operators.ordered import keyed
 from shotweave.operators.timeline import TL, duration, is_gap
 
 # ---- fixed values ------------------------------------------------------------------------
@@ -77,11 +78,15 @@ def audit_interchange(children: DataFrame, sources: DataFrame | None = None) ->
     """Invariants of parsed interchange documents, counted per document.
 
     ``children`` (from ``read_otio``): doc_id, kind, schema names, start_value, duration_value, avail_start,
-    avail_duration, source_id. ``sources`` adds the available-range check against total_frames.
+    avail_duration, source_id. ``sources`` adds the available-range check against total_frames; if it has timelines, a
+    document meets those of the timeline that its doc_id names.
     """
     c = children
     if sources is not None:
-        c = c.join(sources.select("source_id", F.col("total_frames").alias("__n")), "source_id", "left")
+        own = {"__s": F.col("source_id"), **({"__d": F.col(TL).cast("string")} if TL in sources.columns else {})}
+        lengths = sources.select(*(v.alias(k) for k, v in own.items()), F.col("total_frames").alias("__n"))
+        same = F.col("source_id") == F.col("__s")
+        c = c.join(lengths, same & (F.col("doc_id").cast("string") == F.col("__d")) if "__d" in own else same, "left")
     else:
         c = c.withColumn("__n", F.lit(None).cast("long"))
     gap, clip = F.col("kind") == "gap", F.col("kind") == "clip"
@@ -107,15 +112,17 @@ def audit_timelines(items: DataFrame, sources: DataFrame | None = None, groups:
         parts.append(report(rule, dup, TL))
     parts.append(report("length_not_positive", items.where(duration() <= 0).groupBy(TL).agg(F.count(F.lit(1)).alias("n")), TL))
     if sources is not None:
-        lost = items.where(~is_gap()).join(sources.select("source_id"), "source_id", "left_anti")
+        own = keyed("source_id", items, sources)
+        lost = items.where(~is_gap()).join(sources.select(*own), own, "left_anti")
         parts.append(report("unknown_source", lost.groupBy(TL).agg(F.count(F.lit(1)).alias("n")), TL))
     if groups is not None:
         keys = [c for c in (TL, "group_id") if c in groups.columns]
         tags = items.select(TL, F.explode("group_ids").alias("group_id"))
         parts.append(report("unknown_tag", tags.join(groups.select(*keys), keys, "left_anti").groupBy(TL).agg(F.count(F.lit(1)).alias("n")), TL))
     if keyframes is not None:
-        dup = keyframes.groupBy("crop_id", "axis", "source_frame").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-        parts.append(report("key_repeats", dup.groupBy("crop_id").agg(F.count(F.lit(1)).alias("n")), "crop_id"))
+        crop = keyed("crop_id", keyframes)
+        dup = keyframes.groupBy(*crop, "axis", "source_frame").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        parts.append(report("key_repeats", dup.groupBy(*crop).agg(F.count(F.lit(1)).alias("n")), "crop_id"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

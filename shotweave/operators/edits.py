@@ -183,19 +183,20 @@ def partition_crops(crops: DataFrame, segments: DataFrame, splits: DataFrame):
     """Distribute crops over the two halves of split clips (clip_id, split_frame, left_id, right_id).
 
     A segment follows its anchor; a crop appears on a half only with a segment there; a crop without
-    segments stays left. Returns (crops, segments) with fresh ids on everything that was split.
+    segments stays left. Returns (crops, segments) with fresh ids on everything that was split; ``partition_by_pieces`` hands keys on as well.
     """
-    on = splits.select("clip_id", "split_frame", "left_id", "right_id", F.lit(True).alias("__split"))
-    c = crops.join(on, "clip_id", "left")
-    cut = c.where("__split").select("crop_id", "split_frame")
-    s = segments.join(cut, "crop_id", "left").withColumn(
+    clip, crop = keyed("clip_id", crops, splits), keyed("crop_id", crops, segments)
+    on = splits.select(*clip, "split_frame", "left_id", "right_id", F.lit(True).alias("__split"))
+    c = crops.join(on, clip, "left")
+    cut = c.where("__split").select(*crop, "split_frame")
+    s = segments.join(cut, crop, "left").withColumn(
         "side", F.when(F.col("split_frame").isNull(), None).when(F.col("anchor_frame") < F.col("split_frame"), "L").otherwise("R"))
     moved = F.col("side").isNotNull()
     new_segments = s.withColumns({
         "segment_id": F.when(moved, derived_id("segment_id", F.col("side"))).otherwise(F.col("segment_id")),
         "crop_id": F.when(moved, derived_id("crop_id", F.col("side"))).otherwise(F.col("crop_id"))}).select(*segments.columns)
-    sides = s.where(moved).select("crop_id", "side").distinct()
-    split_crops = c.where("__split").join(sides, "crop_id", "left").withColumn("side", F.coalesce("side", F.lit("L")))
+    sides = s.where(moved).select(*crop, "side").distinct()
+    split_crops = c.where("__split").join(sides, crop, "left").withColumn("side", F.coalesce("side", F.lit("L")))
     split_crops = split_crops.withColumns({
         "clip_id": F.when(F.col("side") == "L", F.col("left_id")).otherwise(F.col("right_id")),
         "crop_id": derived_id("crop_id", F.col("side"))})

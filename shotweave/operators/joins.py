@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from shotweave.operators.ordered import asof_join, chunk_of, explode_range, ordered_scan
+from shotweave.operators.ordered import asof_join, chunk_of, keyed, ordered_scan
 from shotweave.operators.timeline import TL, clip_runs, is_gap, place_items
 
 
@@ -42,18 +42,23 @@ def bracket_pts(seeks: DataFrame, packets: DataFrame, seek_col: str = "seek", wi
 
     0 when the seek precedes the first packet, −1 when the source has no packets.
     """
+    own = keyed("source_id", seeks, packets)
     s = seeks.withColumn("__t", F.col(seek_col) - F.coalesce(F.col("start_time"), F.lit(0.0)))
-    p = packets.select("source_id", "pts_time", "pts_ix")
-    out = asof_join(s, p, ["source_id"], "__t", "pts_time", width=width, tie=["pts_ix"])
-    have = packets.select("source_id").distinct().withColumn("__have", F.lit(True))
-    return out.join(have, "source_id", "left").withColumn(
-        "pts_k", F.when(F.col("__have").isNull(), F.lit(-1)).otherwise(F.coalesce("pts_ix", F.lit(0))).cast("long")
-    ).drop("__t", "__have", "pts_time", "pts_ix")
+    # equal seeks are looked up once, and rejoin by equality
+    out = asof_join(s.select(*own, "__t").distinct(), packets.select(*own, "pts_time", "pts_ix"), own, "__t", "pts_time", width=width, tie=["pts_ix"])
+    have = packets.select(*own).distinct().withColumn("__have", F.lit(True))
+    found = out.join(have, own, "left").select(
+        *own, "__t", F.when(F.col("__have").isNull(), F.lit(-1)).otherwise(F.coalesce("pts_ix", F.lit(0))).cast("long").alias("__k"))
+    by = [F.col(f"s.{c}").eqNullSafe(F.col(f"f.{c}")) for c in (*own, "__t")]
+    on = by[0]
+    for b in by[1:]:
+        on = on & b
+    return s.alias("s").join(found.alias("f"), on, "left").select("s.*", F.coalesce("f.__k", F.lit(-1)).cast("long").alias("pts_k")).drop("__t")
 
 
 def neighbour_keys(points: DataFrame, keyframes: DataFrame, col: str = "frame", width: int = 65536) -> DataFrame:
     """Strictly previous and next key frame of (crop_id, axis, frame)."""
-    keys = ["crop_id", "axis"]
+    keys = [*keyed("crop_id", points, keyframes), "axis"]
     spots = points.select(*keys, col).distinct()
     back = asof_join(spots, keyframes.select(*keys, F.col("source_frame").alias("prev_key")), keys, col, "prev_key",
                      width=width, strict=True)
@@ -63,9 +68,10 @@ def neighbour_keys(points: DataFrame, keyframes: DataFrame, col: str = "frame",
 
 
 def first_frame_at_or_after(targets: DataFrame, frames: DataFrame, target_col: str, pts_col: str, width: float) -> DataFrame:
-    """First decoded frame whose pts reaches each target; rows without one are dropped."""
-    out = asof_join(targets, frames, ["source_id"], target_col, pts_col, width=width, direction="forward")
-    return out.where(F.col(pts_col).isNotNull())
+    """First decoded frame whose pts reaches each target; rows without one are dropped. Equal targets are looked up once."""
+    own = keyed("source_id", targets, frames)
+    out = asof_join(targets.select(*own, target_col).distinct(), frames, own, target_col, pts_col, width=width, direction="forward")
+    return targets.join(out.where(F.col(pts_col).isNotNull()), [*own, target_col])
 
 
 def nearest_frame(wanted: DataFrame, cached: DataFrame, col: str = "frame", tolerance: int = 3) -> DataFrame:
@@ -74,12 +80,13 @@ def nearest_frame(wanted: DataFrame, cached: DataFrame, col: str = "frame", tole
     The tolerance is a small constant, so each wanted frame simply probes its 2·tolerance+1 neighbours by
     equality: no group is ever scanned.
     """
-    probes = wanted.select("source_id", col).distinct().withColumn(
+    own = keyed("source_id", wanted, cached)
+    probes = wanted.select(*own, col).distinct().withColumn(
         "__d", F.explode(F.sequence(F.lit(-tolerance), F.lit(tolerance))))
-    have = cached.select("source_id", F.col("frame_ix").alias("__hit")).distinct()
-    hits = probes.withColumn("__hit", F.col(col) + F.col("__d")).join(have, ["source_id", "__hit"])
-    best = hits.groupBy("source_id", col).agg(F.min_by("__hit", F.struct(F.abs("__d"), "__hit")).alias("nearest"))
-    return wanted.join(best, ["source_id", col])
+    have = cached.select(*own, F.col("frame_ix").alias("__hit")).distinct()
+    hits = probes.withColumn("__hit", F.col(col) + F.col("__d")).join(have, [*own, "__hit"])
+    best = hits.groupBy(*own, col).agg(F.min_by("__hit", F.struct(F.abs("__d"), "__hit")).alias("nearest"))
+    return wanted.join(best, [*own, col])
 
 
 def pair_by_ordinal(left: DataFrame, right: DataFrame, keys: list[str], left_order: list[str], right_order: list[str],
@@ -101,21 +108,22 @@ def segment_overlaps(segments: DataFrame, length_col: str = "window_frames", anc
     than n: anchors are binned by n and only meet the same and the next bin. Windows with equal anchors
     form a complete set of pairs by definition; every emitted row is a true overlap.
     """
-    a = segments.select("crop_id", "segment_ix", F.col(anchor_col).alias("__a"), F.col(length_col).alias("__n"))
+    own = keyed("crop_id", segments)
+    a = segments.select(*own, "segment_ix", F.col(anchor_col).alias("__a"), F.col(length_col).alias("__n"))
     a = a.withColumn("__bin", F.floor(F.col("__a") / F.col("__n")).cast("long"))
-    l = a.select("crop_id", "__bin", F.col("segment_ix").alias("__i1"), F.col("__a").alias("__a1"), "__n")
-    r = a.select("crop_id", F.explode(F.array(F.col("__bin"), F.col("__bin") - 1)).alias("__bin"),
+    l = a.select(*own, "__bin", F.col("segment_ix").alias("__i1"), F.col("__a").alias("__a1"), "__n")
+    r = a.select(*own, F.explode(F.array(F.col("__bin"), F.col("__bin") - 1)).alias("__bin"),
                  F.col("segment_ix").alias("__i2"), F.col("__a").alias("__a2"))
     # l is the earlier window (ties by index), r lies in the same or the next bin
-    pairs = l.join(r, ["crop_id", "__bin"]).where(
+    pairs = l.join(r, [*own, "__bin"]).where(
         ((F.col("__a1") < F.col("__a2")) | ((F.col("__a1") == F.col("__a2")) & (F.col("__i1") < F.col("__i2"))))
         & (F.col("__a2") < F.col("__a1") + F.col("__n")))
-    return pairs.select("crop_id", F.least("__i1", "__i2").alias("ix_a"), F.greatest("__i1", "__i2").alias("ix_b"),
+    return pairs.select(*own, F.least("__i1", "__i2").alias("ix_a"), F.greatest("__i1", "__i2").alias("ix_b"),
                         F.col("__a2").alias("shared_lo"), (F.col("__a1") + F.col("__n")).alias("shared_hi"))
 
 
 def skip_cached(targets: DataFrame, cached: DataFrame, force: bool = False) -> DataFrame:
-    return targets if force else targets.join(cached, ["source_id", "frame"], "left_anti")
+    return targets if force else targets.join(cached, [*keyed("source_id", targets, cached), "frame"], "left_anti")
 
 
 def selected(items: DataFrame, ids: DataFrame) -> DataFrame:
@@ -124,5 +132,9 @@ def selected(items: DataFrame, ids: DataFrame) -> DataFrame:
 
 def route_crops(crops: DataFrame, folders: DataFrame) -> DataFrame:
     """Output folder per crop by tag; the null tag is a bucket of its own, crops without a folder drop."""
-    f = folders.select(F.col("group_id").alias("__g"), "folder").where(F.coalesce("folder", F.lit("")) != "")
-    return crops.join(f, crops["group_id"].eqNullSafe(F.col("__g"))).drop("__g")
+    own = keyed("group_id", crops, folders)
+    f = folders.where(F.coalesce("folder", F.lit("")) != "").select(*(F.col(c).alias(f"__{c}") for c in own), "folder")
+    same = F.col("group_id").eqNullSafe(F.col("__group_id"))
+    for c in own[:-1]:
+        same = same & (F.col(c) == F.col(f"__{c}"))
+    return crops.join(f, same).drop(*(f"__{c}" for c in own))

@@ -18,7 +18,7 @@ _CH = "__chunk"
 
 def keyed(name: str, *tables: DataFrame) -> list[str]:
     """Join key of objects that belong to a project: their id within the timeline. Tables that leave the timeline out hold one project."""
-    return [*(["timeline_id"] if all("timeline_id" in t.columns for t in tables) else []), name]
+    return [*(["timeline_id"] if all("timeline_id" in t.columns for t in tables if t is not None) else []), name]
 
 
 def chunk_of(col, width: int | None = None) -> Column:

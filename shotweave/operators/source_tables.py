@@ -147,29 +147,32 @@ def revive_orphans(imports: DataFrame, orphans: DataFrame, live: DataFrame) -> D
 
     An id is given once: of several imports of a path the one with the least own id takes it. ``remaining_orphans`` gives what is left.
     """
-    free = orphans.select("file_path", F.col("source_id").alias("__old")).join(
-        live.select(F.col("source_id").alias("__old")).distinct(), "__old", "left_anti")
-    first = imports.where("file_path is not null").groupBy("file_path").agg(F.min("source_id").alias("source_id"))
-    given = free.join(first, "file_path")
-    return imports.join(given, ["file_path", "source_id"], "left").withColumn(
+    path = keyed("file_path", imports, orphans)
+    alive = keyed("source_id", orphans, live)
+    free = orphans.join(live.select(*alive).distinct(), alive, "left_anti").select(*path, F.col("source_id").alias("__old"))
+    first = imports.where("file_path is not null").groupBy(*path).agg(F.min("source_id").alias("source_id"))
+    given = free.join(first, path)
+    return imports.join(given, [*path, "source_id"], "left").withColumn(
         "revived", F.col("__old").isNotNull()).withColumn(
         "source_id", F.coalesce("__old", "source_id")).drop("__old")
 
 
 def remaining_orphans(orphans: DataFrame, revived: DataFrame) -> DataFrame:
     """Orphan entries whose id no import has taken."""
-    taken = revived.where("revived").select("file_path", "source_id")
-    return orphans.join(taken, ["file_path", "source_id"], "left_anti").select(*orphans.columns)
+    own = [*keyed("file_path", orphans, revived), "source_id"]
+    return orphans.join(revived.where("revived").select(*own), own, "left_anti").select(*orphans.columns)
 
 
 def remove_sources(sources: DataFrame, items: DataFrame, orphans: DataFrame, removed: DataFrame, keep_clips: bool):
     """Drop sources; their items become gaps, or stay while path → id goes to the orphan table."""
     from shotweave.operators.edits import remove_source
 
-    left = sources.join(removed.select("source_id"), "source_id", "left_anti").select(*sources.columns)
+    own = keyed("source_id", sources, removed)
+    left = sources.join(removed.select(*own), own, "left_anti").select(*sources.columns)
     if not keep_clips:
         return left, remove_source(items, removed), orphans
-    gone = (sources.join(removed.select("source_id"), "source_id", "left_semi")
-            .where(F.coalesce("file_path", F.lit("")) != "").select("file_path", "source_id"))
-    kept = orphans.join(gone.select("file_path"), "file_path", "left_anti").select("file_path", "source_id")
+    path = keyed("file_path", sources, orphans)
+    gone = (sources.join(removed.select(*own), own, "left_semi")
+            .where(F.coalesce("file_path", F.lit("")) != "").select(*path, "source_id"))
+    kept = orphans.join(gone.select(*path), path, "left_anti").select(*path, "source_id")
     return left, items, kept.unionByName(gone)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shotweave import schema as S
 from shotweave.functions import expr as X
-from shotweave.operators.ordered import chunk_of, ordered_scan, row_index
+from shotweave.operators.ordered import chunk_of, keyed, ordered_scan, row_index
 from shotweave.operators.timeline import TL, is_gap
 from shotweave.session import materialize
 from shotweave.sources.documents import element_lines, fixed_lines, number_lines, read_texts, write_lines
@@ -35,7 +35,8 @@ def otio_lines(plan: DataFrame, sources: DataFrame, rates: DataFrame | None = No
                metadata_key: str = "shotweave") -> DataFrame:
     """Lines of one JSON document per timeline of a plan; timelines with nothing to write have none."""
     rates = sequence_rates(plan) if rates is None else rates
-    p = plan.join(rates, TL).join(sources.select("source_id", "total_frames"), "source_id", "left")
+    own = keyed("source_id", plan, sources)
+    p = plan.join(rates, TL).join(sources.select(*own, "total_frames"), own, "left")
     empty = F.array().cast("array<string>")
     no_map = F.create_map().cast("map<string,string>")
     meta = F.struct(F.struct(F.col("source_id").cast("string").alias("source_id"), F.col("clip_id").cast("string").alias("clip_id"),
@@ -103,7 +104,8 @@ def fcpxml_lines(plan: DataFrame, sources: DataFrame, seq_frames: DataFrame, inc
     base = materialize(base)
     first = base.where(~is_gap()).groupBy(TL, "source_id").agg(F.min("item_ix").alias("first_ix"), F.first("rn").alias("rn"), F.first("rd").alias("rd"), F.first("seq_fps").alias("seq_fps"))
     assets = ordered_scan(materialize(first), [TL], ["first_ix"], chunk_of("first_ix"), index="use_ix")
-    assets = materialize(assets.join(sources.select("source_id", "file_path", "total_frames", "width", "height", "audio_channels", "audio_sample_rate"), "source_id"))
+    own = keyed("source_id", plan, sources)
+    assets = materialize(assets.join(sources.select(*own, "file_path", "total_frames", "width", "height", "audio_channels", "audio_sample_rate"), own))
     rid = F.concat(F.lit("r"), F.col("use_ix") + 2)
 
     heads = assets.where("use_ix = 0").join(seq_frames, TL)
