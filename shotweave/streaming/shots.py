@@ -4,68 +4,124 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from shotweave.operators.detect import DIFF_THRESHOLD, vector_diff
+from shotweave.operators.detect import DIFF_THRESHOLD
 
+#: Session setting that keyed state with timers needs.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-def stream_cuts(frames: DataFrame, threshold: float = DIFF_THRESHOLD, delay: str = "10 minutes", kind: str = "scalar") -> DataFrame:
-    """Cuts of a frame stream (source_id, frame_ix, ts, feature), as a stream.
 
-    A frame meets its predecessor in a stream-stream join on (source_id, frame number), so frames may
-    arrive in any order within the watermark and one busy source spreads over all tasks. State is
-    dropped once the watermark passes.
+class ShotProcessor(StatefulProcessor):
+    """Frames of one source, in frame order as far as the watermark allows, into closed shots.
+
+    State: the frames still waiting, by number; and the last settled frame with the open shot's start. A frame is settled once the watermark has passed
+    its time by ``hold_ms``: then no frame of a lower number can come any more. All waiting frames up to the highest settled one are compared, each with the
+    one before it that is really there, so holes in the numbers lose no cut. A timer brings the next frames to their turn without new input.
     """
-    a = frames.select("source_id", "frame_ix", F.col("ts").alias("ts"), F.col("feature").alias("f")).withWatermark("ts", delay)
-    b = frames.select(F.col("source_id").alias("p_source"), (F.col("frame_ix") + 1).alias("p_next"), F.col("ts").alias("p_ts"),
-                      F.col("feature").alias("p_f")).withWatermark("p_ts", delay)
-    near = f"source_id = p_source AND frame_ix = p_next AND p_ts <= ts AND p_ts >= ts - interval {delay}"
-    pairs = a.join(b, F.expr(near))
-    diff = F.abs(F.col("f") - F.col("p_f")) if kind == "scalar" else vector_diff(F.col("f"), F.col("p_f"))
-    return pairs.where(diff > threshold).select("source_id", "frame_ix", "ts")
 
+    def __init__(self, feature_type: str, threshold: float, hold_ms: int, shift: int):
+        self.feature_type, self.threshold, self.hold_ms, self.shift = feature_type, threshold, hold_ms, shift
 
-def close_shots(cuts: DataFrame, convention: str = "last") -> DataFrame:
-    """Turn a cut stream into closed shots (source_id, source_in, source_out).
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "frame_ix bigint", f"at bigint, feature {self.feature_type}")
+        # bound: a cut whose shot ends with the cut's own frame, as long as no later frame is settled
+        self.open = handle.getValueState("open", f"last_ix bigint, feature {self.feature_type}, start bigint, bound bigint")
 
-    State per source: the open shot's start and the cuts still above the watermark. Only the sparse cuts
-    reach it. A cut closes a shot once the watermark proves that no earlier cut can come; the last,
-    open shot stays in the state.
-    """
-    shift = 1 if convention == "last" else 0
-    t = {f.name: f.dataType.simpleString() for f in cuts.schema}
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, pending = state.get if state.exists else (0, [])
-        pending = [tuple(p) for p in pending]
-        for pdf in batches:
-            pending += [(int(f) + shift, int(ts.value // 1_000_000)) for f, ts in zip(pdf["frame_ix"], pdf["ts"])]
-        pending = sorted(set(pending))
-        mark = state.getCurrentWatermarkMs()
-        done = [p for p in pending if p[1] < mark]
-        rows = []
-        for bound, _ in done:
-            if bound > start:
-                rows.append((key[0], start, bound - 1))
-                start = bound
-        pending = pending[len(done):] if done == pending[:len(done)] else [p for p in pending if p not in set(done)]
-        state.update((start, [list(p) for p in pending]))
-        if pending:
-            state.setTimeoutTimestamp(max(min(p[1] for p in pending) + 1, mark + 1))
-        yield pd.DataFrame(rows, columns=["source_id", "source_in", "source_out"])
-
-    return cuts.groupBy("source_id").applyInPandasWithState(
-        step, f"source_id {t['source_id']}, source_in bigint, source_out bigint",
-        "start bigint, pending array<array<bigint>>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def detect_cuts_stream(frames: DataFrame, threshold: float = DIFF_THRESHOLD, delay: str = "10 minutes", kind: str = "scalar",
-                       convention: str = "last") -> DataFrame:
-    """Closed shots of a frame stream.
-
-    Equals batch difference detection only where frame numbers have no holes, times rise with them and a frame's predecessor is at
-    most ``delay`` older: a frame meets only the frame numbered one lower, so a cut across a missing frame is lost. Late drops are not counted.
+    def _plain(self, v):
+        return [float(x) for x in v] if self.feature_type.startswith("array") else float(v)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = self.open.get()[0] if self.open.exists() else None
+        late = 0
+        for pdf in rows:
+            for ix, ts, feature in zip(pdf["frame_ix"], pdf["ts"], pdf["feature"], strict=True):
+                if last is not None and ix <= last:
+                    late += 1
+                elif feature is not None and not self.waiting.containsKey((int(ix),)):
+                    self.waiting.updateValue((int(ix),), (int(pd.Timestamp(ts).value // 1_000_000), self._plain(feature)))
+        yield self._settle(key, timerValues, late)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._settle(key, timerValues, 0)
+
+    def _settle(self, key, timerValues, late: int) -> pd.DataFrame:
+        mark = timerValues.getCurrentWatermarkInMs()
+        frames = sorted((k[0], v[0], v[1]) for k, v in self.waiting.iterator())
+        upto = max((ix for ix, at, _ in frames if at + self.hold_ms < mark), default=None)
+        out = [(key[0], None, None, late)] if late else []
+        if upto is not None:
+            before, feature, start, bound = self.open.get() if self.open.exists() else (None, None, None, None)
+            for ix, _, f in frames:
+                if ix > upto:
+                    break
+                if start is None:
+                    start = ix
+                if bound is not None:  # this frame is beyond the cut's, so the shot is closed
+                    out.append((key[0], start, bound - 1, None))
+                    start, bound = bound, None
+                if before is not None and self._differs(feature, f):
+                    b = ix + self.shift
+                    if self.shift:
+                        bound = b
+                    elif b > start:
+                        out.append((key[0], start, b - 1, None))
+                        start = b
+                before, feature = ix, f
+                self.waiting.removeKey((ix,))
+            self.open.update((before, feature, start, bound))
+        left = [at for ix, at, _ in frames if upto is None or ix > upto]
+        if left:
+            due = max(min(left) + self.hold_ms, mark) + 1
+            if due not in set(self.handle.listTimers()):
+                self.handle.registerTimer(due)
+        return pd.DataFrame({c: pd.Series([r[k] for r in out], dtype=t) for k, (c, t) in enumerate(
+            [("source_id", "object"), ("source_in", "Int64"), ("source_out", "Int64"), ("late", "Int64")])})
+
+    def _differs(self, a, b) -> bool:
+        gap = float(np.mean(np.abs(np.subtract(a, b))))
+        return gap > self.threshold
+
+    def close(self) -> None:
+        pass
+
+
+def detect_cuts_stream(frames: DataFrame, threshold: float = DIFF_THRESHOLD, delay: str = "10 minutes", convention: str = "last",
+                       disorder: str | None = None) -> DataFrame:
+    """Closed shots (source_id, source_in, source_out, late) of a frame stream (source_id, frame_ix, ts, feature).
+
+    Equals difference detection over the whole table on all frames that are settled, holes in the numbers included; the first shot starts at the source's first
+    frame and the last stays open. Frames may arrive in any order within ``delay`` of event time, and a frame may be up to ``disorder`` (``delay`` unless
+    given) younger than one with a higher number. A frame that comes after its successors were compared is not used: rows with ``late`` count such frames, the
+    other columns are null there. Frames behind the watermark never reach the operator; ``dropped_by_watermark`` counts those. Repeated numbers count
+    once; frames without a feature make no cut. State per source is the frames of that time span, in the RocksDB store (``STATE_STORE``).
     """
-    return close_shots(stream_cuts(frames, threshold, delay, kind), convention)
+    kind = next(f.dataType.simpleString() for f in frames.schema if f.name == "feature")
+    kind = "array<double>" if kind.startswith("array") else "double"
+    sid = next(f.dataType.simpleString() for f in frames.schema if f.name == "source_id")
+    hold = int(pd.Timedelta(disorder if disorder is not None else delay).value // 1_000_000)
+    rows = frames.select("source_id", F.col("frame_ix").cast("long").alias("frame_ix"), "ts", F.col("feature").cast(kind).alias("feature")).withWatermark("ts", delay)
+    return rows.groupBy("source_id").transformWithStateInPandas(
+        ShotProcessor(kind, threshold, hold, 1 if convention == "last" else 0), f"source_id {sid}, source_in bigint, source_out bigint, late bigint", "Append", "EventTime")
+
+
+def dropped_by_watermark(query) -> int:
+    """Frames that a running or finished query dropped because they came behind the watermark."""
+    return sum(int(o.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for o in p["stateOperators"])
+
+
+def detect_stored_stream(frames: DataFrame, folder: str, threshold: float = DIFF_THRESHOLD, delay: str = "10 minutes", convention: str = "last",
+                         disorder: str | None = None) -> DataFrame:
+    """Runs the stream over all that a streaming ``frames`` has now, with its checkpoint and its result in ``folder``, and reads the result."""
+    spark = frames.sparkSession
+    if not spark.conf.get(STATE_STORE[0], "").endswith("RocksDBStateStoreProvider"):
+        spark.conf.set(*STATE_STORE)
+    out = detect_cuts_stream(frames, threshold, delay, convention, disorder)
+    query = (out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/shots")
+             .outputMode("append").trigger(availableNow=True).start())
+    query.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/shots")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shotweave.operators import detect as dt
-from shotweave.streaming.shots import detect_cuts_stream
+from shotweave.streaming.shots import detect_cuts_stream, dropped_by_watermark
 
 
 def test_cuts_across_chunks(spark, tiny_chunks):
@@ -52,35 +52,82 @@ def test_hsv(spark):
     assert got == [0, 255, 255, 60, 255, 255, 120, 255, 255, 0, 0, 10]
 
 
-def test_stream_equals_batch(spark):
-    base = dt_.datetime(2024, 1, 1)
-    rows = []
-    for s in ("hot", "b"):
-        n = 60 if s == "hot" else 12
-        for i in range(n):
-            rows.append((s, i, base + dt_.timedelta(seconds=i), float((i // 7 % 2) * 80 if s == "hot" else (i // 5 % 2) * 80)))
+def run_stream(spark, files, name, **kw):
+    """Rows of each file arrive together; the files' order is that of arrival."""
     schema = "source_id string, frame_ix long, ts timestamp, feature double"
     src, ckpt = tempfile.mkdtemp(prefix="spark-"), tempfile.mkdtemp(prefix="spark-")
-    # out of order inside the watermark, spread over several arrivals
-    order = sorted(rows, key=lambda r: (r[1] // 10, -r[1]))
-    for k in range(0, len(order), 18):
-        spark.createDataFrame(order[k:k + 18], schema).coalesce(1).write.mode("append").parquet(src)
-    # late markers push the watermark past every frame
-    for j in (1, 2):
-        spark.createDataFrame([("end", 0, base + dt_.timedelta(hours=j), 0.0)], schema).coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = (detect_cuts_stream(stream, 30.0, "20 seconds").writeStream.format("memory").queryName("shots_out").outputMode("append")
+    for rows in files[:1]:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    q = (detect_cuts_stream(stream, 30.0, **kw).writeStream.format("memory").queryName(name).outputMode("append")
          .option("checkpointLocation", ckpt).start())
     try:
         q.processAllAvailable()
+        for rows in files[1:]:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+            q.processAllAvailable()
+        dropped = dropped_by_watermark(q)
     finally:
         q.stop()
-    got = sorted((r.source_id, r.source_in, r.source_out) for r in spark.table("shots_out").collect())
+    rows = spark.table(name).collect()
+    return sorted((r.source_id, r.source_in, r.source_out) for r in rows if r.late is None), {r.source_id: r.late for r in rows if r.late}, dropped
+
 
-    f = spark.createDataFrame(rows, schema)
-    seg = f.groupBy("source_id").agg(F.lit(0).cast("long").alias("source_in"), F.max("frame_ix").alias("source_out")).selectExpr(
+def batch_shots(spark, rows, convention="last"):
+    f = spark.createDataFrame(rows, "source_id string, frame_ix long, ts timestamp, feature double")
+    seg = f.groupBy("source_id").agg(F.min("frame_ix").alias("source_in"), F.max("frame_ix").alias("source_out")).selectExpr(
         "'t' as timeline_id", "source_id as clip_id", "source_id", "source_in", "source_out")
-    shots = dt.cuts_to_shots(dt.cuts_in_segments(dt.detect_cuts_diff(f, 30.0), seg), seg)
+    shots = dt.cuts_to_shots(dt.cuts_in_segments(dt.detect_cuts_diff(f, 30.0), seg), seg, convention)
     ends = {r.source_id: r.source_out for r in seg.collect()}
-    batch = sorted((r.source_id, r.source_in, r.source_out) for r in shots.collect() if r.source_out != ends[r.source_id])
-    assert got == batch and len(got) > 8
+    return sorted((r.source_id, r.source_in, r.source_out) for r in shots.collect() if r.source_out != ends[r.source_id])
+
+
+BASE = dt_.datetime(2024, 1, 1)
+
+
+def second(i):
+    return BASE + dt_.timedelta(seconds=i)
+
+
+MARKERS = [[("end", j, BASE + dt_.timedelta(hours=j), 0.0)] for j in (1, 2)]
+
+
+@pytest.mark.parametrize("convention", ["last", "first"])
+def test_stream_equals_batch(spark, convention):
+    """Holes in the numbers, also where a cut is; frames whose times run against their numbers; arrivals out of order; a busy source."""
+    import random
+
+    rnd, rows = random.Random(5), []
+    for s, n, first in (("hot", 90, 0), ("b", 24, 7), ("c", 1, 3)):
+        for i in range(first, first + n):
+            if rnd.random() < 0.3 or i % 7 == 0:
+                continue
+            rows.append((s, i, second(i + rnd.randint(-2, 2)), float((i // 7 % 2) * 80 if s == "hot" else (i // 5 % 2) * 80)))
+    order = sorted(rows, key=lambda r: (r[1] // 10, -r[1]))
+    got, late, dropped = run_stream(spark, [order[k:k + 14] for k in range(0, len(order), 14)] + MARKERS, f"shots_{convention}", delay="30 seconds", convention=convention, disorder="5 seconds")
+    assert got == batch_shots(spark, rows, convention) and len(got) > 8 and not late and not dropped
+
+
+def test_late_frames_are_counted(spark):
+    """A frame behind its settled successors is counted by the operator, one behind the watermark by the engine; neither changes a shot."""
+    rows = [("s", i, second(i), float(i // 5 % 2 * 80)) for i in range(40) if i != 12]
+    slow = [("s", 12, second(500), 999.0)]  # young, but all frames after it were compared
+    old = [("s", 3, second(1), 999.0)]
+    far = [("end", 0, second(60), 0.0)]
+    got, late, dropped = run_stream(spark, [rows, far, slow, old, *MARKERS], "shots_late", delay="2 seconds")
+    assert got == batch_shots(spark, rows) and late == {"s": 1} and dropped == 1
+
+
+def test_stored_stream_resumes_and_vectors(spark):
+    from shotweave.streaming.shots import detect_stored_stream
+
+    schema = "source_id string, frame_ix long, ts timestamp, feature array<double>"
+    rows = [("s", i, second(i), [float(i // 6 % 2 * 90)] * 3) for i in range(0, 60, 2)]
+    src, out = tempfile.mkdtemp(prefix="spark-"), tempfile.mkdtemp(prefix="spark-")
+    stream = spark.readStream.schema(schema).parquet(src)
+    for part in (rows[:15], rows[15:] + [("end", 0, second(1000), [0.0])]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+        shots = detect_stored_stream(stream, out, delay="1 second")
+    got = sorted((r.source_in, r.source_out) for r in shots.collect())
+    want = batch_shots(spark, [(s, i, t, f[0]) for s, i, t, f in rows])
+    assert got == [w[1:] for w in want] and len(got) > 5
