@@ -19,6 +19,6 @@ def query(name: str, sql: str | None = None):
 def load_all() -> dict[str, tuple[Callable, str | None]]:
     import importlib
 
-    for m in ("scalars", "layout", "joins", "aggregates", "edits", "detection", "keys", "crops", "audits", "documents", "projects", "stores"):
+    for m in ("scalars", "layout", "joins", "aggregates", "edits", "detection", "keys", "crops", "audits", "documents", "projects", "stores", "readers"):
         importlib.import_module(f"shotweave.queries.{m}")
     return REGISTRY

@@ -14,12 +14,19 @@ def index_packets(packets: DataFrame, tie: list[str] | None = None, seconds: flo
     return ordered.select("source_id", "pts_ix", *[c for c in packets.columns if c not in ("source_id", *(tie or []))])
 
 
+def write_packets(packets: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Text tables of ``pts`` lines (source_id, pts), a folder per source; a long table is several files."""
+    packets.select("source_id", F.col("pts").cast("string").alias("pts")).write.mode(mode).partitionBy("source_id").text(path)
+
+
 def read_packets(spark: SparkSession, path: str) -> DataFrame:
     """Text tables with one pts per line; blank and unparsable lines are skipped.
 
-    The source id is the file name without its extension.
+    The source id is that of the folder that ``write_packets`` made, or the file name without its extension.
     """
-    lines = spark.read.text(path).select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("source_id"),
+    written = F.regexp_extract(F.col("_metadata.file_path"), r"/source_id=([^/]+)/", 1)
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1)
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
+        F.url_decode(F.when(written != "", written).otherwise(name)).alias("source_id"),
         F.regexp_replace(F.trim("value"), r",+$", "").try_cast("double").alias("pts_time"))
     return index_packets(lines.where(F.col("pts_time").isNotNull() & ~F.isnan("pts_time")))
