@@ -123,16 +123,22 @@ def split_items(items: DataFrame, cuts: DataFrame, parents: bool = False) -> Dat
     return out.withColumn("item_ix", F.col("__ix") + 1).select(*items.columns, *(["parent_id"] if parents else []))
 
 
-def insert_items(items: DataFrame, inserts: DataFrame) -> DataFrame:
+def insert_items(items: DataFrame, inserts: DataFrame, parents: bool = False, color_start: int | None = None) -> DataFrame:
     """Insert clips (timeline_id, tl_frame, ins_ix, plus the item columns) and shift what follows.
 
     At or past the end they are appended, at or before 0 prepended; inside an item (gaps too) the item is
-    cut. ``ins_ix`` orders clips that share a position.
+    cut. ``ins_ix`` orders clips that share a position. With ``color_start``, inserted real clips continue the eight-colour cycle from it, in the
+    order in which they end up. With ``parents``, the column ``parent_id`` names the clip that a piece comes from, itself if it was not cut:
+    ``partition_by_pieces`` takes it to hand on the crops.
     """
     total = items.groupBy(TL).agg(F.sum(duration()).alias("__total"))
     ins = inserts.join(total, TL, "left").withColumn("__total", F.coalesce("__total", F.lit(0)))
     ins = ins.withColumn("__pos", F.least(F.greatest(F.col("tl_frame"), F.lit(0)), F.col("__total")).cast("long"))
     ins = materialize(row_index(ins, [TL, "__pos"], ["ins_ix"], chunk_of("ins_ix"), "__sub"))
+    if color_start is not None:
+        turn = ordered_scan(ins, [TL], ["__pos", "__sub"], chunk_of("__pos"), sums={"__turn": F.when(is_gap(), 0).otherwise(1)})
+        color = F.when(is_gap(), F.col("color_index")).otherwise(F.pmod(F.col("__turn") + color_start, F.lit(8)))
+        ins = materialize(turn.withColumn("color_index", color.cast(ins.schema["color_index"].dataType)).drop("__turn"))
     placed = place_items(items)
     cuts = ins.where((F.col("__pos") > 0) & (F.col("__pos") < F.col("__total"))).select(TL, F.col("__pos").alias("cut")).distinct()
     pieces = _pieces(materialize(_locate_cuts(placed, cuts)), [c for c in placed.columns if c != TL], fresh_left=False, fill=True)
@@ -149,7 +155,8 @@ def insert_items(items: DataFrame, inserts: DataFrame) -> DataFrame:
     made = F.col("__kind") == 0
     values = {c: F.when(made, F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) for c in cols}
     values["item_ix"] = (F.col("__base") + F.coalesce("__sub", F.lit(0)) + 1).alias("item_ix")
-    return out.select(*[values.get(c, F.col(c)) for c in items.columns])
+    parent = F.when(made, F.col("__new.clip_id")).otherwise(F.col("parent_id")).alias("parent_id")
+    return out.select(*[values.get(c, F.col(c)) for c in items.columns], *([parent] if parents else []))
 
 
 def replace_items(items: DataFrame, repl: DataFrame, assign: bool = True, color_start: int = 0) -> DataFrame:
@@ -206,14 +213,16 @@ def partition_crops(crops: DataFrame, segments: DataFrame, splits: DataFrame):
 # ---- tags --------------------------------------------------------------------------------
 
 def partition_by_pieces(crops: DataFrame, segments: DataFrame, keyframes: DataFrame, pieces: DataFrame):
-    """Hand the crops of cut clips on to any number of pieces: ``pieces`` is the result of ``split_items`` with ``parents``.
+    """Hand the crops of cut clips on to any number of pieces: ``pieces`` is the result of ``split_items`` or ``insert_items`` with ``parents``.
 
     A segment follows its anchor (before the clip it goes to the first piece, after it to the last); a crop appears on every piece
     that has one of its segments, with a copy of its keys; a crop without segments goes to the first piece. Ids of what is handed on
     come from the old id and the piece, so they are unique however many cuts there are. Returns (crops, segments, keyframes).
     """
     clip = [TL, "clip_id"]
-    cut = pieces.where(F.col("parent_id") != F.col("clip_id")).select(TL, F.col("parent_id").alias("clip_id"), F.col("clip_id").alias("piece"), F.col("source_in").alias("from"))
+    several = pieces.where(F.col("parent_id") != F.col("clip_id")).select(TL, "parent_id").distinct()
+    # an insert leaves the first piece the old id, so all pieces of a cut clip take part
+    cut = pieces.join(several, [TL, "parent_id"], "left_semi").select(TL, F.col("parent_id").alias("clip_id"), F.col("clip_id").alias("piece"), F.col("source_in").alias("from"))
     first = cut.groupBy(*clip).agg(F.min("from").alias("first"), F.min_by("piece", "from").alias("first_piece"))
     moving = crops.join(first, clip).select(*clip, "crop_id", "first", "first_piece")
     on_crop = keyed("crop_id", segments, crops)

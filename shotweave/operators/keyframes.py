@@ -6,10 +6,13 @@ in_dy, out_dx, out_dy. Crop ids are unique within a timeline; tables of a single
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from shotweave.functions import expr as X
 from shotweave.operators.ordered import asof_join, chunk_of, keyed, ordered_scan, overlap_join
+from shotweave.session import materialize
 
 SHAPE = ["value", "interp", "in_dx", "in_dy", "out_dx", "out_dy"]
 NEWTON_STEPS = 8
@@ -210,6 +213,93 @@ def apply_key_edits(keyframes: DataFrame, moves=None, deletes=None, sets=None, s
     return out
 
 
+#: Kinds of an edit log, see ``edit_keys``.
+EDIT_KINDS = ("set", "delete", "toggle", "move", "shape", "handles", "pair")
+_HANDLES = ("in_dx", "in_dy", "out_dx", "out_dy")
+_EDIT_FIELDS = {"kind": "string", "new_frame": "long", "value": "double", "interp": "string", **dict.fromkeys(_HANDLES, "double"), "edit_seq": "long"}
+
+
+def _apply_edit(keys: dict[int, list], e: dict) -> None:
+    """One edit of one track: ``keys`` maps frames to [value, interp, four handles]."""
+    kind, at = e["kind"], e["source_frame"]
+    key = keys.get(at)
+    given = [e[h] for h in _HANDLES]
+    if kind == "delete" or kind == "toggle" and key is not None:
+        keys.pop(at, None)
+    elif kind in ("set", "toggle"):
+        interp = e["interp"] or "linear"
+        # handles stay as long as the interpolation does
+        keys[at] = [e["value"], interp, *(key[2:] if key is not None and key[1] == interp else (0.0,) * 4)]
+    elif key is None:
+        return
+    elif kind == "move":
+        del keys[at]
+        keys[e["new_frame"]] = [e["value"], *key[1:]]
+    elif kind == "shape":
+        keys[at] = [key[0], e["interp"], *(h if h is not None else 0.0 for h in given)]
+    elif kind == "handles":
+        keys[at] = [*key[:2], *(h if h is not None else old for h, old in zip(given, key[2:], strict=True))]
+    elif kind == "pair":
+        keys[at] = [key[0], e["interp"], *key[2:]]
+
+
+def edit_keys(keyframes: DataFrame, edits: DataFrame) -> DataFrame:
+    """Keys after a log of edits, applied one after another by ``edit_seq`` (ties: by frame, then kind).
+
+    ``edits``: the crop's key, ``axis`` (or ``pair``, "position" or "size", for the kind pair), ``kind``, ``source_frame``, ``edit_seq`` and what the kind needs:
+
+    * set: ``value``, ``interp`` (linear if null); handles stay while the interpolation does, a new key has none; toggle: the same, or a delete if the key is there
+    * delete; move: ``new_frame``, ``value``, replaces a key there, shape and handles travel
+    * shape: ``interp`` and handles (null: zero); handles: those that are given; pair: ``interp`` of both axes that have a key at the frame
+
+    Edits of missing keys do nothing, unknown kinds are an error. Keys that no edit names stay where they are; the others meet their edits in one sorted
+    pass: by frame, or by track if the track has moves. A task holds the keys of one such unit at a time, whatever its number of edits.
+    """
+    crop = keyed("crop_id", keyframes, edits)
+    track = [*crop, "axis"]
+    log = edits.select(*crop, *(F.col(c) if c in edits.columns else F.lit(None).cast(t).alias(c) for c, t in {"axis": "string", "pair": "string", "source_frame": "long", **_EDIT_FIELDS}.items()))
+    known = F.when(F.col("kind").isin(*EDIT_KINDS), F.col("kind")).otherwise(F.raise_error(F.concat(F.lit("unknown kind of key edit: "), F.coalesce("kind", F.lit("null")))))
+    axes = (F.when(F.col("kind") != "pair", F.array("axis")).when(F.col("pair") == "position", F.array(F.lit("x"), F.lit("y")))
+            .when(F.col("pair") == "size", F.array(F.lit("w"), F.lit("h"))))
+    log = materialize(log.withColumn("kind", known).withColumn("axis", F.explode(axes)).drop("pair"))
+    moving = log.where("kind = 'move'").select(*track).distinct().withColumn("__moves", F.lit(True))
+    unit = F.when(F.col("__moves"), F.lit(None).cast("long")).otherwise(F.col("source_frame")).alias("unit")
+    log = log.join(moving, track, "left")
+    named = log.select(*track, F.explode(F.array_compact(F.array("source_frame", "new_frame"))).alias("source_frame")).distinct()
+    slot = [*track, "source_frame"]
+    keys = keyframes.select(*slot, *SHAPE)
+    touched = keys.join(named, slot, "left_semi").join(moving, track, "left")
+    none = {c: F.lit(None).cast(t).alias(c) for c, t in _EDIT_FIELDS.items()}
+    rows = touched.select(*slot, unit, *(F.col(c) if c in SHAPE else none[c] for c in _EDIT_FIELDS)).unionByName(log.select(*slot, unit, *_EDIT_FIELDS))
+    rows = rows.repartition(*track, "unit").sortWithinPartitions(*track, "unit", F.col("kind").isNotNull(), "edit_seq", "source_frame", "kind")
+    schema = T.StructType([rows.schema[c] for c in slot] + [rows.schema[c] for c in SHAPE])
+    arrow = to_arrow_schema(schema)
+
+    def fold(batches):
+        own, held = None, {}
+
+        def flush():
+            found = [[*own[:-1], f, *k] for f, k in held.items()]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], arrow.field(k).type) for k in range(len(arrow))], schema=arrow)
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                here = (*(r[c] for c in track), r["unit"])
+                if here != own:
+                    if held:
+                        yield flush()
+                    own, held = here, {}
+                if r["kind"] is None:
+                    held[r["source_frame"]] = [r[c] for c in SHAPE]
+                else:
+                    _apply_edit(held, r)
+        if held:
+            yield flush()
+
+    done = rows.mapInArrow(fold, schema)
+    return keys.join(named, slot, "left_anti").unionByName(done)
+
+
 # ---- nested and flat --------------------------------------------------------------------------
 
 def flatten_crops(clips: DataFrame) -> dict[str, DataFrame]:

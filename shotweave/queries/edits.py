@@ -122,13 +122,18 @@ two AS (SELECT *, 0 AS k, p0 AS p FROM cp UNION ALL SELECT *, 1, p1 FROM cp)"""
 
 def _thirds(spark, d):
     it = fx.items(spark, d)
+    cuts = tl.place_items(it).where("source_id is not null and dur > 20").selectExpr("timeline_id", "clip_id", "explode(array(tl_start + dur div 3, tl_start + 2 * dur div 3)) as tl_frame")
+    return _handed(spark, d, it, ed.split_items(it, cuts, parents=True))
+
+
+def _handed(spark, d, it, pieces):
+    """Crops, segments and keys after the cutting of clips into pieces."""
     c = fx.crops(spark, d, it)
     segs = c.join(it.select("timeline_id", "clip_id", "dur"), ["timeline_id", "clip_id"]).selectExpr(
         "timeline_id", "crop_id", "inline(array(struct(0L as segment_ix, concat('s0', crop_id) as segment_id, source_in as anchor_frame, true as active),"
         " struct(1L as segment_ix, concat('s1', crop_id) as segment_id, source_in + dur div 2 as anchor_frame, true as active)))")
     keys = c.selectExpr("timeline_id", "crop_id", "'x' as axis", "source_in as source_frame", "cast(x as double) as value", "'step' as interp", "0D as in_dx", "0D as in_dy", "0D as out_dx", "0D as out_dy")
-    cuts = tl.place_items(it).where("source_id is not null and dur > 20").selectExpr("timeline_id", "clip_id", "explode(array(tl_start + dur div 3, tl_start + 2 * dur div 3)) as tl_frame")
-    return ed.partition_by_pieces(c, segs, keys, ed.split_items(it, cuts, parents=True))
+    return ed.partition_by_pieces(c, segs, keys, pieces)
 
 
 @query("i5_split_with_crops", with_sql(ITEMS_SQL, CROPS_SQL, THIRDS_SQL) + """SELECT DISTINCT timeline_id, CASE WHEN p IS NULL THEN clip_id ELSE p END AS clip_id,
@@ -149,6 +154,38 @@ def i6_keys(spark, d):
     return _thirds(spark, d)[2].select("timeline_id", "crop_id", "axis", "source_frame")
 
 
+# a clip inserted a third into every long clip: the left piece keeps the clip's id, segments and keys follow their frame, colours go round
+INSIDE_SQL = THIRDS_SQL.replace("left(sha256(clip_id || ':' || 0), 32) AS p0", "clip_id AS p0")
+
+
+def _inside(spark, d):
+    it = fx.items(spark, d)
+    places = tl.place_items(it).where("source_id is not null and dur > 20")
+    new = places.selectExpr("timeline_id", "tl_start + dur div 3 as tl_frame", "0L as ins_ix", "concat('n', clip_id) as clip_id", "source_id", "0L as source_in", "4L as source_out", "'' as label", "0 as color_index",
+                            "cast(array() as array<bigint>) as group_ids", "0 as l_linenumber", "0L as l_suppkey", "5L as dur")
+    return it, ed.insert_items(it, new, parents=True, color_start=3)
+
+
+@query("i4_insert_with_crops", with_sql(ITEMS_SQL, CROPS_SQL, INSIDE_SQL) + """SELECT DISTINCT timeline_id, CASE WHEN p IS NULL THEN clip_id ELSE p END AS clip_id,
+ CASE WHEN p IS NULL THEN crop_id ELSE left(sha256(crop_id || ':' || p), 32) END AS crop_id FROM two""")
+def i4_crops(spark, d):
+    it, pieces = _inside(spark, d)
+    return _handed(spark, d, it, pieces)[0].select("timeline_id", "clip_id", "crop_id")
+
+
+@query("i4_insert_keyframes", with_sql(ITEMS_SQL, CROPS_SQL, INSIDE_SQL) + """SELECT DISTINCT timeline_id, CASE WHEN p IS NULL THEN crop_id ELSE left(sha256(crop_id || ':' || p), 32) END AS crop_id,
+ 'x' AS axis, source_in AS source_frame FROM two""")
+def i4_keys(spark, d):
+    it, pieces = _inside(spark, d)
+    return _handed(spark, d, it, pieces)[2].select("timeline_id", "crop_id", "axis", "source_frame")
+
+
+@query("i4_insert_colors", with_sql(ITEMS_SQL) + """SELECT timeline_id, 'n' || clip_id AS clip_id, ((row_number() OVER (PARTITION BY timeline_id ORDER BY item_ix) + 2) % 8)::INTEGER AS color_index,
+ (item_ix + 2 * row_number() OVER (PARTITION BY timeline_id ORDER BY item_ix) - 1)::BIGINT AS item_ix FROM items WHERE source_id IS NOT NULL AND dur > 20""")
+def i4_colors(spark, d):
+    return _inside(spark, d)[1].where("clip_id like 'n%' and parent_id = clip_id and dur = 5").select("timeline_id", "clip_id", "color_index", "item_ix")
+
+
 @query("i7_replace_items", with_sql(ITEMS_SQL) + """, r AS (SELECT timeline_id, item_ix, source_id, source_in, source_in + dur // 2 - 1 AS source_out, 0 AS sub FROM items WHERE source_id IS NOT NULL AND dur > 20
  UNION ALL SELECT timeline_id, item_ix, source_id, source_in + dur // 2, source_out, 1 FROM items WHERE source_id IS NOT NULL AND dur > 20),
 u AS (SELECT timeline_id, item_ix, source_id, source_in, source_out, 0 AS sub, false AS new FROM items WHERE source_id IS NULL OR dur <= 20 UNION ALL SELECT *, true FROM r)

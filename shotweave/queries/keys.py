@@ -152,3 +152,31 @@ def i14p(spark, d):
     e = k.where("source_frame % 2 = 0 and crop_id % 3 = 0").select("crop_id", "source_frame").distinct().selectExpr(
         "crop_id", "'size' as pair", "source_frame", "'bezier' as interp", "1 as edit_seq")
     return kf.pair_interp(k, e).select("crop_id", "axis", "source_frame", "interp")
+
+
+# per key, by its frame: a set, handles and a set again; a delete and a set; a move away, a new key in its place and, for half, a toggle of what was moved; a shape and a pair; nothing
+@query("i14_edit_sequences", with_sql(KEYFRAMES_SQL) + """, h AS (SELECT crop_id, axis, source_frame AS f, value AS v, interp AS i FROM keyframes)
+SELECT crop_id, axis, f AS source_frame, v + 2 AS value, 'bezier' AS interp, 7::DOUBLE AS in_dx, 0::DOUBLE AS out_dy FROM h WHERE f % 5 = 0 AND i <> 'bezier'
+UNION ALL SELECT crop_id, axis, f, v + 2, 'bezier', 7, 3 FROM h WHERE f % 5 = 0 AND i = 'bezier'
+UNION ALL SELECT crop_id, axis, f, 5, 'linear', 0, 0 FROM h WHERE f % 5 = 1
+UNION ALL SELECT crop_id, axis, f, 1, 'step', 0, 0 FROM h WHERE f % 5 = 2
+UNION ALL SELECT crop_id, axis, f + 1000000, v + 10, i, -1, 3 FROM h WHERE f % 5 = 2 AND f % 2 = 1
+UNION ALL SELECT crop_id, axis, f, v, CASE WHEN axis IN ('x', 'y') THEN 'linear' ELSE 'step' END, 3, 0 FROM h WHERE f % 5 = 3
+UNION ALL SELECT crop_id, axis, f, v, i, -1, 3 FROM h WHERE f % 5 = 4""")
+def i14_log(spark, d):
+    k = handled(spark, d)
+    edits = k.where("source_frame % 5 < 4").selectExpr(
+        "crop_id", "case when source_frame % 5 = 3 then 'position' end as pair", "axis", "source_frame", """inline(case source_frame % 5
+         when 0 then array(named_struct('kind', 'set', 'at', source_frame, 'new_frame', 0L, 'val', value + 1, 'how', 'bezier', 'dx', cast(null as double), 'edit_seq', 1),
+           named_struct('kind', 'handles', 'at', source_frame, 'new_frame', 0L, 'val', 0D, 'how', '', 'dx', 7D, 'edit_seq', 2),
+           named_struct('kind', 'set', 'at', source_frame, 'new_frame', 0L, 'val', value + 2, 'how', 'bezier', 'dx', cast(null as double), 'edit_seq', 3))
+         when 1 then array(named_struct('kind', 'delete', 'at', source_frame, 'new_frame', 0L, 'val', 0D, 'how', '', 'dx', cast(null as double), 'edit_seq', 1),
+           named_struct('kind', 'set', 'at', source_frame, 'new_frame', 0L, 'val', 5D, 'how', cast(null as string), 'dx', cast(null as double), 'edit_seq', 2))
+         when 2 then array(named_struct('kind', 'move', 'at', source_frame, 'new_frame', source_frame + 1000000, 'val', value + 10, 'how', '', 'dx', cast(null as double), 'edit_seq', 1),
+           named_struct('kind', 'set', 'at', source_frame, 'new_frame', 0L, 'val', 1D, 'how', 'step', 'dx', cast(null as double), 'edit_seq', 2),
+           named_struct('kind', 'toggle', 'at', source_frame + 1000000 + source_frame % 2 * 1000000, 'new_frame', 0L, 'val', 9D, 'how', 'step', 'dx', cast(null as double), 'edit_seq', 3),
+           named_struct('kind', 'delete', 'at', source_frame + 2000000, 'new_frame', 0L, 'val', 9D, 'how', 'step', 'dx', cast(null as double), 'edit_seq', 4))
+         else array(named_struct('kind', 'shape', 'at', source_frame, 'new_frame', 0L, 'val', 0D, 'how', 'step', 'dx', 3D, 'edit_seq', 1),
+           named_struct('kind', 'pair', 'at', source_frame, 'new_frame', 0L, 'val', 0D, 'how', 'linear', 'dx', cast(null as double), 'edit_seq', 2)) end)""")
+    edits = edits.selectExpr("crop_id", "pair", "axis", "kind", "at as source_frame", "case when kind = 'move' then new_frame end as new_frame", "val as value", "how as interp", "dx as in_dx", "edit_seq")
+    return kf.edit_keys(k, edits).select("crop_id", "axis", "source_frame", "value", "interp", "in_dx", "out_dy")
