@@ -9,7 +9,7 @@ from shotweave.functions import expr as X
 from shotweave.operators.ordered import chunk_of, keyed, ordered_scan, row_index
 from shotweave.operators.timeline import TL, is_gap
 from shotweave.session import materialize
-from shotweave.sources.documents import element_lines, fixed_lines, number_lines, read_texts, write_lines
+from shotweave.sources.documents import element_lines, elements, fixed_lines, number_lines, read_lines, read_texts, write_lines
 
 
 def sequence_rates(plan: DataFrame) -> DataFrame:
@@ -69,16 +69,26 @@ def write_otio(plan: DataFrame, sources: DataFrame, path: str, mode: str = "erro
 
 def read_otio(spark: SparkSession, path: str) -> DataFrame:
     """Children of each document's first track, in order: kind (clip, gap, other), start, duration, rate,
-    available range. Documents with another schema name give one row of kind "other"."""
-    d = read_texts(spark, path).select("doc_id", F.from_json("text", S.OTIO_DOC).alias("d"))
+    available range. Documents with another schema name give one row of kind "other".
+
+    Documents that ``write_otio`` made are read line by line, so one of any length never is a row; a file of another origin is one value and one row.
+    """
+    d = read_texts(spark, path, written=False).select("doc_id", F.from_json("text", S.OTIO_DOC).alias("d"))
     kids = F.get(F.col("d.tracks.children"), F.lit(0))["children"]
     good = F.coalesce(F.col("d.OTIO_SCHEMA") == "Timeline.1", F.lit(False))
     c = d.select("doc_id", good.alias("good"), F.posexplode_outer(F.when(good, kids)).alias("child_ix", "c"))
+    c = c.where(~F.col("good") | F.col("c").isNotNull()).select("doc_id", "good", F.col("child_ix").cast("long").alias("child_ix"), "c")
+    begins = F.when(F.col("line").startswith('{"OTIO_SCHEMA": "Timeline.1"'), "children").when(F.col("line") == "]}]}}", "end")
+    lines = materialize(read_lines(spark, path, begins))
+    inside = elements(lines, S.OTIO_CHILD, "children").select("doc_id", (~F.col("bad")).alias("good"), "ix", F.col("e").alias("c"))
+    # a document without its first line is none of this kind
+    lost = lines.where(F.col("section").isNull()).select("doc_id").distinct().select("doc_id", F.lit(False), F.lit(None).cast("long"), F.lit(None).cast(c.schema["c"].dataType))
+    c = c.union(inside).union(lost)
     kind = (F.when(~F.col("good"), "other").when(F.col("c.OTIO_SCHEMA").startswith("Clip"), "clip")
             .when(F.col("c.OTIO_SCHEMA").startswith("Gap"), "gap").otherwise("other"))
     ref = F.col("c.media_references.DEFAULT_MEDIA")
-    return c.where(~F.col("good") | F.col("c").isNotNull()).select(
-        "doc_id", F.col("child_ix").cast("long").alias("child_ix"), kind.alias("kind"), F.col("c.name").alias("name"),
+    return c.select(
+        "doc_id", "child_ix", kind.alias("kind"), F.col("c.name").alias("name"),
         F.col("c.source_range.start_time.value").alias("start_value"), F.col("c.source_range.start_time.rate").alias("rate"),
         F.col("c.source_range.duration.value").alias("duration_value"), ref["target_url"].alias("target_url"),
         ref["available_range"]["start_time"]["value"].alias("avail_start"), ref["available_range"]["duration"]["value"].alias("avail_duration"))
