@@ -38,6 +38,8 @@ def stored(fn):
 
 #: Number of event users, the sources that have frames, keys and packets; user ids run from 0.
 USERS_SQL = "(SELECT count(DISTINCT user_id) FROM events)"
+#: Frames of the longest source, the bound of what lookups ask for.
+LONGEST_SQL = "(SELECT max(n) FROM (SELECT count(*) AS n FROM events GROUP BY user_id))"
 
 
 @functools.cache
@@ -45,6 +47,15 @@ def _users(application: str, spark: SparkSession, sf_dir: str) -> int:
     return table(spark, sf_dir, "events").agg(F.countDistinct("user_id")).first()[0]
 
 
+@functools.cache
+def _longest(app: str, spark: SparkSession, sf_dir: str) -> int:
+    return table(spark, sf_dir, "events").groupBy("user_id").count().agg(F.max("count")).first()[0]
+
+
+def longest(spark: SparkSession, sf_dir: str) -> int:
+    return _longest(spark.sparkContext.applicationId, spark, sf_dir)
+
+
 def users(spark: SparkSession, sf_dir: str) -> int:
     return _users(spark.sparkContext.applicationId, spark, sf_dir)
 

@@ -51,15 +51,15 @@ def l3(spark, d):
 
 
 # regular packets: one per frame at the source's rate for even sources, one missing every 50 for odd ones
-@query("l4_audit_pts", with_sql(FRAMES_SQL) + """, pk AS (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY frame_ix) - 1 AS pts_ix, frame_ix / 24.0::DOUBLE AS pts_time FROM frames WHERE source_id % 2 = 0 OR frame_ix % 20 <> 7),
-sk AS (SELECT o_orderkey AS seek_id, o_custkey % ((SELECT count(DISTINCT user_id) FROM events) + 10) AS source_id, o_orderkey % 60 AS intended_frame, (o_orderkey % 60 + 0.5::DOUBLE) / 24.0::DOUBLE AS seek FROM orders), hv AS (SELECT DISTINCT source_id FROM pk)
+@query("l4_audit_pts", with_sql(FRAMES_SQL) + f""", pk AS (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY frame_ix) - 1 AS pts_ix, frame_ix / 24.0::DOUBLE AS pts_time FROM frames WHERE source_id % 2 = 0 OR frame_ix % 20 <> 7),
+sk AS (SELECT o_orderkey AS seek_id, o_custkey % ((SELECT count(DISTINCT user_id) FROM events) + 10) AS source_id, o_orderkey % ({fx.LONGEST_SQL} + 5) AS intended_frame, (o_orderkey % ({fx.LONGEST_SQL} + 5) + 0.5::DOUBLE) / 24.0::DOUBLE AS seek FROM orders), hv AS (SELECT DISTINCT source_id FROM pk)
 SELECT seek_id, CASE WHEN h.source_id IS NULL THEN -1 ELSE coalesce(pts_ix, 0) END AS pts_k, CASE WHEN h.source_id IS NULL THEN 0 ELSE coalesce(pts_ix, 0) - intended_frame END AS pts_delta
  FROM sk LEFT JOIN hv h ON h.source_id = sk.source_id ASOF LEFT JOIN pk ON pk.source_id = sk.source_id AND sk.seek >= pk.pts_time""")
 def l4(spark, d):
     from shotweave.sources.packets import index_packets
     pk = index_packets(fx.frames(spark, d).where("source_id % 2 = 0 or frame_ix % 20 <> 7").selectExpr("source_id", "frame_ix / 24.0D as pts_time"))
     sk = fx.table(spark, d, "orders").selectExpr(
-        "o_orderkey as seek_id", f"o_custkey % {fx.users(spark, d) + 10} as source_id", "o_orderkey % 60 as intended_frame", "(o_orderkey % 60 + 0.5D) / 24.0D as seek", "0.0D as start_time")
+        "o_orderkey as seek_id", f"o_custkey % {fx.users(spark, d) + 10} as source_id", f"o_orderkey % {fx.longest(spark, d) + 5} as intended_frame", f"(o_orderkey % {fx.longest(spark, d) + 5} + 0.5D) / 24.0D as seek", "0.0D as start_time")
     return au.audit_pts(sk, pk).select("seek_id", "pts_k", "pts_delta")
 
 

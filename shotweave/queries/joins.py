@@ -155,20 +155,20 @@ def d11(spark, d):
     return st.revive_orphans(s.selectExpr("file_path", "source_id + 500 as source_id"), orphans, live).select("file_path", "source_id", "revived")
 
 
-@query("d12_first_at_or_after", with_sql(FRAMES_SQL) + """, t AS (SELECT o_custkey % (SELECT count(DISTINCT user_id) FROM events) AS source_id, o_orderkey, o_orderkey % 75 AS target FROM orders),
+@query("d12_first_at_or_after", with_sql(FRAMES_SQL) + f""", t AS (SELECT o_custkey % (SELECT count(DISTINCT user_id) FROM events) AS source_id, o_orderkey, o_orderkey % (2 * {fx.LONGEST_SQL} + 5) AS target FROM orders),
 f AS (SELECT source_id, frame_ix * 2 AS pts FROM frames WHERE frame_ix % 3 > 0)
 SELECT o_orderkey, t.source_id, min(pts) AS pts FROM t JOIN f ON f.source_id = t.source_id AND pts >= target GROUP BY ALL""")
 def d12(spark, d):
-    t = fx.table(spark, d, "orders").selectExpr(f"o_custkey % {fx.users(spark, d)} as source_id", "o_orderkey", "o_orderkey % 75 as target")
+    t = fx.table(spark, d, "orders").selectExpr(f"o_custkey % {fx.users(spark, d)} as source_id", "o_orderkey", f"o_orderkey % {2 * fx.longest(spark, d) + 5} as target")
     f = fx.frames(spark, d).where("frame_ix % 3 > 0").selectExpr("source_id", "frame_ix * 2 as pts")
     return j.first_frame_at_or_after(t, f, "target", "pts", 4096).select("o_orderkey", "source_id", "pts")
 
 
-@query("d13_nearest_frame", with_sql(FRAMES_SQL) + """, t AS (SELECT o_custkey % (SELECT count(DISTINCT user_id) FROM events) AS source_id, o_orderkey, o_orderkey % 400 AS frame FROM orders),
+@query("d13_nearest_frame", with_sql(FRAMES_SQL) + f""", t AS (SELECT o_custkey % (SELECT count(DISTINCT user_id) FROM events) AS source_id, o_orderkey, o_orderkey % (5 * {fx.LONGEST_SQL} + 5) AS frame FROM orders),
 f AS (SELECT source_id, frame_ix * 5 AS c FROM frames)
 SELECT o_orderkey, t.source_id, arg_min(c, abs(c - frame) * 100000 + c) AS nearest FROM t JOIN f ON f.source_id = t.source_id AND abs(c - frame) <= 2 GROUP BY ALL""")
 def d13(spark, d):
-    t = fx.table(spark, d, "orders").selectExpr(f"o_custkey % {fx.users(spark, d)} as source_id", "o_orderkey", "o_orderkey % 400 as frame")
+    t = fx.table(spark, d, "orders").selectExpr(f"o_custkey % {fx.users(spark, d)} as source_id", "o_orderkey", f"o_orderkey % {5 * fx.longest(spark, d) + 5} as frame")
     f = fx.frames(spark, d).selectExpr("source_id", "frame_ix * 5 as frame_ix")
     return j.nearest_frame(t, f, tolerance=2).select("o_orderkey", "source_id", "nearest")
 

@@ -5,19 +5,19 @@ import uuid
 from pyspark.sql import functions as F
 
 from shotweave import fixtures as fx
-from shotweave.fixtures import FRAMES_SQL, ITEMS_SQL, SOURCES_SQL, USERS_SQL, with_sql
+from shotweave.fixtures import FRAMES_SQL, ITEMS_SQL, LONGEST_SQL, SOURCES_SQL, USERS_SQL, with_sql
 from shotweave.operators import audit as au, detect as dt
 from shotweave.queries import query
 from shotweave.session import shared_dir
 from shotweave.sources import stores
 
 
-@query("a6_get_frames", with_sql(FRAMES_SQL) + f""", w AS (SELECT o_orderkey, o_custkey % {USERS_SQL} AS source_id, o_orderkey % 100 AS frame_ix FROM orders)
+@query("a6_get_frames", with_sql(FRAMES_SQL) + f""", w AS (SELECT o_orderkey, o_custkey % {USERS_SQL} AS source_id, o_orderkey % ({LONGEST_SQL} + 5) AS frame_ix FROM orders)
 SELECT o_orderkey, w.source_id, w.frame_ix, md5(props) AS content FROM w LEFT JOIN frames f ON f.source_id = w.source_id AND f.frame_ix = w.frame_ix""")
 def a6(spark, d):
     path = f"{shared_dir(spark).rstrip('/')}/shotweave/frames-{uuid.uuid4().hex}"
     stores.write_frame_store(fx.frames(spark, d).select("source_id", "frame_ix", F.encode("props", "UTF-8").alias("pixels")), path)
-    wanted = fx.table(spark, d, "orders").selectExpr("o_orderkey", f"o_custkey % {fx.users(spark, d)} as source_id", "o_orderkey % 100 as frame_ix")
+    wanted = fx.table(spark, d, "orders").selectExpr("o_orderkey", f"o_custkey % {fx.users(spark, d)} as source_id", f"o_orderkey % {fx.longest(spark, d) + 5} as frame_ix")
     store = spark.read.parquet(path).withColumn("source_id", F.col("source_id").cast("long"))
     return stores.get_frames(store, wanted).select("o_orderkey", "source_id", "frame_ix", F.md5("pixels").alias("content"))
 
