@@ -48,6 +48,8 @@ def write_flat_store(frames: DataFrame, path: str, frame_bytes: int = FRAME_BYTE
         return pa.table([[f"{key[0].as_py()}-{key[1].as_py()}.bin"], [bytes(out)]], schema=schema)
 
     rows = frames.select(F.col("source_id").cast("string").alias("source_id"), F.floor(F.col("frame_ix") / records).cast("long").alias("part"), "frame_ix", "pixels")
+    # by number, not by bytes: what a small file costs is its creation
+    rows = rows.repartition(4 * frames.sparkSession.sparkContext.defaultParallelism, "source_id", "part")
     files = materialize(write_files(rows.groupBy("source_id", "part").applyInArrow(pack, "path string, content binary"), path))
     name = F.regexp_extract("path", r"^(.*)-(\d+)\.bin$", 1)
     part = F.regexp_extract("path", r"^(.*)-(\d+)\.bin$", 2).cast("long")

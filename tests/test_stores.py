@@ -65,3 +65,23 @@ def test_packets_by_file_and_by_folder(spark):
     assert [tuple(r) for r in pk.read_packets(spark, root).orderBy("pts_ix").collect()] == [("movie", 0, 0.5), ("movie", 1, 1.5)]
     pk.write_packets(spark.createDataFrame([("a b", 2.0), ("a b", 1.0), ("c", 3.0)], "source_id string, pts double"), f"{root}/w")
     assert sorted(tuple(r) for r in pk.read_packets(spark, f"{root}/w").collect()) == [("a b", 0, 1.0), ("a b", 1, 2.0), ("c", 0, 3.0)]
+
+
+def test_small_flat_files_share_tasks():
+    """A task for every file, or every range of a few records, would cost more than reading it."""
+    reader = fl._Reader([[f"/x/{k}.bin", 120] for k in range(1000)] + [["/x/long.bin", 12 * 100001]], 12, 12 * 4)
+    small = fl._Reader([[f"/x/{k}.bin", 120] for k in range(1000)], 12, 12 * 4).partitions()
+    assert len(small) == -(-3000 // fl.TASK_RANGES)
+    wide = fl._Reader([["/x/long.bin", 3 * fl.RANGE_BYTES]], 16, fl.RANGE_BYTES).partitions()
+    assert [len(t.ranges) for t in wide] == [1, 1, 1]
+    found = [r for t in reader.partitions() for r in t.ranges]
+    assert len(set(found)) == len(found) and sum(n for _, _, n in found) == 10 * 1000 + 100001
+
+
+def test_packets_of_small_sources_are_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(4000).selectExpr("id % 200 as source_id", "cast(id as string) as pts")
+    pk.write_packets(rows.coalesce(1), str(tmp_path / "p"))
+    parts = {n.split("-")[1] for _, _, names in os.walk(tmp_path / "p") for n in names if n.startswith("part-")}
+    assert len(parts) >= spark.sparkContext.defaultParallelism
+    got = pk.read_packets(spark, str(tmp_path / "p"))
+    assert got.count() == 4000 and got.where("source_id = '7'").agg({"pts_ix": "max"}).first()[0] == 19
