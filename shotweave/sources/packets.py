@@ -15,8 +15,13 @@ def index_packets(packets: DataFrame, tie: list[str] | None = None, seconds: flo
 
 
 def write_packets(packets: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Text tables of ``pts`` lines (source_id, pts), a folder per source; a long table is several files."""
-    packets.select("source_id", F.col("pts").cast("string").alias("pts")).write.mode(mode).partitionBy("source_id").text(path)
+    """Text tables of ``pts`` lines (source_id, pts), a folder per source; a long table is several files.
+
+    Sources are dealt over all cores whatever their bytes, as a small file costs as much as a larger one. They are dealt in ranges of source and pts, so a
+    source is in one file or two, and a very long one in many.
+    """
+    rows = packets.select("source_id", F.col("pts").cast("string").alias("pts"))
+    rows.repartitionByRange(4 * packets.sparkSession.sparkContext.defaultParallelism, "source_id", "pts").write.mode(mode).partitionBy("source_id").text(path)
 
 
 def read_packets(spark: SparkSession, path: str) -> DataFrame:
