@@ -117,3 +117,10 @@ def test_null_and_empty_texts_with_clashing_columns(spark):
     got = {r["key"]: r["first_key"] for r in similar.similar_groups(docs).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
     assert similar.similar_groups(docs.where("false")).collect() == []
+
+
+def test_fingerprints_propose_pairs(spark):
+    """Linked fingerprints are candidates by themselves, without any band; sizes that cannot be similar are not."""
+    rows = [(1, 10, 0b0), (2, 10, 0b0), (3, 11, 0b11), (4, 10, 0b111111), (5, 90, 0b1)]
+    nodes = spark.createDataFrame(rows, "node long, n long, fp long")
+    assert {tuple(sorted(r)) for r in similar._by_fingerprint(nodes).collect()} == {(1, 2), (1, 3)}
