@@ -10,11 +10,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shotweave.operators.ordered import asof_join, chunk_of, keyed, ordered_scan, row_index
+from shotweave.operators.ordered import chunk_of, keyed, long_keys, ordered_scan, row_index, stored_if_long
 from shotweave.session import materialize
 from shotweave.operators.timeline import TL, duration, is_gap, merge_gaps, place_items, renumber
 
 
+#: Place before every frame, where crops without segments stand.
+NOWHERE = -(1 << 50)
+
+
 def derived_id(parent, tag) -> Column:
     """Deterministic id of something made from ``parent``."""
     parent = F.col(parent) if isinstance(parent, str) else parent
@@ -39,9 +43,15 @@ def _flagged(items: DataFrame, ids: DataFrame, on: Sequence[str]) -> DataFrame:
     return items.join(marks, list(on), "left").withColumn("__hit", F.coalesce("__hit", F.lit(False)))
 
 
+def _merged(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """``rows``, made of the items, with merged gaps and new numbers."""
+    longer = long_keys(items, [TL])
+    return renumber(stored_if_long(merge_gaps(stored_if_long(rows, longer), longer), longer), longer=longer)
+
+
 def _remove(items: DataFrame, ids: DataFrame, on: Sequence[str]) -> DataFrame:
     rows = _flagged(items, ids, on).where(~(F.col("__hit") & is_gap()))
-    return renumber(materialize(merge_gaps(_gap_version(rows, F.col("__hit")).select(*items.columns))))
+    return _merged(_gap_version(rows, F.col("__hit")).select(*items.columns), items)
 
 
 def remove_items(items: DataFrame, ids: DataFrame) -> DataFrame:
@@ -51,8 +61,7 @@ def remove_items(items: DataFrame, ids: DataFrame) -> DataFrame:
 
 def ripple_delete(items: DataFrame, ids: DataFrame) -> DataFrame:
     """Selected items vanish and later ones move up."""
-    left = items.join(ids.select(TL, "clip_id"), [TL, "clip_id"], "left_anti").select(*items.columns)
-    return renumber(materialize(merge_gaps(left)))
+    return _merged(items.join(ids.select(TL, "clip_id"), [TL, "clip_id"], "left_anti").select(*items.columns), items)
 
 
 def remove_source(items: DataFrame, removed: DataFrame) -> DataFrame:
@@ -62,41 +71,40 @@ def remove_source(items: DataFrame, removed: DataFrame) -> DataFrame:
 
 def ripple_source(items: DataFrame, removed: DataFrame) -> DataFrame:
     on = [c for c in (TL, "source_id") if c in removed.columns]
-    return renumber(materialize(merge_gaps(items.join(removed.select(*on), on, "left_anti").select(*items.columns))))
+    return _merged(items.join(removed.select(*on), on, "left_anti").select(*items.columns), items)
 
 
 # ---- cutting and inserting -----------------------------------------------------------
 
-def _locate_cuts(placed: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Item starts and cut marks of each timeline in one order; every cut row carries its item."""
+def _locate_cuts(placed: DataFrame, cuts: DataFrame | None) -> DataFrame:
+    """Item starts and cut marks of each timeline, to be put in one order."""
     cols = [c for c in placed.columns if c != TL]
     item = placed.select(TL, F.col("tl_start").alias("piece_start"), F.lit(0).alias("__kind"), F.struct(*cols).alias("__item"))
+    if cuts is None:
+        return item
     empty = F.lit(None).cast(item.schema["__item"].dataType)
     rest = [c for c in cuts.columns if c not in (TL, "cut")]
     marks = cuts.select(TL, F.col("cut").cast("long").alias("piece_start"), F.lit(1).alias("__kind"), empty.alias("__item"), *rest)
     return item.unionByName(marks, allowMissingColumns=True)
 
 
-def _pieces(rows: DataFrame, item_cols: list[str], fresh_left: bool, fill: bool) -> DataFrame:
-    """Turn ordered starts and cuts into pieces: each ends before the next start.
+def _piece(item: Column, start: Column, following: Column, item_cols: list[str], fresh_left: bool) -> Column:
+    """The part of ``item`` from ``start`` to before the next start, or null if there is none.
 
-    The next start comes from one ordered pass, so an item with very many cuts is never gathered into a
-    row. Marks on an item's first frame or past the end yield empty or foreign pieces and drop out.
+    Starts come from one ordered pass, so an item with very many cuts is never gathered into a row. Marks on an item's first
+    frame or past the end yield empty or foreign pieces and drop out.
     """
-    p = ordered_scan(rows, [TL], ["piece_start", "__kind"], chunk_of("piece_start"),
-                     following={"__next": F.col("piece_start")}, fills={"__at": F.col("__item")} if fill else None)
-    p = p.select(TL, "piece_start", "__next", F.col("__at" if fill else "__item").alias("__i")).where("__i is not null")
-    p = p.select(TL, "piece_start", "__next", *[F.col(f"__i.{c}").alias(c) for c in item_cols])
-    p = p.withColumn("piece_end", F.least(F.coalesce(F.col("__next") - 1, F.col("tl_end")), F.col("tl_end")))
-    p = p.where(F.col("piece_end") >= F.col("piece_start"))
-    off = F.col("piece_start") - F.col("tl_start")
-    length = F.col("piece_end") - F.col("piece_start") + 1
-    whole = (off == 0) & (F.col("piece_end") == F.col("tl_end"))
+    first, last = item["tl_start"], item["tl_end"]
+    end = F.least(F.coalesce(following - 1, last), last)
+    off, length = start - first, end - start + 1
+    whole = (off == 0) & (end == last)
     keep_id = whole if fresh_left else (off == 0)
-    return p.withColumn("parent_id", F.col("clip_id")).withColumns({
-        "clip_id": F.when(keep_id, F.col("clip_id")).otherwise(derived_id("clip_id", off)),
-        "source_out": F.when(is_gap(), length - 1).otherwise(F.col("source_in") + off + length - 1),
-        "source_in": F.when(is_gap(), 0).otherwise(F.col("source_in") + off).cast("long")}).drop("__next")
+    gap = item["source_id"].isNull()
+    values = {"clip_id": F.when(keep_id, item["clip_id"]).otherwise(derived_id(item["clip_id"], off)),
+              "source_out": F.when(gap, length - 1).otherwise(item["source_in"] + off + length - 1),
+              "source_in": F.when(gap, 0).otherwise(item["source_in"] + off).cast("long")}
+    fields = [values.get(c, item[c]).alias(c) for c in item_cols]
+    return F.when(item.isNotNull() & (end >= start), F.struct(*fields, item["clip_id"].alias("parent_id")))
 
 
 def split_items(items: DataFrame, cuts: DataFrame, parents: bool = False) -> DataFrame:
@@ -106,21 +114,22 @@ def split_items(items: DataFrame, cuts: DataFrame, parents: bool = False) -> Dat
     the named one is ignored. Both halves get new ids and keep label, colour and tags. With ``parents``, the column ``parent_id``
     names the clip that a piece comes from, itself if it was not cut: ``partition_by_pieces`` takes it to hand on the crops.
     """
-    placed = place_items(items)
-    cols = [c for c in placed.columns if c != TL]
-    marks = cuts.select(TL, F.col("tl_frame").alias("cut"),
-                        *([F.col("clip_id").alias("__wanted")] if "clip_id" in cuts.columns else []))
-    found = ordered_scan(_locate_cuts(placed, marks), [TL], ["piece_start", "__kind"], chunk_of("piece_start"),
-                         fills={"__at": F.col("__item")})
+    cuts = cuts.select(TL, F.col("tl_frame").alias("cut"), *([F.col("clip_id").alias("__wanted")] if "clip_id" in cuts.columns else []))
+    longer = long_keys(items.select(TL).unionByName(cuts.select(TL)), [TL])
+    order, chunk = ["piece_start", "__kind"], chunk_of("piece_start")
+    found = ordered_scan(stored_if_long(_locate_cuts(place_items(items, longer=longer), cuts), longer), [TL], order, chunk, fills={"__at": F.col("__item")}, longer=longer)
     ok = (F.col("__at.source_id").isNotNull() & (F.col("piece_start") > F.col("__at.tl_start"))
           & (F.col("piece_start") < F.col("__at.tl_end")))
-    if "clip_id" in cuts.columns:
+    if "__wanted" in cuts.columns:
         ok = ok & (F.col("__wanted") == F.col("__at.clip_id"))
     rows = found.where((F.col("__kind") == 0) | ok).select(TL, "piece_start", "__kind", F.col("__at").alias("__item"))
-    pieces = materialize(_pieces(materialize(rows), cols, fresh_left=True, fill=False))
+    ends = ordered_scan(stored_if_long(rows, longer), [TL], order, chunk, following={"__next": F.col("piece_start")}, longer=longer)
+    cols = [c for c in items.columns if c not in (TL, "item_ix")]
+    pieces = ends.select(TL, "piece_start", _piece(F.col("__item"), F.col("piece_start"), F.col("__next"), cols, fresh_left=True).alias("p")).where("p is not null")
     # piece starts are unique within a timeline and follow its order
-    out = row_index(pieces, [TL], ["piece_start"], chunk_of("piece_start"), "__ix")
-    return out.withColumn("item_ix", F.col("__ix") + 1).select(*items.columns, *(["parent_id"] if parents else []))
+    out = row_index(stored_if_long(pieces, longer), [TL], ["piece_start"], chunk, "__ix", longer=longer)
+    out = out.select(TL, (F.col("__ix") + 1).alias("item_ix"), "p.*")
+    return out.select(*items.columns, *(["parent_id"] if parents else []))
 
 
 def insert_items(items: DataFrame, inserts: DataFrame, parents: bool = False, color_start: int | None = None) -> DataFrame:
@@ -131,32 +140,32 @@ def insert_items(items: DataFrame, inserts: DataFrame, parents: bool = False, co
     order in which they end up. With ``parents``, the column ``parent_id`` names the clip that a piece comes from, itself if it was not cut:
     ``partition_by_pieces`` takes it to hand on the crops.
     """
+    cols = [c for c in items.columns if c not in (TL, "item_ix")]
+    longer = long_keys(items.select(TL).unionByName(inserts.select(TL)), [TL])
     total = items.groupBy(TL).agg(F.sum(duration()).alias("__total"))
-    ins = inserts.join(total, TL, "left").withColumn("__total", F.coalesce("__total", F.lit(0)))
-    ins = ins.withColumn("__pos", F.least(F.greatest(F.col("tl_frame"), F.lit(0)), F.col("__total")).cast("long"))
-    ins = materialize(row_index(ins, [TL, "__pos"], ["ins_ix"], chunk_of("ins_ix"), "__sub"))
+    pos = F.least(F.greatest(F.col("tl_frame"), F.lit(0)), F.coalesce("__total", F.lit(0))).cast("long")
+    ins = inserts.join(total, TL, "left").select(TL, pos.alias("piece_start"), F.lit(-1).alias("__kind"), "ins_ix", F.struct(*cols).alias("__new"))
+    # clips that go in come before the item or the right piece that starts at their place
+    rows = _locate_cuts(place_items(items, longer=longer), None).unionByName(ins, allowMissingColumns=True)
+    order, chunk = ["piece_start", "__kind", "ins_ix"], chunk_of("piece_start")
+    turn = F.when(F.col("__new.source_id").isNotNull(), 1).otherwise(0)
+    seen = ordered_scan(stored_if_long(rows, longer), [TL], order, chunk, sums={"__turn": turn}, following={"__next": F.col("piece_start")},
+                        fills={"__at": F.col("__item")}, longer=longer)
+    at, start = F.col("__at"), F.col("piece_start")
+    # the last clip at a place inside an item is followed by the item's right piece
+    inside = (start > at["tl_start"]) & (start <= at["tl_end"]) & (F.coalesce("__next", start + 1) > start)
+    piece = _piece(F.when((F.col("__kind") == 0) | inside, at), start, F.col("__next"), cols, fresh_left=False)
+    new = F.col("__new")
     if color_start is not None:
-        turn = ordered_scan(ins, [TL], ["__pos", "__sub"], chunk_of("__pos"), sums={"__turn": F.when(is_gap(), 0).otherwise(1)})
-        color = F.when(is_gap(), F.col("color_index")).otherwise(F.pmod(F.col("__turn") + color_start, F.lit(8)))
-        ins = materialize(turn.withColumn("color_index", color.cast(ins.schema["color_index"].dataType)).drop("__turn"))
-    placed = place_items(items)
-    cuts = ins.where((F.col("__pos") > 0) & (F.col("__pos") < F.col("__total"))).select(TL, F.col("__pos").alias("cut")).distinct()
-    pieces = _pieces(materialize(_locate_cuts(placed, cuts)), [c for c in placed.columns if c != TL], fresh_left=False, fill=True)
-
-    # one row per piece and per insertion point, numbered by a running sum of their sizes
-    points = ins.groupBy(TL, "__pos").agg(F.count(F.lit(1)).alias("__n")).withColumn("__kind", F.lit(0))
-    blocks = materialize(pieces.select("*", F.col("piece_start").alias("__pos"), F.lit(1).cast("long").alias("__n"), F.lit(1).alias("__kind"))
-                         .unionByName(points, allowMissingColumns=True))
-    based = ordered_scan(blocks, [TL], ["__pos", "__kind"], chunk_of("__pos"), sums={"__base": F.col("__n")})
-    # insertion points open up into their clips, pieces pass through
-    cols = [c for c in items.columns if c not in (TL, "item_ix")]
-    new = ins.select(TL, "__pos", F.lit(0).alias("__kind"), "__sub", F.struct(*cols).alias("__new"))
-    out = based.join(new, [TL, "__pos", "__kind"], "left")
-    made = F.col("__kind") == 0
-    values = {c: F.when(made, F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) for c in cols}
-    values["item_ix"] = (F.col("__base") + F.coalesce("__sub", F.lit(0)) + 1).alias("item_ix")
-    parent = F.when(made, F.col("__new.clip_id")).otherwise(F.col("parent_id")).alias("parent_id")
-    return out.select(*[values.get(c, F.col(c)) for c in items.columns], *([parent] if parents else []))
+        kept = new["color_index"]
+        color = F.when(new["source_id"].isNull(), kept).otherwise(F.pmod(F.col("__turn") + color_start, F.lit(8))).cast(items.schema["color_index"].dataType)
+        new = F.struct(*[(color if c == "color_index" else new[c]).alias(c) for c in cols])
+    made = seen.select(TL, *order, piece.alias("__piece"), F.when(F.col("__kind") < 0, F.struct(*[new[c].alias(c) for c in cols], new["clip_id"].alias("parent_id"))).alias("__clip"))
+    n = F.when(F.col("__piece").isNotNull(), 1).otherwise(0) + F.when(F.col("__clip").isNotNull(), 1).otherwise(0)
+    based = ordered_scan(stored_if_long(made, longer), [TL], order, chunk, sums={"__base": n}, longer=longer)
+    out = based.select(TL, "__base", F.posexplode(F.array_compact(F.array("__clip", "__piece"))).alias("__sub", "p"))
+    out = out.select(TL, (F.col("__base") + F.col("__sub") + 1).alias("item_ix"), "p.*")
+    return out.select(*items.columns, *(["parent_id"] if parents else []))
 
 
 def replace_items(items: DataFrame, repl: DataFrame, assign: bool = True, color_start: int = 0) -> DataFrame:
@@ -219,32 +228,37 @@ def partition_by_pieces(crops: DataFrame, segments: DataFrame, keyframes: DataFr
     that has one of its segments, with a copy of its keys; a crop without segments goes to the first piece. Ids of what is handed on
     come from the old id and the piece, so they are unique however many cuts there are. Returns (crops, segments, keyframes).
     """
-    clip = [TL, "clip_id"]
-    several = pieces.where(F.col("parent_id") != F.col("clip_id")).select(TL, "parent_id").distinct()
-    # an insert leaves the first piece the old id, so all pieces of a cut clip take part
-    cut = pieces.join(several, [TL, "parent_id"], "left_semi").select(TL, F.col("parent_id").alias("clip_id"), F.col("clip_id").alias("piece"), F.col("source_in").alias("from"))
-    first = cut.groupBy(*clip).agg(F.min("from").alias("first"), F.min_by("piece", "from").alias("first_piece"))
-    moving = crops.join(first, clip).select(*clip, "crop_id", "first", "first_piece")
-    on_crop = keyed("crop_id", segments, crops)
-    with_clip = segments.join(moving.select(TL, "crop_id", "clip_id", "first"), on_crop)
-    # an as-of lookup, so that a clip of very many pieces and segments never forms all pairs
-    at = with_clip.withColumn("at", F.greatest("anchor_frame", "first"))
-    found = asof_join(at, cut, clip, "at", "from", width=4096)
-    new_segments = found.withColumns({"segment_id": derived_id("segment_id", F.col("piece")), "crop_id": derived_id("crop_id", F.col("piece"))}).select(*segments.columns)
-    placed = found.select(TL, "crop_id", "piece").distinct()
-    bare = moving.join(placed.select(TL, "crop_id").distinct(), [TL, "crop_id"], "left_anti").select(TL, "crop_id", F.col("first_piece").alias("piece"))
-    where = materialize(placed.unionByName(bare))
+    clip, on_crop = [TL, "clip_id"], keyed("crop_id", segments, crops)
+    pieces = materialize(pieces.select(TL, F.col("parent_id").alias("clip_id"), F.col("clip_id").alias("piece"), F.col("source_in").cast("long").alias("at")))
+    # every crop with each of its segments, or with none; segments without a crop have no clip and stay as they are
+    inner = [c for c in segments.columns if c not in on_crop]
+    both = crops.select(*dict.fromkeys([*clip, *on_crop])).withColumn("__crop", F.lit(True))
+    both = both.join(segments.select(*on_crop, F.struct(*inner).alias("__segment")), on_crop, "full_outer")
+    both = both.withColumns({"at": F.coalesce(F.col("__segment.anchor_frame").cast("long"), F.lit(NOWHERE)), "__kind": F.lit(1)})
+    # pieces and segments of a clip in one order, so that very many of them never form all pairs
+    rows = pieces.withColumn("__kind", F.lit(0)).unionByName(both, allowMissingColumns=True)
+    longer = long_keys(pieces.select(*clip).unionByName(crops.join(segments.select(*on_crop), on_crop, "left").select(*clip)), clip)
+    found = ordered_scan(stored_if_long(rows, longer), clip, ["at", "__kind"], chunk_of("at"), fills={"__under": F.col("piece")}, firsts={"__first": F.col("piece")},
+                         totals={"__moved": F.when(F.col("piece") != F.col("clip_id"), 1).otherwise(0)}, longer=longer)
+    # an insert leaves the first piece the old id, so a clip is cut if any piece has another one
+    piece = F.when((F.col("__moved") > 0) & F.col("clip_id").isNotNull(), F.coalesce("__under", "__first"))
+    found = found.where("__kind = 1").withColumn("piece", piece)
+    moved = F.col("piece").isNotNull()
+
+    def handed_id(c):
+        return F.when(moved, derived_id(c, F.col("piece"))).otherwise(F.col(c)).alias(c)
+
+    new_segments = found.where("__segment is not null").select(*on_crop, "piece", "__segment.*").select(
+        *[handed_id(c) if c in ("crop_id", "segment_id") else F.col(c) for c in segments.columns])
+    where = found.where(moved & F.col("__crop")).select(TL, "crop_id", "piece").distinct()
 
     def handed(rows):
         key = keyed("crop_id", rows, where)
-        moved = rows.join(where, key).withColumn("crop_id", derived_id("crop_id", F.col("piece")))
-        if "clip_id" in rows.columns:
-            moved = moved.withColumn("clip_id", F.col("piece"))
-        stays = rows.join(where.select(*key).distinct(), key, "left_anti")
-        return stays.select(*rows.columns).unionByName(moved.select(*rows.columns))
-
-    key = keyed("crop_id", segments, where)
-    return handed(crops), segments.join(where.select(*key).distinct(), key, "left_anti").select(*segments.columns).unionByName(new_segments), handed(keyframes)
+        out = rows.join(where.select(*key, "piece"), key, "left")
+        clip_id = F.coalesce("piece", "clip_id").alias("clip_id") if "clip_id" in rows.columns else None
+        return out.select(*[handed_id(c) if c == "crop_id" else clip_id if c == "clip_id" else F.col(c) for c in rows.columns])
+
+    return handed(crops), new_segments, handed(keyframes)
 
 
 def toggle_group(items: DataFrame, targets: DataFrame, groups: DataFrame | None = None) -> DataFrame:

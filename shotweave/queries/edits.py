@@ -129,7 +129,7 @@ def _thirds(spark, d):
 def _handed(spark, d, it, pieces):
     """Crops, segments and keys after the cutting of clips into pieces."""
     c = fx.crops(spark, d, it)
-    segs = c.join(it.select("timeline_id", "clip_id", "dur"), ["timeline_id", "clip_id"]).selectExpr(
+    segs = c.withColumn("dur", F.col("source_out") - F.col("source_in") + 1).selectExpr(
         "timeline_id", "crop_id", "inline(array(struct(0L as segment_ix, concat('s0', crop_id) as segment_id, source_in as anchor_frame, true as active),"
         " struct(1L as segment_ix, concat('s1', crop_id) as segment_id, source_in + dur div 2 as anchor_frame, true as active)))")
     keys = c.selectExpr("timeline_id", "crop_id", "'x' as axis", "source_in as source_frame", "cast(x as double) as value", "'step' as interp", "0D as in_dx", "0D as in_dy", "0D as out_dx", "0D as out_dy")

@@ -178,3 +178,22 @@ def test_filter_rules(spark):
         return [r.item_ix for r in tl.filter_by_groups(df, *a).orderBy("item_ix").collect()]
     assert ids(None) == [0, 1, 2, 3]
     assert ids(["b"], False) == [2] and ids(["a"], True) == [0, 1, 2] and ids([], True) == [0] and ids([], False) == []
+
+
+def test_edits_of_short_timelines_store_nothing(spark, monkeypatch):
+    """Edits of timelines below the limit are one chain of passes; only the (empty) table of long keys is stored."""
+    from shotweave.operators import edits as ed, ordered
+
+    stored = []
+    keep = ordered.materialize
+    monkeypatch.setattr(ordered, "materialize", lambda df: stored.append(df) or keep(df))
+    monkeypatch.setattr(ed, "materialize", lambda df: stored.append(df) or keep(df))
+    it = spark.sql("select 1L as timeline_id, id + 1 as item_ix, concat('c', id) as clip_id, if(id = 2, null, id) as source_id, 0L as source_in, 9L as source_out, '' as label, 0 as color_index,"
+                   " cast(array() as array<bigint>) as group_ids from range(6)")
+    cuts = spark.sql("select 1L as timeline_id, id as tl_frame from values (3L), (3L), (22L), (44L) as t(id)")
+    assert [(r.clip_id if r.source_in == 0 and r.source_out == 9 else r.source_in, r.source_out) for r in ed.split_items(it, cuts).orderBy("item_ix").collect()] == [
+        (0, 2), (3, 9), ("c1", 9), ("c2", 9), ("c3", 9), (0, 3), (4, 9), ("c5", 9)]
+    new = it.where("item_ix = 1").selectExpr("timeline_id", "explode(array(-5L, 10L, 14L, 14L, 99L)) as tl_frame", "0L as ins_ix", "'n' as clip_id", "source_id", "source_in", "4L as source_out", "label", "color_index", "group_ids")
+    got = [(r.clip_id[0] if r.source_in == 0 else "", r.source_in, r.source_out) for r in ed.insert_items(it, new).orderBy("item_ix").collect()]
+    assert got == [("n", 0, 4), ("c", 0, 9), ("n", 0, 4), ("c", 0, 3), ("n", 0, 4), ("n", 0, 4), ("", 4, 9), *[("c", 0, 9)] * 4, ("n", 0, 4)]
+    assert len(stored) == 2
