@@ -107,3 +107,17 @@ def test_key_edits(spark):
     sets = spark.createDataFrame([("c", "x", 9, 8.0, "bezier", 1), ("c", "x", 20, 4.0, "linear", 2)], "crop_id string, axis string, source_frame long, value double, interp string, edit_seq int")
     got = {r.source_frame: (r.value, r.interp, r.in_dx) for r in kf.apply_key_edits(k, moves=moves, sets=sets).collect()}
     assert got == {5: (7.0, "linear", 1.0), 9: (8.0, "bezier", 1.0), 20: (4.0, "linear", 0.0)}
+
+
+def test_geometry_looks_up_each_crop_once(spark):
+    """Windows that carry their crop's columns are not joined with the crops again; the frames of a moving crop carry its size along."""
+    from shotweave.operators import crops as cr
+
+    c = spark.sql("select concat('k', id) as crop_id, 0L as x, 0L as y, 20L as w, 10L as h, 'free' as aspect_ratio, 0L as custom_ratio_w, 0L as custom_ratio_h from range(4)")
+    w = c.selectExpr("*", "concat('s', crop_id) as segment_id", "5L as anchor_frame", "24.0D as fps")
+    keys = spark.sql("select concat('k', id) as crop_id, 'w' as axis, explode(array(5L, 45L)) as source_frame, 30D as value, 'step' as interp, 0D as in_dx, 0D as in_dy, 0D as out_dx, 0D as out_dy from range(2)")
+    geo = cr.window_geometry(w, c.where("false"), keys)
+    assert {(r.crop_id, r.animated, r.base_w, r.anchor_w, r.best_w) for r in geo.collect()} == {
+        ("k0", True, 20, 30, 30), ("k1", True, 20, 30, 30), ("k2", False, 20, 20, 20), ("k3", False, 20, 20, 20)}
+    plain = cr.window_geometry(w.select("crop_id", "segment_id", "anchor_frame", "fps"), c, keys)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, geo.collect()))
