@@ -18,8 +18,7 @@ def a6(spark, d):
     path = f"{shared_dir(spark).rstrip('/')}/shotweave/frames-{uuid.uuid4().hex}"
     stores.write_frame_store(fx.frames(spark, d).select("source_id", "frame_ix", F.encode("props", "UTF-8").alias("pixels")), path)
     wanted = fx.table(spark, d, "orders").selectExpr("o_orderkey", f"o_custkey % {fx.users(spark, d)} as source_id", f"o_orderkey % {fx.longest(spark, d) + 5} as frame_ix")
-    store = spark.read.parquet(path).withColumn("source_id", F.col("source_id").cast("long"))
-    return stores.get_frames(store, wanted).select("o_orderkey", "source_id", "frame_ix", F.md5("pixels").alias("content"))
+    return stores.get_frames(spark.read.parquet(path), wanted).select("o_orderkey", "source_id", "frame_ix", F.md5("pixels").alias("content"))
 
 
 # two by two pixels from the digest of each event's properties

@@ -62,12 +62,12 @@ def get_frames(store: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def write_frame_store(frames: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Parquet by source, each file holding a run of frame numbers, so ranges prune by file statistics.
+    """Parquet in the order of source and frame number, so that sources and ranges prune by the statistics of files and row groups.
 
-    Range partitioning includes the frame number: a huge source spreads over many tasks.
+    No folder per source: very many short sources would cost a file each. Range partitioning includes the frame number: a huge source spreads over many tasks.
     """
     (frames.repartitionByRange("source_id", "frame_ix").sortWithinPartitions("source_id", "frame_ix")
-     .write.mode(mode).partitionBy("source_id").parquet(path))
+     .write.mode(mode).parquet(path))
 
 
 def read_versions(spark: SparkSession, path: str, extension: str = "project") -> DataFrame:

@@ -85,3 +85,12 @@ def test_packets_of_small_sources_are_written_by_many_tasks(spark, tmp_path):
     assert len(parts) >= spark.sparkContext.defaultParallelism
     got = pk.read_packets(spark, str(tmp_path / "p"))
     assert got.count() == 4000 and got.where("source_id = '7'").agg({"pts_ix": "max"}).first()[0] == 19
+
+
+def test_frame_store_has_no_file_per_source(spark):
+    out = tempfile.mkdtemp(prefix="spark-") + "/s"
+    frames = spark.range(3000).selectExpr("id div 3 as source_id", "id % 3 as frame_ix", "cast(cast(id as string) as binary) as pixels")
+    stores.write_frame_store(frames, out)
+    assert sum(n.endswith(".parquet") for _, _, names in os.walk(out) for n in names) < 300
+    back = stores.get_frames(spark.read.parquet(out), spark.createDataFrame([(999, 2), (7, 5)], "source_id long, frame_ix long"))
+    assert {(r["source_id"], r["frame_ix"], r["pixels"] and bytes(r["pixels"])) for r in back.collect()} == {(999, 2, b"2999"), (7, 5, None)}
