@@ -4,6 +4,7 @@ import datetime as dt_
 import tempfile
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +132,51 @@ def test_stored_stream_resumes_and_vectors(spark):
     got = sorted((r.source_in, r.source_out) for r in shots.collect())
     want = batch_shots(spark, [(s, i, t, f[0]) for s, i, t, f in rows])
     assert got == [w[1:] for w in want] and len(got) > 5
+
+
+def test_stream_state_is_written_once_a_call():
+    """However many frames arrive, a call reads and writes the waiting ones once; of frames with one number the first counts."""
+    from shotweave.streaming.shots import ShotProcessor
+
+    class State:
+        def __init__(self):
+            self.value, self.writes = None, 0
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def put(self, value):
+            self.value, self.writes = list(value), self.writes + 1
+
+        def clear(self):
+            self.value = None
+
+        update = put
+
+    class Handle:
+        def __init__(self):
+            self.timers = []
+
+        def getListState(self, *a):
+            return State()
+
+        getValueState = getListState
+
+        def listTimers(self):
+            return self.timers
+
+        def registerTimer(self, t):
+            self.timers.append(t)
+
+    class Clock:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    p = ShotProcessor("double", 30.0, 10, 1)
+    p.init(Handle())
+    rows = pd.DataFrame({"frame_ix": [*range(500), 7], "ts": pd.to_datetime([*range(500), 7], unit="s"), "feature": [1.0] * 500 + [2.0]})
+    list(p.handleInputRows(("s",), iter([rows]), Clock()))
+    assert p.waiting.writes == 1 and [f[0] for f in p.waiting.value] == list(range(500)) and p.waiting.value[7][2] == 1.0
