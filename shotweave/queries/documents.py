@@ -58,8 +58,11 @@ def a8(spark, d):
     from shotweave import schema as S
     doc = F.regexp_replace("line", "^,", "")
     kid = F.from_json(doc, S.OTIO_CHILD)
-    return lines.where("line like '%\"Clip.2\"%'").select(
-        "timeline_id", F.regexp_extract("line", r'"clip_id":"\d+-(\d+)"', 1).cast("long").alias("item_ix"), kid["OTIO_SCHEMA"].alias("kind"), kid["name"].alias("name"),
+    # each line is parsed once: fields taken from the call itself would each parse it for themselves
+    rows = lines.where("line like '%\"Clip.2\"%'").select("timeline_id", F.regexp_extract("line", r'"clip_id":"\d+-(\d+)"', 1).cast("long").alias("item_ix"), kid.alias("kid"))
+    kid = F.col("kid")
+    return rows.select(
+        "timeline_id", "item_ix", kid["OTIO_SCHEMA"].alias("kind"), kid["name"].alias("name"),
         kid["source_range"]["start_time"]["value"].alias("start_value"), kid["source_range"]["duration"]["value"].alias("duration_value"),
         F.round(kid["source_range"]["duration"]["rate"], 6).alias("rate"))
 
@@ -90,5 +93,6 @@ def a2(spark, d):
     lines = pj.project_lines(tables)
     from shotweave import schema as S
     clip = F.from_json(F.regexp_replace("line", "^,", ""), S.CLIP_DOC)
-    return lines.where("line like '%\"crop_regions\"%'").select("timeline_id", clip["id"].alias("clip_id"), clip["source_in"].alias("source_in"), clip["source_out"].alias("source_out"),
-                                                                F.size(clip["crop_regions"]).cast("long").alias("n_crops"))
+    # each line is parsed once, see above
+    rows = lines.where("line like '%\"crop_regions\"%'").select("timeline_id", clip.alias("clip"))
+    return rows.select("timeline_id", "clip.id", "clip.source_in", "clip.source_out", F.size("clip.crop_regions").cast("long").alias("n_crops")).withColumnRenamed("id", "clip_id")

@@ -166,3 +166,12 @@ def test_crop_manifest(spark):
     jobs = spark.createDataFrame([("k1", "/out/Ann"), ("k2", "/out/_untagged")], "crop_id string, folder string")
     stores.write_crop_manifest(jobs, out)
     assert sorted(os.listdir(out))[:0] == [] and {r.group_slug for r in spark.read.json(out).collect()} == {"Ann", "_untagged"}
+
+
+def test_document_lines_are_parsed_once(spark):
+    """Fields taken from one parse: a call for each field would read every line again."""
+    from shotweave.queries import load_all
+
+    for name in ("a2_project_clip_lines", "a8_otio_children"):
+        plan = load_all()[name][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") == 1, name
