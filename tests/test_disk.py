@@ -47,3 +47,18 @@ def _each(seq):
     it = seq.iterator()
     while it.hasNext():
         yield it.next()
+
+
+def test_lines_that_stay_together_are_one_row(spark):
+    """An XML document's fixed lines are three rows, an asset's lines one; numbered they are lines again."""
+    plan = spark.sql("""select 1L as timeline_id, id as item_ix, concat('c', id) as clip_id, id % 2 as source_id, concat('/m/', id % 2, '.mov') as file_path,
+      '' as label, 0 as color_index, id as src_in, 10L as frame_count, 25D as fps, 10 * id as offset_in_range, 10 * id as offset_packed from range(6)""")
+    sources = spark.sql("select id as source_id, concat('/m/', id, '.mov') as file_path, 90L as total_frames, cast(null as int) as width, 48 as height, 2 as audio_channels, 0 as audio_sample_rate from range(2)")
+    made = ic.fcpxml_parts(plan, sources, spark.sql("select 1L as timeline_id, 60L as seq_frames"))
+    assert made.count() == 3 + 2 + 6
+    lines = [(r["line_no"], r["line"]) for r in dc.number_lines(made).orderBy("line_no").collect()]
+    assert [n for n, _ in lines] == list(range(29))
+    assert lines[4][1] == '    <format id="r1" name="FFVideoFormat25" frameDuration="100/2500s" width="null" height="48" colorSpace="1-1-1 (Rec. 709)"/>'
+    assert lines[5][1] == '    <asset id="r2" name="0" start="0s" duration="9000/2500s" hasVideo="1" format="r1" videoSources="1" hasAudio="1" audioSources="1" audioChannels="2" audioRate="48000">'
+    assert lines[9][1] == '      <media-rep kind="original-media" src="file:///m/1.mov"/>'
+    assert lines[-1][1] == "</fcpxml>"
