@@ -130,10 +130,13 @@ def change_scorer(frames: np.ndarray) -> np.ndarray:
     return np.append(d, 0.0)
 
 
-def _as_array(values: pd.Series) -> np.ndarray:
-    first = values.iloc[0]
+def _as_array(values: np.ndarray) -> np.ndarray:
+    """Features of a window, a row each: raw images, numbers or arrays."""
+    first = values[0]
     if isinstance(first, (bytes, bytearray, memoryview)):
-        return _matrix(values)
+        return np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1)
+    if values.dtype != object:
+        return values.reshape(-1, 1)
     return np.stack([np.atleast_1d(np.asarray(v)) for v in values])
 
 
@@ -142,8 +145,8 @@ def score_windows(frames: DataFrame, segments: DataFrame, scorer: Scorer = chang
     """Score every frame of every segment with overlapping windows.
 
     Window w looks at frames 50w−25 … 50w+74 of the segment (edges repeat the first / last frame) and
-    answers for frames 50w … 50w+49. Each frame is sent to the at most two windows that look at it, so a
-    group never exceeds 100 rows whatever the clip or source length.
+    answers for frames 50w … 50w+49. Each frame is sent to the at most two windows that look at it. A window is
+    one row of at most 100 frames whatever the clip or source length, and a batch of windows crosses to Python at once.
     """
     seg = segments.select(*CLIP, "source_id", "source_in", "source_out")
     f = frames.select("source_id", "frame_ix", F.col(feature).alias("__f")).withColumn("__fe", F.col("frame_ix"))
@@ -155,27 +158,26 @@ def score_windows(frames: DataFrame, segments: DataFrame, scorer: Scorer = chang
     hi = F.least(last_w, F.floor((i + PAD) / STEP)).cast("long")
     rows = rows.select(*CLIP, "source_id", n.cast("long").alias("n"), i.alias("i"), F.col("source_in").alias("base"), "__f",
                        F.explode(F.sequence(lo, hi)).alias("w"))
+    seen = F.array_sort(F.collect_list(F.struct("i", "__f")))
+    windows = rows.groupBy(*CLIP, "w").agg(F.first("source_id").alias("source_id"), F.first("n").alias("n"), F.first("base").alias("base"), seen.alias("seen"))
+    windows = windows.select(*CLIP, "source_id", "w", "n", "base", F.col("seen.i").alias("have"), F.col("seen.__f").alias("features"))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        w, total, base = int(pdf["w"].iloc[0]), int(pdf["n"].iloc[0]), int(pdf["base"].iloc[0])
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(w: pd.Series, n: pd.Series, have: pd.Series, features: pd.Series) -> pd.Series:
+        return pd.Series([score(*window) for window in zip(w, n, have, features)], dtype=object)
+
+    def score(w: int, total: int, have: np.ndarray, features: np.ndarray) -> np.ndarray:
         wanted = np.clip(np.arange(WINDOW) + STEP * w - PAD, 0, total - 1)
-        have = pdf["i"].to_numpy()
         # a missing frame is replaced by the one before it
         pos = np.clip(np.searchsorted(have, wanted, side="right") - 1, 0, len(have) - 1)
-        block = _as_array(pdf["__f"])[pos]
+        block = _as_array(features)[pos]
         if shape is not None:
             block = block.reshape(len(block), *shape)
-        scores = np.asarray(scorer(block), dtype=np.float64)[PAD:PAD + STEP]
-        offs = np.arange(STEP) + STEP * w
-        keep = offs < total
-        return pd.DataFrame({
-            "timeline_id": pdf["timeline_id"].iloc[0], "clip_id": pdf["clip_id"].iloc[0], "source_id": pdf["source_id"].iloc[0],
-            "frame_ix": offs[keep] + base, "score": scores[keep]})
-
-    t = {x.name: x.dataType.simpleString() for x in rows.schema}
-    schema = (f"timeline_id {t['timeline_id']}, clip_id {t['clip_id']}, source_id {t['source_id']}, frame_ix bigint, score double")
-    return rows.groupBy(*CLIP, "w").applyInPandas(run, schema)
+        return np.asarray(scorer(block), dtype=np.float64)[PAD:PAD + STEP][:total - STEP * w]
+
+    scored = windows.select(*CLIP, "source_id", (F.col("base") + STEP * F.col("w")).alias("start"), run("w", "n", "have", "features").alias("scores"))
+    scored = scored.select(*CLIP, "source_id", "start", F.posexplode("scores").alias("place", "score"))
+    return scored.select(*CLIP, "source_id", (F.col("start") + F.col("place")).alias("frame_ix"), "score")
 
 
 # ---- predicted ranges ----------------------------------------------------------------------

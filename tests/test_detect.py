@@ -180,3 +180,18 @@ def test_stream_state_is_written_once_a_call():
     rows = pd.DataFrame({"frame_ix": [*range(500), 7], "ts": pd.to_datetime([*range(500), 7], unit="s"), "feature": [1.0] * 500 + [2.0]})
     list(p.handleInputRows(("s",), iter([rows]), Clock()))
     assert p.waiting.writes == 1 and [f[0] for f in p.waiting.value] == list(range(500)) and p.waiting.value[7][2] == 1.0
+
+
+@pytest.mark.parametrize("kind", ["double", "binary", "array<array<double>>"])
+def test_windows_cross_to_python_in_batches(spark, kind):
+    """Many windows are rows of one plan step, not a group each; scalar, raw and nested features give the same scores."""
+    made = {"double": lambda v: float(v), "binary": lambda v: bytes([v, v]), "array<array<double>>": lambda v: [[float(v)], [float(v)]]}[kind]
+    f = spark.createDataFrame([("s", i, made((i * 37) % 251)) for i in range(160) if i % 9 != 4], f"source_id string, frame_ix long, feature {kind}")
+    seg = spark.createDataFrame([("t", f"c{k}", "s", k, 150 + k) for k in range(8)], "timeline_id string, clip_id string, source_id string, source_in long, source_out long")
+    out = dt.score_windows(f, seg)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.clip_id, r.frame_ix): r.score for r in out.collect()}
+    value = lambda i: (i - 1 if i % 9 == 4 else i) * 37 % 251
+    for k in (0, 7):
+        want = {i: abs(value(min(i + 1, 150 + k)) - value(i)) / 255 for i in range(k, 151 + k)}
+        assert {i: got[f"c{k}", i] for i in want} == pytest.approx(want)
