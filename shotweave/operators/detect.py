@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from shotweave.operators.ordered import CHUNK, chunk_of, explode_range, ordered_scan, overlap_join
+from shotweave.operators.ordered import CHUNK, chunk_of, explode_range, long_keys, ordered_scan, overlap_join
 
 # ---- fixed values --------------------------------------------------------------------
 DIFF_THRESHOLD = 30.0
@@ -113,7 +113,9 @@ def cuts_to_shots(cuts: DataFrame, segments: DataFrame, convention: str = "last"
     inner = (cuts.select(*CLIP, (F.col("cut_frame") + shift).alias("b")).distinct().join(seg, CLIP)
              .where((F.col("b") > F.col("source_in")) & (F.col("b") <= F.col("source_out"))))
     bounds = seg.withColumn("b", F.col("source_in")).unionByName(inner.select(*seg.columns, "b"))
-    out = ordered_scan(bounds, CLIP, ["b"], chunk_of("b"), following={"__nb": F.col("b")}, index="sub_ix")
+    # a clip has no more bounds than cuts and segments, which are counted without the join
+    longer = long_keys(seg.select(*CLIP).unionByName(cuts.select(*CLIP)), CLIP)
+    out = ordered_scan(bounds, CLIP, ["b"], chunk_of("b"), following={"__nb": F.col("b")}, index="sub_ix", longer=longer)
     return out.select(*CLIP, "source_id", "sub_ix", F.col("b").alias("source_in"),
                       F.coalesce(F.col("__nb") - 1, F.col("source_out")).alias("source_out"))
 

@@ -180,7 +180,8 @@ def replace_items(items: DataFrame, repl: DataFrame, assign: bool = True, color_
     n = repl.groupBy(TL, "clip_id").agg(F.count(F.lit(1)).alias("__n"), F.count("source_id").alias("__nr"))
     # an id that repeats inside a timeline is substituted at each of its places
     rows = items.join(n, [TL, "clip_id"], "left")
-    based = ordered_scan(rows, [TL], ["item_ix"], chunk_of("item_ix"),
+    # the join adds no row, so long timelines are found without it
+    based = ordered_scan(rows, [TL], ["item_ix"], chunk_of("item_ix"), longer=long_keys(items, [TL]),
                          sums={"__base": F.coalesce("__n", F.lit(1)), "__cbase": F.coalesce("__nr", F.lit(0))})
     kept = based.where("__n is null").withColumn("item_ix", F.col("__base") + 1).select(*items.columns)
     heads = based.where("__n is not null").select(TL, "clip_id", "__base", "__cbase")

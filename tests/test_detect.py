@@ -195,3 +195,21 @@ def test_windows_cross_to_python_in_batches(spark, kind):
     for k in (0, 7):
         want = {i: abs(value(min(i + 1, 150 + k)) - value(i)) / 255 for i in range(k, 151 + k)}
         assert {i: got[f"c{k}", i] for i in want} == pytest.approx(want)
+
+
+def test_long_clips_are_counted_without_the_join(spark, tiny_chunks, monkeypatch):
+    from shotweave.operators import ordered
+
+    plans, count = [], ordered.long_keys
+
+    def watched(df, keys):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return count(df, keys)
+
+    for module in (ordered, dt):
+        monkeypatch.setattr(module, "long_keys", watched)
+    cuts = spark.createDataFrame([("t", "c", k) for k in (3, 5, 5, 9, 12, 40)], "timeline_id string, clip_id string, cut_frame long")
+    seg = spark.createDataFrame([("t", "c", "s", 0, 20), ("t", "d", "s", 2, 4)], "timeline_id string, clip_id string, source_id string, source_in long, source_out long")
+    got = [tuple(r) for r in dt.cuts_to_shots(cuts, seg).select("clip_id", "sub_ix", "source_in", "source_out").orderBy("clip_id", "sub_ix").collect()]
+    assert got == [("c", 0, 0, 3), ("c", 1, 4, 5), ("c", 2, 6, 9), ("c", 3, 10, 12), ("c", 4, 13, 20), ("d", 0, 2, 4)]
+    assert plans and not any("Join" in p for p in plans)
