@@ -219,6 +219,25 @@ def test_added_personal_data(spark):
     assert got[99]["spans"] == "" and [got[100][f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [3000] * 4
 
 
+def test_all_labelled_candidates_train(spark, monkeypatch):
+    """Every labelled candidate of every different text is in the fit or in the held-out fifth, however many there are; copies count once."""
+    seen = []
+
+    class Watched(pii.GBTClassifier):
+        def fit(self, rows):
+            seen.append(rows)
+            return super().fit(rows)
+
+    monkeypatch.setattr(pii, "GBTClassifier", Watched)
+    texts = [f"text {k}: " + "order 555-123-4567, " * 250 for k in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:50])), "doc_id long, text string")
+    got = pii.find_personal_data(docs).collect()
+    assert len(got) == 150 and all(r["spans"] == "" for r in got)
+    own = seen[0].where("source = 1")
+    n = own.agg(F.sum("n") if "n" in own.columns else F.count("*")).first()[0]
+    assert 0.78 * 25_000 < n < 0.82 * 25_000
+
+
 def test_token_files_round_trip_and_lookup(spark, edge):
     target = scratch(spark, "test")
     token_files.write_token_files(edge, target)
