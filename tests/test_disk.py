@@ -62,3 +62,18 @@ def test_lines_that_stay_together_are_one_row(spark):
     assert lines[5][1] == '    <asset id="r2" name="0" start="0s" duration="9000/2500s" hasVideo="1" format="r1" videoSources="1" hasAudio="1" audioSources="1" audioChannels="2" audioRate="48000">'
     assert lines[9][1] == '      <media-rep kind="original-media" src="file:///m/1.mov"/>'
     assert lines[-1][1] == "</fcpxml>"
+
+
+def test_a_document_is_one_file(spark, tmp_path):
+    """No second file and no folder of a task for each document: on a local disk each of them is made by a process of its own."""
+    odd = ["a", "b+c d", "50%/x", "é=1"]
+    rows = spark.createDataFrame([(k, 1, i, 0, f"{k} {i}", True) for k in odd for i in range(5)], "timeline_id string, section int, ix long, part int, text string, element boolean")
+    for compression in ("none", "gzip"):
+        path = tmp_path / compression
+        dc.write_lines(rows, str(path), compression=compression)
+        files = [p for p in path.rglob("*") if p.is_file() and not p.name.startswith("_")]
+        assert len(files) == len(odd) and all(p.parent.name == "block=0" for p in files)
+        lines = dc.read_lines(spark, str(path), lambda line: F.when(line == "none", "none")).orderBy("doc_id", "line_no").collect()
+        assert [(r["doc_id"], r["line"]) for r in lines] == [(k, f"{',' if i else ''}{k} {i}") for k in sorted(odd) for i in range(5)]
+    dc.write_lines(rows.where("ix < 2"), str(path), "overwrite", "gzip")
+    assert dc.read_texts(spark, str(path)).where("doc_id = 'a'").first()["text"] == "a 0\n,a 1\n"
