@@ -2,7 +2,7 @@
 
 import os
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from shotweave.session import materialize, shared_dir
 from shotweave.sources import documents as dc, interchange as ic
@@ -77,3 +77,14 @@ def test_a_document_is_one_file(spark, tmp_path):
         assert [(r["doc_id"], r["line"]) for r in lines] == [(k, f"{',' if i else ''}{k} {i}") for k in sorted(odd) for i in range(5)]
     dc.write_lines(rows.where("ix < 2"), str(path), "overwrite", "gzip")
     assert dc.read_texts(spark, str(path)).where("doc_id = 'a'").first()["text"] == "a 0\n,a 1\n"
+
+
+def test_an_element_is_parsed_once(spark):
+    """Only what does not fit its kind is looked at a second time, and told from what is no value at all."""
+    lines = spark.createDataFrame([("d", k, x, "children", 0) for k, x in enumerate(["[", '{"name": "a"}', ',{"name": "b"}', ',{"name": "c"', ",5", ',{"name": [1]}'])],
+                                  "doc_id string, line_no long, line string, section string, head long")
+    found = dc.elements(lines, T.StructType([T.StructField("name", T.StringType())]), "children")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and ".broken, $)" in plan
+    got = sorted((r["ix"], r["e"]["name"] if r["e"] else None, r["bad"]) for r in found.collect())
+    assert got == [(0, "a", False), (1, "b", False), (2, None, True), (3, None, False), (4, "[1]", False)]
