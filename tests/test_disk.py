@@ -88,3 +88,15 @@ def test_an_element_is_parsed_once(spark):
     assert plan.count("from_json(") == 1 and ".broken, $)" in plan
     got = sorted((r["ix"], r["e"]["name"] if r["e"] else None, r["bad"]) for r in found.collect())
     assert got == [(0, "a", False), (1, "b", False), (2, None, True), (3, None, False), (4, "[1]", False)]
+
+
+def test_short_documents_are_not_gathered(spark, tmp_path):
+    """A document of one file is read without a shuffle of its text; one of several files is put together."""
+    dc.write_lines(parts(spark), str(tmp_path / "docs"))
+    found = dc.read_texts(spark, str(tmp_path / "docs"))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["doc_id"]: r["text"].count("line") for r in found.collect()} == {str(k): 10 for k in range(4)}
+    more = tmp_path / "docs" / "timeline_id=1" / "block=1"
+    more.mkdir()
+    (more / "x.txt").write_text("line more")
+    assert {r["doc_id"]: r["text"].count("line") for r in dc.read_texts(spark, str(tmp_path / "docs")).collect()} == {"0": 10, "1": 11, "2": 10, "3": 10}
